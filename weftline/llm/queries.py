@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import exact, packing, simhash, tokenfile, warc
+from weftline.llm import blocks, copies, exact, packing, simhash, suffixes, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_words"), copies.removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(_table(spark, sf_dir, "documents"))
+    n_spans = (F.size("spans") / 2).cast("long").alias("n_spans")
+    return found.select("doc_id", F.col("n").alias("n_bytes"), copies.removed().alias("n_removed"), n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +45,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decisions(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op4_simhash, op7_token_file, op8_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_substring_dedup, op4_simhash, op6_suffix_array, op7_token_file, op8_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": """
