@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import blocks, copies, decontaminate, exact, packing, simhash, suffixes, tokenfile, toxicity, warc
+from weftline.llm import blocks, copies, decontaminate, exact, html, packing, simhash, suffixes, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeats(_table(spark, sf_dir, "documents"))
     n_spans = (F.size("spans") / 2).cast("long").alias("n_spans")
@@ -55,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_substring_dedup, op4_simhash, op6_suffix_array, op7_token_file, op8_exact_dedup, op9_toxicity, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_substring_dedup, op4_simhash, op5_html_labeller, op6_suffix_array, op7_token_file, op8_exact_dedup, op9_toxicity, op10_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": """
