@@ -5,6 +5,10 @@ A block's anchors are the words of a covering code: a Hamming code on its first
 code word) and all values of its other bits. A fingerprint goes to every anchor within the covering radius plus `near`; at
 an anchor, the fingerprints that have it as their nearest are compared with all that came. Each pair within the threshold
 meets: the nearest anchor of one is within radius plus `near` of the other.
+
+A fingerprint may have several words of 64 bits, each from its own hash of the shingles and with its own blocks. Two texts then
+link within a threshold over all words if one block of one word differs in at most one bit: not certain beyond one bit a block,
+but the likelier the more words there are. That reaches texts of lower similarity than 64 bits tell from others.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,39 +25,56 @@ from pyspark.sql import functions as F
 
 from weftline.llm.base import cut, mapped, picked
 from weftline.llm.components import components, labels
+from weftline.llm.words import mixed
 
 RADIUS, CODE = 1, 15
 #: Fingerprints at one anchor from which it is dealt out as tiles, and pairs compared at once.
 TILE, AT_ONCE = 8_192, 2_000_000
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """Bits set in over half the XXH64 of the text's shingles; a text of fewer words is one shingle, an empty one gives 0."""
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, width: int = 1) -> list[int]:
+    """Words of bits set in over half the hashes of the text's shingles: the XXH64, and for further words a mix of it. A text of fewer words is one shingle, an empty one gives 0."""
     ws = text.lower().split()
     if not ws:
-        return 0
+        return [0] * width
     whole = b" ".join(ws)
-    if len(ws) <= words:
-        return xxhash.xxh64_intdigest(whole, seed)
-    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(whole[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())), np.uint64, len(ws) - words + 1)
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(h), 8192):
-        some = h[k : k + 8192]
-        counts += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    if len(ws) <= words:
+        h = np.array([hashed(whole, seed)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        h = np.fromiter((hashed(whole[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())), np.uint64, len(ws) - words + 1)
+    out = []
+    for j in range(width):
+        counts = np.zeros(64, np.int64)
+        for k in range(0, len(h), 8192):
+            some = h[k : k + 8192] if j == 0 else mixed(h[k : k + 8192] + np.uint64(j))
+            counts += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]))
+    return out
+
 
+def _columns(width: int) -> list[str]:
+    return [f"fp{j}" for j in range(width)]
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint as a long."""
+
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, width: int = 1) -> DataFrame:
+    """doc_id and fp0 ..., the fingerprint's words as longs."""
 
     def make(rows: dict) -> dict:
-        fps = np.array([fingerprint(t, words, seed) for t in rows["text"]], np.uint64)
-        return {"doc_id": rows["doc_id"], "fp": pa.array(fps.view(np.int64))}
+        fps = np.array([fingerprint(t, words, seed, width) for t in rows["text"]], np.uint64).view(np.int64)
+        return {"doc_id": rows["doc_id"]} | {c: pa.array(np.ascontiguousarray(fps[:, j])) for j, c in enumerate(_columns(width))}
+
+    return mapped(picked(docs), make, ", ".join(["doc_id long", *(f"{c} long" for c in _columns(width))]))
 
-    return mapped(picked(docs), make, "doc_id long, fp long")
+
+def node(fps: np.ndarray) -> np.ndarray:
+    """One long for a fingerprint: itself if it has one word, else a hash of its words."""
+    out = fps[:, 0]
+    for j in range(1, fps.shape[1]):
+        out = mixed(out) ^ fps[:, j]
+    return out
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,22 +93,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _SYNDROME, _ONE, _TWO = _tables()
 
 
-def blocks(threshold: int) -> list[tuple[int, int]]:
-    """Shift and width of each block: so many that one of them differs in at most one bit."""
-    n = threshold // 2 + 1
+def blocks(threshold: int, width: int = 1) -> list[tuple[int, int, int]]:
+    """Word, shift and size of each block: of one word, so many that one of them differs in at most one bit; of several, three each."""
+    n = threshold // 2 + 1 if width == 1 else 3
     if 64 // n < CODE + 1:
         raise ValueError("the covering code takes blocks of 16 bits or more: a threshold of at most 7")
     at = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:])]
+    return [(j, a, b - a) for j in range(width) for a, b in zip(at, at[1:])]
 
 
 def anchors(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Indexes into fps, anchors within the covering radius plus one, and whether they are the nearest ones."""
-    for k, (shift, width) in enumerate(blocks(threshold)):
-        v = ((fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64) | k << 40
+    """Rows of fps, anchors within the covering radius plus one, and whether they are the nearest ones."""
+    for k, (j, shift, size) in enumerate(blocks(threshold, fps.shape[1])):
+        v = ((fps[:, j] >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64) | k << 40
         s = _SYNDROME[v & ((1 << CODE) - 1)]
         near = v ^ _ONE[s]
-        rest = [1 << (CODE + i) for i in range(width - CODE)]
+        rest = [1 << (CODE + i) for i in range(size - CODE)]
         every, zero, other = np.arange(len(fps)), np.flatnonzero(s == 0), np.flatnonzero(s)
         yield every, near, True
         for flip in rest:
@@ -97,19 +119,24 @@ def anchors(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.nd
             yield other, v[other] ^ _TWO[s[other], i], False
 
 
-def _spread(threshold: int):
+def _spread(threshold: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            every = _matrix(batch.columns)
             for k in range(0, len(every), 2000):
                 fps = every[k : k + 2000]
                 parts = list(anchors(fps, threshold))
                 at = np.concatenate([i for i, _, _ in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(fps[at].view(np.int64)), pa.array(np.concatenate([np.full(len(i), h) for i, _, h in parts]))], names=["anchor", "fp", "home"])
+                words = [pa.array(np.ascontiguousarray(fps[at, j]).view(np.int64)) for j in range(width)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(np.concatenate([np.full(len(i), h) for i, _, h in parts])), *words], names=["anchor", "home", *_columns(width)])
 
     return run
 
 
+def _matrix(columns: list) -> np.ndarray:
+    return np.stack([(x if isinstance(x, np.ndarray) else x.to_numpy(zero_copy_only=False)).view(np.uint64) for x in columns], 1)
+
+
 def _compare(threshold: int):
     """Rows sorted by anchor (and tile), those at home first: links of the rows that meet, as one star for each component of an anchor."""
 
@@ -129,12 +156,12 @@ def _compare(threshold: int):
 
 
 def _starts(rows: list[np.ndarray]) -> np.ndarray:
-    anchor, tile = rows[0], rows[3]
+    anchor, tile = rows[0], rows[1]
     return np.concatenate([[0], np.flatnonzero((anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1])) + 1]) if len(anchor) else np.zeros(0, np.int64)
 
 
 def _met(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
-    fps, home = rows[1].view(np.uint64), rows[2].astype(bool)
+    fps, home = _matrix(rows[3:]), rows[2].astype(bool)
     ends = np.append(starts[1:], len(fps))
     homes = np.add.reduceat(home.astype(np.int64), starts)
     label = np.arange(len(fps))
@@ -149,17 +176,18 @@ def _met(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator
         n = sizes[done:upto]
         i = np.repeat(left[done:upto], n)
         j = np.repeat(starts[owner[done:upto]], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        near = (np.bitwise_count(fps[i] ^ fps[j]) <= threshold) & (label[i] != label[j])
+        near = (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= threshold) & (label[i] != label[j])
         if near.any():
             label = labels(len(fps), i[near], j[near], label)
         done = upto
     some = np.flatnonzero(label != np.arange(len(fps)))
-    yield pa.RecordBatch.from_arrays([pa.array(fps[some].view(np.int64)), pa.array(fps[label[some]].view(np.int64))], names=["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(node(fps[some]).view(np.int64)), pa.array(node(fps[label[some]]).view(np.int64))], names=["a", "b"])
 
 
 def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
-    """Distinct fingerprints (one column fp) to links a, b that connect what chains of pairs within the threshold connect."""
-    rows = fps.mapInArrow(_spread(threshold), "anchor long, fp long, home boolean")
+    """Distinct fingerprints (fp0 ...) to links a, b of their node() that connect what chains of pairs within the threshold connect."""
+    columns = fps.columns
+    rows = fps.mapInArrow(_spread(threshold, len(columns)), ", ".join(["anchor long", "home boolean", *(f"{c} long" for c in columns)]))
     many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
     many = cut(many.select("anchor", F.ceil(F.col("n") / TILE).cast("int").alias("side")))
     if many.isEmpty():
@@ -167,14 +195,31 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
     else:
         # A full anchor becomes side x side tiles: a row at home takes a row of tiles, every row takes a column.
         hot = rows.join(many, "anchor", "left")
-        line, all_sides = F.pmod(F.xxhash64("fp"), F.coalesce("side", F.lit(1))).cast("int"), F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1)
-        as_home = hot.filter("home").withColumn("k", F.explode(all_sides)).select("anchor", "fp", "home", (line * 100_000 + F.col("k")).alias("tile"))
-        as_guest = hot.filter("side is not null or not home").withColumn("k", F.explode(all_sides)).select("anchor", "fp", F.lit(False).alias("home"), (F.col("k") * 100_000 + line).alias("tile"))
+        line, all_sides = F.pmod(F.xxhash64(*columns), F.coalesce("side", F.lit(1))).cast("int"), F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1)
+        as_home = hot.filter("home").withColumn("k", F.explode(all_sides)).withColumn("tile", line * 100_000 + F.col("k"))
+        as_guest = hot.filter("side is not null or not home").withColumn("k", F.explode(all_sides)).withColumn("home", F.lit(False)).withColumn("tile", F.col("k") * 100_000 + line)
         dealt = as_home.unionByName(as_guest)
-    sorted_ = dealt.select("anchor", "fp", "home", "tile").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", F.desc("home"))
+    sorted_ = dealt.select("anchor", "tile", "home", *columns).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", F.desc("home"))
     return sorted_.mapInArrow(_compare(threshold), "a long, b long")
 
 
+def groups(docs: DataFrame, words: int = 4, seed: int = 42, threshold: int = 4, width: int = 1) -> DataFrame:
+    """doc_id, the fingerprint's words fp0 ..., and component_id; see near_duplicates()."""
+    columns = _columns(width)
+    rows = cut(fingerprints(docs, words, seed, width))
+
+    @F.pandas_udf("long")
+    def name(fps: pd.DataFrame) -> pd.Series:
+        return pd.Series(node(fps.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    distinct = cut(rows.groupBy(*columns).agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp0") if width == 1 else name(F.struct(*columns))))
+    found = components(links(distinct.select(*columns), threshold))
+    ids = found.join(distinct, "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = found.join(ids, "root").select("node", "component_id")
+    ids = distinct.join(ids, "node", "left").select(*columns, F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(ids, columns)
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id that chains of links reach, itself included.
 
@@ -182,10 +227,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, threshold:
     share a doc_id each keep their fingerprint; a null doc_id counts as none where the smallest is sought, and a component of
     such rows only has a null id. An empty table gives an empty one; other columns are ignored.
     """
-    rows = cut(fingerprints(docs, words, seed))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp"), threshold))
-    ids = found.join(distinct, found.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = found.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups(docs, words, seed, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, width: int = 2, threshold: int = 20) -> DataFrame:
+    """The rows whose doc_id is the smallest of their group, with all their columns; so are those of groups without id.
+
+    By default fingerprints of 128 bits over five words, linked within 20 bits, which texts of a Jaccard similarity of 0.8 differ
+    by (their shingles' vectors at cosine 8/9). Rows of one doc_id are kept if any of them would be. Texts without words are no
+    copies of each other here: they stay.
+    """
+    empty = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
+    found = groups(docs.filter(~empty).select("doc_id", "text"), words, 42, threshold, width)
+    gone = cut(found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone")))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
