@@ -124,7 +124,18 @@ def typed(x: Any) -> Value:
     return Value(F.lit(x) if not isinstance(x, int) or isinstance(x, bool) else F.lit(x).cast("long"), kind, x)
 
 
-NULL = typed(None)
+class _Null(Value):
+    """The null literal, whose column is made when there is a session."""
+
+    def __init__(self) -> None:
+        self.type, self.const = T.NullType(), None
+
+    @property
+    def col(self) -> Column:  # type: ignore[override]
+        return F.lit(None)
+
+
+NULL = _Null()
 
 
 def is_text(v: Value) -> bool:
