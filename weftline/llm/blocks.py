@@ -24,32 +24,32 @@ def _long(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _each(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """id, th and prefix sums of each text that has a window."""
-    for batch in batches:
+def _each(batches: Iterator[pa.RecordBatch], window: int, suspects) -> Iterator[tuple[int, int, np.ndarray]]:
+    """id, th and prefix sums of each different text that has a window."""
+    for batch in copies.distinct(batches, suspects):
         for i, th, text in zip(*(batch.column(k).to_pylist() for k in ("id", "th", "text"))):
             words = text.split()
             if len(words) >= window:
                 yield i, th, sums(hashed(words))
 
 
-def _index(window: int):
+def _index(window: int, suspects):
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, _, prefix in _each(batches, window):
+        for i, _, prefix in _each(batches, window, suspects):
             h = runs(prefix, block, np.arange(0, len(prefix) - block, block))
             yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), i))], names=["h", "id"])
 
     return run
 
 
-def _probe(window: int, sent):
+def _probe(window: int, suspects, sent):
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = (bloom.Filter(x) for x in sent.value)
-        for i, _, prefix in _each(batches, window):
+        for i, _, prefix in _each(batches, window, suspects):
             h = runs(prefix, block)
             hit = once.test(h)
             # A text's own blocks are all there: they count where another block is the same.
@@ -61,12 +61,12 @@ def _probe(window: int, sent):
     return run
 
 
-def _windows(window: int, sent):
+def _windows(window: int, suspects, sent):
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = bloom.Filter(sent.value)
-        for i, th, prefix in _each(batches, window):
+        for i, th, prefix in _each(batches, window, suspects):
             at = np.flatnonzero(shared.test(runs(prefix, block)))
             if len(at):
                 n = len(prefix) - window
@@ -106,16 +106,16 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = copies.keyed(docs)
-    work, members = copies.set_apart(rows)
-    index = cut(work.mapInArrow(_batched(_index(window)), "h long, id long"))
+    work, members, suspects = copies.set_apart(rows)
+    index = cut(work.mapInArrow(_batched(_index(window, suspects)), "h long, id long"))
     filters = bloom.build(index.select("h"), index.count())
     sent = spark.sparkContext.broadcast([f.bits for f in filters])
-    probes = work.mapInArrow(_batched(_probe(window, sent)), "h long, id long")
+    probes = work.mapInArrow(_batched(_probe(window, suspects, sent)), "h long, id long")
     first = index.groupBy("h").agg(F.min("id").alias("first"))
     # Each block needs its smallest document and the largest that probes it.
     shared = cut(probes.groupBy("h").agg(F.max("id").alias("last")).join(first, "h").filter("first < last").select("h"))
     hit = spark.sparkContext.broadcast(bloom.build(shared, shared.count())[0].bits)
-    windows = cut(work.mapInArrow(_batched(_windows(window, hit)), "w long, id long, th long, start int"))
+    windows = cut(work.mapInArrow(_batched(_windows(window, suspects, hit)), "w long, id long, th long, start int"))
     least = windows.groupBy("w").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("w", "least")
     spans = windows.join(least, "w").filter("least < id").select("id", "th", F.col("start").alias("first"), (F.col("start") + window).alias("last"))
     # A copy of an earlier text goes whole if it has a window at all.

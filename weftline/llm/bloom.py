@@ -49,7 +49,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = []
     for batch in batches:
         seen.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        if sum(map(len, seen)) >= 4_000_000:
+        if sum(map(len, seen)) >= 1_000_000:
             yield _by_bucket(np.concatenate(seen))
             seen = []
     if seen:

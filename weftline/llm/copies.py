@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +35,33 @@ def member(spark, f: bloom.Filter) -> Callable[[str], Column]:
     return test
 
 
-def set_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed() rows to (id, th, n, text), one for each different text with the smallest id and the number of its copies, and
-    (id, th, least): every row of a text with copies and the smallest id of them. Only rows that may be copies move."""
+def set_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """keyed() rows to work, members and suspects.
+
+    work: (id, th, n, text), all rows with n 0 and, of each text that has or may have copies, one more, with the smallest id and
+    the number of copies. `distinct` takes from its batches each different text once, by the suspects. members: (id, th, least),
+    every row of a text with copies and the smallest id of them. Only rows that may be copies move.
+    """
     hashes = cut(rows.select("th"))
-    suspect = member(rows.sparkSession, bloom.build(hashes, hashes.count())[1])
-    tested = rows.withColumn("again", suspect("th"))
-    again = tested.filter("again").withColumn("sha", F.sha2("text", 256))
-    firsts = cut(again.groupBy("sha").agg(F.min("id").alias("id"), F.first("th").alias("th"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text")))
+    again = bloom.build(hashes, hashes.count())[1]
+    suspect = member(rows.sparkSession, again)
+    some = rows.filter(suspect("th")).withColumn("sha", F.sha2("text", 256))
+    firsts = cut(some.groupBy("sha").agg(F.min("id").alias("id"), F.first("th").alias("th"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text")))
     several = firsts.filter("n > 1").select("sha", F.col("id").alias("least"))
-    alone = tested.filter(~F.col("again")).select("id", "th", F.lit(1).cast("long").alias("n"), "text")
-    return alone.unionByName(firsts.select("id", "th", "n", "text")), again.select("id", "th", "sha").join(several, "sha").select("id", "th", "least")
+    work = rows.select("id", "th", F.lit(0).cast("long").alias("n"), "text").unionByName(firsts.select("id", "th", "n", "text"))
+    return work, some.select("id", "th", "sha").join(several, "sha").select("id", "th", "least"), rows.sparkSession.sparkContext.broadcast(again.bits)
+
+
+def distinct(batches: Iterator[pa.RecordBatch], suspects: Broadcast, size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of work with each different text once, in parts of so many rows."""
+    again = bloom.Filter(suspects.value)
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            some = batch.slice(k, size)
+            n, th = (some.column(c).to_numpy(zero_copy_only=False) for c in ("n", "th"))
+            keep = (n > 0) | ~again.test(th.view(np.uint64))
+            if keep.any():
+                yield some.filter(pa.array(keep))
 
 
 def carve(rows: DataFrame, spans: DataFrame, whole: DataFrame, split: Callable[[bytes], list | bytes], join: Callable[[list], bytes]) -> DataFrame:

@@ -194,9 +194,9 @@ def repeated(contents: list[bytes], before: np.ndarray, length: int) -> np.ndarr
 RECORD = "ah long, cls binary, id long, th long, at int, before int, span int, many boolean, content binary"
 
 
-def _hashes(length: int):
+def _hashes(length: int, suspects):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in copies.distinct(batches, suspects):
             found = [h for _, _, h, *_ in anchors(batch.column("text").to_pylist(), length)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["ah"])
@@ -204,14 +204,13 @@ def _hashes(length: int):
     return run
 
 
-def _records(length: int, sent):
+def _records(length: int, suspects, sent):
     """Anchors that may repeat, with the bytes of their windows where a task meets them first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, seen = bloom.Filter(sent.value), set()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
+        for batch in copies.distinct(batches, suspects):
+            for some in (batch,):
                 ids, ths, ns, texts = (some.column(c).to_pylist() for c in ("id", "th", "n", "text"))
                 out: list[tuple] = []
                 for t, offset, h, at, first, last in anchors(texts, length):
@@ -271,10 +270,10 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         raise ValueError(f"strings of {GRAM} bytes or more")
     spark = docs.sparkSession
     rows = copies.keyed(docs)
-    work, members = copies.set_apart(rows)
-    hashes = cut(work.mapInArrow(_hashes(length), "ah long"))
+    work, members, suspects = copies.set_apart(rows)
+    hashes = cut(work.mapInArrow(_hashes(length, suspects), "ah long"))
     again = spark.sparkContext.broadcast(bloom.build(hashes, hashes.count())[1].bits)
-    records = cut(work.mapInArrow(_records(length, again), RECORD))
+    records = cut(work.mapInArrow(_records(length, suspects, again), RECORD))
     classes = cut(records.groupBy("ah", "cls").agg((F.count(F.lit(1)) + F.max(F.col("many").cast("long")) > 1).alias("full")))
     # Only anchors with different records, of which some is there once, are sorted.
     mixed = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("all")).filter("n > 1 and not all").select("ah")
