@@ -47,10 +47,11 @@ class Engine:
             self.plain[name] = plain
         return self
 
-    def query(self, script: str) -> DataFrame:
+    def query(self, script: str, ordered: bool = False) -> DataFrame:
+        """ordered: rows come in the order of the items, also where the script doesn't sort; else only where it does."""
         lowering = Lowering(self.spark, self.columns)
         names = {**self.tables, **{k: typed(v) for k, v in self.literals.items()}, "$": dict(self.tables), "$root": dict(self.tables)}
-        return lowering.result(lowering.run(parse(script), names))
+        return lowering.result(lowering.run(parse(script), names), ordered)
 
     def documents(self, df: DataFrame, column: str, script: str, into: str = "result") -> DataFrame:
         """A script over each row's JSON text, as JSON text: for documents whose shape is known only when they are read."""

@@ -73,8 +73,9 @@ class Lowering:
             return NULL
         return self.lower(script.result, scope, self.top)
 
-    def result(self, x: Any) -> DataFrame:
-        """A script's value as a DataFrame: items as rows, a record as one, a single value as the column `value`."""
+    def result(self, x: Any, ordered: bool = False) -> DataFrame:
+        """A script's value as a DataFrame: items as rows, a record as one, a single value as the column `value`. Rows are in order
+        where the script sorts them, or all if asked for: that is a sort."""
         if isinstance(x, GroupItems):
             raise ScriptError("The items of a group stand outside of it.")
         if isinstance(x, Groups):
@@ -82,7 +83,7 @@ class Lowering:
         if isinstance(x, Single):
             x = x.frame
         if isinstance(x, Frame):
-            df = x.df.orderBy(*x.sorting()) if x.sorted else x.df
+            df = x.df.orderBy(*x.sorting()) if x.order and (x.sorted or ordered and not x.natural) else x.df
             return readable(df.select(*[quoted(c) for c in x.columns()]))
         x = unstructured(x) if isinstance(x, Value) else x
         if isinstance(x, Row):
@@ -512,8 +513,9 @@ class Lowering:
                 df, natural = df.join(right, key.eqNullSafe(quoted(name)), mode), False
         c = Context(df)
         for part in rest:
-            test = truth(self.scalar(self.lower(part, inner, c)))
-            c.df = c.df.filter(test)
+            v = self.scalar(self.lower(part, inner, c))
+            # A filter drops what is null by itself; a bare comparison can be pushed to the scan.
+            c.df = c.df.filter(v.col if isinstance(v, Value) and isinstance(v.type, T.BooleanType) else truth(v))
         names = [quoted(n) for n in [*x.columns(), *(n for n, _ in x.order)]]
         return Frame(c.df.select(*names) if c.joined else c.df, x.fields, x.order, natural and not c.joined, x.value_type, x.sorted)
 
@@ -1004,17 +1006,10 @@ class Lowering:
 
         if is_null(start):
             start = Value(start.col, kind)
-        if isinstance(start.type, T.StructType) and not start.type.fields:  # {} grows by computed keys
-            step = after(Value(F.lit(None), T.MapType(TEXT, TEXT)), F.lit(None))
-            start = Value(F.create_map().cast(step.type), step.type)
+        if isinstance(start.type, T.StructType) and not start.type.fields:
+            return self.keyed_fold(x, lambda e: structured(self.scalar(self.apply(function, scope, Context(None), Row({}), unstructured(Value(e, kind))))))
         wide = common([start.type, after(start, F.lit(None)).type]) or TEXT
         begin = start.col if start.type == wide else text(start) if wide == TEXT else start.col.cast(wide)
-        if isinstance(wide, T.MapType):
-            merged = F.aggregate(rest, F.array().cast(T.ArrayType(wide)), lambda a, e: F.concat(a, F.array(after(Value(F.create_map().cast(wide), wide), e).col)))
-            # The last of equal keys stays.
-            pairs = F.flatten(F.transform(merged, lambda m: F.map_entries(m)))
-            last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))), lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-            return Value(F.map_concat(begin, F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))) if len(op.args) > 1 and not (isinstance(op.args[1], t.Object) and not op.args[1].entries) else F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"]))), wide)
 
         def step(a: Column, e: Column) -> Column:
             out = after(Value(a, wide), e)
@@ -1023,6 +1018,17 @@ class Lowering:
         return unstructured(Value(F.aggregate(rest, begin, step), wide))
 
 
+    def keyed_fold(self, x: Value, entry) -> Value:
+        """A fold from {} that adds computed keys: the entries of all items, the last of equal keys."""
+        kind = entry(F.lit(None)).type
+        if not isinstance(kind, T.MapType):
+            raise ScriptError("A fold from {} adds [key]: value.")
+        pairs = F.flatten(F.transform(x.col, lambda e: F.map_entries(entry(e).col)))
+        numbered = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i")))
+        last = F.filter(numbered, lambda p: ~F.exists(numbered, lambda q: (q["key"] == p["key"]) & (q["i"] > p["i"])))
+        return Value(F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"]))), kind)
+
+
 class Looked(Groups):
     """Groups of a table's rows by the keys that an item asks for: aggregates are columns joined to the items."""
 
