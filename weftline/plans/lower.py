@@ -11,46 +11,18 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import columns as library
 from weftline.lang import tree as t
 from weftline.lang.diagnostics import ScriptError, nearest
-from weftline.plans.typed import HIDDEN, NULL, Frame, Function, GroupItems, GroupRow, Groups, Row, Single, Value, common, equal, fresh, is_array, is_null, is_number, is_text, is_time, is_whole, numeric, quoted, structured, text, truth, typed, unified, unstructured
-
-LONG, DOUBLE, BOOL, TEXT = T.LongType(), T.DoubleType(), T.BooleanType(), T.StringType()
-
-
-class Scope:
-    def __init__(self, names: dict[str, Any], above: Scope | None = None) -> None:
-        self.names, self.above = names, above
-
-    def get(self, name: str) -> Any:
-        return self.names[name] if name in self.names else self.above.get(name) if self.above else None
-
-    def has(self, name: str) -> bool:
-        return name in self.names or bool(self.above and self.above.has(name))
-
-    def known(self) -> list[str]:
-        return [*self.names, *(self.above.known() if self.above else [])]
-
-
-class Context:
-    """The rows that an expression stands in; lookups join further columns to them."""
-
-    def __init__(self, df: DataFrame | None, groups: Groups | None = None) -> None:
-        self.df, self.groups, self.joined = df, groups, False
-
-    def attach(self, right: DataFrame, on: Column) -> None:
-        if self.groups is not None:
-            self.groups.after.append(lambda df: df.join(right, on, "left"))
-        elif self.df is None:
-            raise ScriptError("A lookup in a table stands inside an array's item.")
-        else:
-            self.df = self.df.join(right, on, "left")
-        self.joined = True
+from weftline.operators.arrays import ArrayOperators
+from weftline.operators.frames import FrameOperators
+from weftline.operators.groups import GroupOperators
+from weftline.operators.lookups import LookupOperators
+from weftline.plans.context import BOOL, DOUBLE, LONG, TEXT, Context, Scope, arranged
+from weftline.plans.typed import NULL, Frame, Function, GroupItems, GroupRow, Groups, Row, Single, Value, equal, fresh, is_array, is_number, is_text, is_time, is_whole, numeric, quoted, structured, text, truth, typed, unified, unstructured
 
 
 def scanned(df: DataFrame) -> Frame:
@@ -60,7 +32,7 @@ def scanned(df: DataFrame) -> Frame:
     return Frame(df.withColumn(order, F.monotonically_increasing_id()), fields, [(order, False)])
 
 
-class Lowering:
+class Lowering(FrameOperators, GroupOperators, LookupOperators, ArrayOperators):
     def __init__(self, spark: SparkSession, functions: dict | None = None) -> None:
         self.spark, self.extra = spark, {k.lower(): f for k, f in (functions or {}).items()}
         self.top = Context(spark.range(1))
@@ -125,7 +97,7 @@ class Lowering:
         """A whole frame as an array within one row, in order."""
         item = structured(frame.item())
         row = F.struct(*[F.struct(quoted(n).alias("o")).alias(f"o{k}") for k, (n, _) in enumerate(frame.order)], item.col.alias("item"))
-        array = _arranged(F.collect_list(row), [down for _, down in frame.order])
+        array = arranged(F.collect_list(row), [down for _, down in frame.order])
         return Value(frame.df.agg(array.alias("value")).scalar(), T.ArrayType(item.type))
 
     def on_literal(self, node: t.Literal, scope: Scope, ctx: Context) -> Value:
@@ -460,622 +432,8 @@ class Lowering:
         out = self.lower(function, Scope({"$": args[0], "_": args[0]}, scope), ctx)
         return self.lower(out.body, Scope(dict(zip(out.params, args)), out.scope), ctx) if isinstance(out, Function) else out
 
-    # Frames
-
-    def frame(self, x: Any) -> Frame:
-        return self.ungrouped(x) if isinstance(x, Groups) else x
-
-    def item(self, x: Frame | Groups) -> Any:
-        return GroupRow(x) if isinstance(x, Groups) else x.item()
-
-    def context(self, x: Frame | Groups) -> Context:
-        return Context(None, x) if isinstance(x, Groups) else Context(x.df)
-
-    def select(self, x: Frame | Groups, body) -> Frame:
-        """Rows of what body(item, context) gives."""
-        ctx = self.context(x)
-        out = body(self.item(x), ctx)
-        out = self.scalar(out)
-        out = unstructured(out) if isinstance(out, Value) else out
-        if isinstance(x, Groups):
-            frame = self.aggregated(x)
-            df, order, natural = frame.df, frame.order, False
-        else:
-            df, order, natural = ctx.df, x.order, x.natural and not ctx.joined
-        keep = [quoted(n) for n, _ in order]
-        if isinstance(out, Row):
-            fields = {n: structured(self.scalar(v)) for n, v in out.fields.items()}
-            return Frame(df.select(*[v.col.alias(n) for n, v in fields.items()], *keep), {n: v.type for n, v in fields.items()}, order, natural, sorted=getattr(x, "sorted", False))
-        return Frame(df.select(out.col.alias("value"), *keep), None, order, natural, out.type, getattr(x, "sorted", False))
-
-    def op_select(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        return self.select(x, lambda item, c: self.apply(op.args[0], scope, c, item))
-
-    def op_where(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        return self.filtered(x, op.args[0], scope)
-
-    def filtered(self, x: Frame | Groups, predicate: t.Node, scope: Scope) -> Any:
-        if isinstance(x, Groups):
-            c = self.context(x)
-            test = truth(self.scalar(self.apply(predicate, scope, c, GroupRow(x))))
-            x.after.append(lambda df: df.filter(test))
-            return x
-        lambda_, body = (predicate.params, predicate.body) if isinstance(predicate, t.Lambda) else (["$"], predicate)
-        df, natural = x.df, x.natural
-        rest = []
-        inner = Scope({lambda_[0]: x.item()} | ({"_": x.item()} if lambda_ == ["$"] else {}), scope)
-        for part in conjuncts(body):
-            found = self.semi(part, inner)
-            if found is None:
-                rest.append(part)
-            else:
-                key, right, name, mode = found
-                df, natural = df.join(right, key.eqNullSafe(quoted(name)), mode), False
-        c = Context(df)
-        for part in rest:
-            v = self.scalar(self.lower(part, inner, c))
-            # A filter drops what is null by itself; a bare comparison can be pushed to the scan.
-            c.df = c.df.filter(v.col if isinstance(v, Value) and isinstance(v.type, T.BooleanType) else truth(v))
-        names = [quoted(n) for n in [*x.columns(), *(n for n, _ in x.order)]]
-        return Frame(c.df.select(*names) if c.joined else c.df, x.fields, x.order, natural and not c.joined, x.value_type, x.sorted)
-
-    def semi(self, node: t.Node, scope: Scope) -> tuple | None:
-        """x.in(table) or !x.in(table) as a semi or anti join."""
-        mode = "left_semi"
-        if isinstance(node, t.Unary) and node.sign == "!":
-            node, mode = node.value, "left_anti"
-        if not (isinstance(node, t.Call) and node.name.lower() == "in" and node.target is not None and len(node.args) == 1):
-            return None
-        source = node.args[0]
-        if not isinstance(source, (t.Name, t.Pipeline, t.Every)) or isinstance(source, t.Name) and not isinstance(scope.get(source.name), (Frame, Groups)):
-            return None
-        table = self.lower(source, scope, self.top)
-        if not isinstance(table, (Frame, Groups)):
-            return None
-        right, name, _ = self.keyed(self.frame(table))
-        return structured(self.value(node.target, scope, Context(None))).col, right, name, mode
-
-    def op_selectmany(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame, c = self.frame(x), None
-        c = Context(frame.df)
-        out = library.listed(self.scalar(self.apply(op.args[0], scope, c, frame.item())))
-        at, item = fresh("o"), fresh("i")
-        df = c.df.select(*[quoted(n) for n, _ in frame.order], F.posexplode(out.col).alias(at, item))
-        order = [*frame.order, (at, False)]
-        keep = [quoted(n) for n, _ in order]
-        kind = out.type.elementType
-        if isinstance(kind, T.StructType):
-            return Frame(df.select(*[quoted(item).getField(f.name).alias(f.name) for f in kind.fields], *keep), {f.name: f.dataType for f in kind.fields}, order, frame.natural and not c.joined, sorted=frame.sorted)
-        return Frame(df.select(quoted(item).alias("value"), *keep), None, order, frame.natural and not c.joined, kind, frame.sorted)
-
-    def op_distinct(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame = self.frame(x)
-        first = fresh("o")
-        if any(down for _, down in frame.order):
-            ranked = frame.df.withColumn(first, F.row_number().over(W.partitionBy(*map(quoted, frame.columns())).orderBy(*frame.sorting())))
-            return Frame(ranked.filter(quoted(first) == 1).drop(first), frame.fields, frame.order, False, frame.value_type, frame.sorted)
-        df = frame.df.groupBy(*map(quoted, frame.columns())).agg(F.min(F.struct(*[quoted(n) for n, _ in frame.order])).alias(first))
-        return Frame(df, frame.fields, [(first, False)], False, frame.value_type, frame.sorted)
-
-    def op_orderby(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        frame, order = self.frame(x), []
-        c = Context(frame.df)
-        for node, down in op.args:
-            v = structured(self.scalar(self.apply(node, scope, c, frame.item())))
-            name = fresh("o")
-            c.df = c.df.withColumn(name, v.col)
-            order.append((name, down))
-        return Frame(c.df, frame.fields, [*order, *frame.order], False, frame.value_type, True)
-
-    def limited(self, frame: Frame, n: int) -> Frame:
-        df = frame.df if frame.natural else frame.df.orderBy(*frame.sorting())
-        return Frame(df.limit(n), frame.fields, frame.order, False, frame.value_type, frame.sorted)
-
-    def count_of(self, op: t.Op, scope: Scope, ctx: Context) -> int:
-        return max(0, int(library.constant(self.value(op.args[0], scope, ctx), f"the number behind {op.name}")))
-
-    def op_take(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        return self.limited(self.frame(x), self.count_of(op, scope, ctx))
-
-    def op_skip(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame = self.frame(x)
-        return Frame(frame.df.orderBy(*frame.sorting()).offset(self.count_of(op, scope, ctx)), frame.fields, frame.order, False, frame.value_type, frame.sorted)
-
-    def op_takewhile(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        """Rows before the first that fails, which one aggregate finds: no window over all rows."""
-        frame = self.frame(x)
-        c = Context(frame.df)
-        test, ok = truth(self.scalar(self.apply(op.args[0], scope, c, frame.item()))), fresh("t")
-        marked = c.df.withColumn(ok, test)
-        stop = marked.filter(~quoted(ok)).orderBy(*frame.sorting()).limit(1).select(F.struct(*[quoted(n).alias(n) for n, _ in frame.order]).alias("s"))
-        at = stop.scalar()
-        before, same = F.lit(False), F.lit(True)
-        for n, down in frame.order:
-            mine, its = quoted(n), at.getField(n)
-            # Nulls come first upwards and last downwards, as the sort has them.
-            smaller = F.coalesce(mine < its, mine.isNull() & its.isNotNull())
-            larger = F.coalesce(mine > its, its.isNull() & mine.isNotNull())
-            before = before | (same & (larger if down else smaller))
-            same = same & mine.eqNullSafe(its)
-        return Frame(marked.filter(at.isNull() | before).drop(ok), frame.fields, frame.order, frame.natural and not c.joined, frame.value_type, frame.sorted)
-
-    def numbered(self, frame: Frame) -> tuple[DataFrame, str]:
-        """A column of places from 0. In read order, each input partition counts its own rows and the sizes of those before it are
-        added; after a sort, one window numbers all rows, which only takes the numbers and the keys if nothing else is used."""
-        name = fresh("n")
-        if not frame.natural or len(frame.order) > 1:
-            return frame.df.withColumn(name, F.row_number().over(W.orderBy(*frame.sorting())) - 1), name
-        part, before = fresh("p"), fresh("b")
-        order = quoted(frame.order[0][0])
-        rows = frame.df.withColumn(part, F.shiftright(order, 33))
-        sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-        ends = sizes.select(quoted(part), (F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias(before))
-        local = F.row_number().over(W.partitionBy(part).orderBy(order)) - 1
-        return rows.withColumn(name, local).join(ends, part).withColumn(name, quoted(name) + quoted(before)).drop(part, before), name
-
-    def op_index(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame = self.frame(x)
-        df, name = self.numbered(frame)
-        return Frame(df.select(quoted(name).cast("long").alias("value"), quoted(name).alias(HIDDEN + "o")), None, [(HIDDEN + "o", False)], False, LONG)
-
-    def op_batch(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame, n = self.frame(x), self.count_of(op, scope, ctx)
-        if n <= 0:
-            raise ScriptError("batch takes a number above 0.", op.span)
-        df, name = self.numbered(frame)
-        item = structured(frame.item())
-        batch = fresh("o")
-        rows = df.groupBy(F.floor(quoted(name) / n).alias(batch)).agg(F.transform(F.array_sort(F.collect_list(F.struct(quoted(name).alias("n"), item.col.alias("item")))), lambda e: e["item"]).alias("value"))
-        return Frame(rows, None, [(batch, False)], False, T.ArrayType(item.type))
-
-    def single(self, df: DataFrame, col: Column, kind: T.DataType) -> Single:
-        return Single(Frame(df.agg(col.alias("value")), None, [], False, kind))
-
-    def op_count(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
-        return self.single(self.frame(x).df, F.count(F.lit(1)), LONG)
-
-    def _aggregate(self, x: Frame | Groups, op: t.Op) -> Single:
-        frame = self.frame(x)
-        v = structured(frame.item())
-        if op.name == "sum":
-            v = numeric(v)
-            kind = LONG if is_whole(v) else DOUBLE
-            return self.single(frame.df, F.coalesce(F.sum(v.col), F.lit(0).cast(kind)).cast(kind), kind)
-        return self.single(frame.df, (F.min if op.name == "min" else F.max)(v.col), v.type)
-
-    def op_sum(self, x, op, scope, ctx) -> Single:
-        return self._aggregate(x, op)
-
-    def op_min(self, x, op, scope, ctx) -> Single:
-        return self._aggregate(x, op)
-
-    def op_max(self, x, op, scope, ctx) -> Single:
-        return self._aggregate(x, op)
-
-    def op_first(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
-        frame = self.frame(x)
-        return Single(self.limited(self.filtered(frame, op.args[0], scope) if op.args else frame, 1))
-
-    def op_last(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
-        frame = self.frame(x)
-        frame = self.filtered(frame, op.args[0], scope) if op.args else frame
-        back = Frame(frame.df, frame.fields, [(n, not down) for n, down in frame.order], False, frame.value_type)
-        return Single(self.limited(back, 1))
-
-    def op_any(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
-        frame = self.frame(x)
-        frame = self.filtered(frame, op.args[0], scope) if op.args else frame
-        # One row is enough, and an empty frame counts none.
-        return self.single(frame.df.limit(1), F.count(F.lit(1)) > 0, BOOL)
-
-    def op_all(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
-        frame = self.frame(x)
-        if not op.args:
-            return self.single(frame.df.limit(1), F.count(F.lit(1)) >= 0, BOOL)
-        c = Context(frame.df)
-        test = truth(self.scalar(self.apply(op.args[0], scope, c, frame.item())))
-        return self.single(c.df.filter(~test).limit(1), F.count(F.lit(1)) == 0, BOOL)
-
-    def op_concat(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
-        frame = self.frame(x)
-        array = self.collected_in(frame, text(structured(frame.item())))
-        return self.single(frame.df, F.array_join(array, self.separator(op, scope, ctx)), TEXT)
-
-    def separator(self, op: t.Op, scope: Scope, ctx: Context) -> str:
-        return str(library.constant(self.value(op.args[0], scope, ctx), "the separator")) if op.args else "|"
-
-    def collected_in(self, frame: Frame, col: Column) -> Column:
-        row = F.struct(*[F.struct(quoted(n).alias("o")).alias(f"o{k}") for k, (n, _) in enumerate(frame.order)], col.alias("item"))
-        return _arranged(F.collect_list(row), [down for _, down in frame.order])
-
-    def op_reduce(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        frame = self.frame(x)
-        fold, start = op.args[0], self.value(op.args[1], scope, ctx) if len(op.args) > 1 else None
-        if isinstance(fold, t.Lambda) and isinstance(fold.body, t.Binary) and fold.body.sign == "+" and isinstance(fold.body.left, t.Name) and fold.body.left.name == fold.params[0] and fold.params[0] not in t.free(fold.body.right):
-            c = Context(frame.df)
-            term = structured(self.scalar(self.lower(fold.body.right, Scope({fold.params[1]: frame.item()}, scope), c)))
-            if is_number(term) and (start is None or is_number(start)):
-                kind = LONG if is_whole(term) and (start is None or is_whole(start)) else DOUBLE
-                total = F.coalesce(F.sum(numeric(term).col), F.lit(0)).cast(kind)
-                return self.single(c.df, total if start is None else (start.col + total).cast(kind), kind)
-        array = Value(self.collected_in(frame, structured(frame.item()).col), T.ArrayType(structured(frame.item()).type))
-        rows = frame.df.agg(array.col.alias("value"))
-        out = structured(self.array_step(Value(quoted("value"), array.type), op, scope, Context(None)))
-        return Single(Frame(rows.select(out.col.alias("value")), None, [], False, out.type))
-
-    def op_join(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        left = self.frame(x)
-        source = self.lower(op.args[0], scope, self.top)
-        if not isinstance(source, (Frame, Groups)):
-            raise ScriptError("join needs a table.", op.span)
-        right = self.frame(source)
-        # Columns of both sides under names of their own.
-        ln, rn = {n: fresh("l") for n in left.columns()}, {n: fresh("r") for n in right.columns()}
-        lo, ro = [(fresh("o"), d) for _, d in left.order], [(fresh("o"), d) for _, d in right.order]
-        lhit, rhit = fresh("h"), fresh("h")
-        cl, cr = Context(left.df), Context(right.df)
-        lkey = structured(self.scalar(self.apply(op.args[1], scope, cl, left.item())))
-        rkey = structured(self.scalar(self.apply(op.args[2], scope, cr, right.item())))
-        lk, rk = fresh("k"), fresh("k")
-        ldf = cl.df.select(*[quoted(n).alias(m) for n, m in ln.items()], *[quoted(n).alias(m) for (n, _), (m, _) in zip(left.order, lo)], lkey.col.alias(lk), F.lit(True).alias(lhit))
-        rdf = cr.df.select(*[quoted(n).alias(m) for n, m in rn.items()], *[quoted(n).alias(m) for (n, _), (m, _) in zip(right.order, ro)], rkey.col.alias(rk), F.lit(True).alias(rhit))
-        same = quoted(lk).eqNullSafe(quoted(rk)) if common([lkey.type, rkey.type]) is not None else F.lit(False)
-        mode = op.mode or "inner"
-        df = ldf.join(rdf, same, mode)
-        lrow = {n: Value(quoted(m), (left.fields or {"value": left.value_type})[n]) for n, m in ln.items()}
-        rrow = {n: Value(quoted(m), (right.fields or {"value": right.value_type})[n]) for n, m in rn.items()}
-        out: dict[str, Any] = dict(lrow) if left.fields is not None else {}
-        if op.alias:
-            there = quoted(rhit).isNotNull() if mode in ("left", "full") else None
-            out[op.alias] = Row(rrow, there) if right.fields is not None else rrow["value"]
-        else:
-            for n, v in rrow.items() if right.fields is not None else ():
-                out.setdefault(n, v)
-        fields = {n: structured(v) for n, v in out.items()}
-        missed = fresh("o")
-        order = [(missed, False), *lo, *ro] if mode in ("right", "full") else [*lo, *ro]
-        extra = [quoted(lhit).isNull().alias(missed)] if mode in ("right", "full") else []
-        df = df.select(*[v.col.alias(n) for n, v in fields.items()], *extra, *[quoted(n) for n, _ in [*lo, *ro]])
-        return Frame(df, {n: v.type for n, v in fields.items()}, order, False, sorted=left.sorted)
-
-    def union(self, frames: list[Frame]) -> Frame:
-        """All items of each, one table after the other; fields by name, missing ones null."""
-        parts = []
-        scalar = all(f.fields is None for f in frames)
-        which, inner = fresh("o"), fresh("o")
-        for k, f in enumerate(frames):
-            order = F.struct(*[quoted(n) for n, _ in f.order]) if f.order else F.lit(0)
-            parts.append(f.df.select(*map(quoted, f.columns()), F.lit(k).alias(which), F.to_json(F.struct(order)).alias(inner) if len({len(g.order) for g in frames}) > 1 else order.alias(inner)))
-        kinds: dict[str, T.DataType] = {}
-        for f in frames:
-            for n, kind in (f.fields or {"value": f.value_type}).items():
-                kinds[n] = kind if n not in kinds else common([kinds[n], kind]) or TEXT
-        same = [p.select(*[quoted(n).cast(kinds[n]).alias(n) if n in f.columns() else F.lit(None).cast(kinds[n]).alias(n) for n in kinds], which, inner) for p, f in zip(parts, frames)]
-        if len({p.schema[inner].dataType.simpleString() for p in parts}) > 1:
-            same = [s.withColumn(inner, F.to_json(F.struct(inner))) for s in same]
-        fixed = [s.withColumn(inner, F.struct(*[s[inner].getField(c).alias(f"c{i}") for i, c in enumerate(s.schema[inner].dataType.names)])) if isinstance(s.schema[inner].dataType, T.StructType) else s for s in same]
-        df = fixed[0]
-        for other in fixed[1:]:
-            df = df.unionByName(other)
-        return Frame(df, None if scalar else kinds, [(which, False), (inner, False)], False, kinds.get("value") if scalar else None)
-
-    # Groups
-
-    def op_groupby(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Groups:
-        frame = self.frame(x)
-        c = Context(frame.df)
-        key = self.scalar(self.apply(op.args[0], scope, c, frame.item()))
-        key = unstructured(key) if isinstance(key, Value) else key
-        if isinstance(key, Row):
-            parts = {n: structured(v) for n, v in key.fields.items()}
-            names = {n: fresh("k") for n in parts}
-            base = c.df.select("*", *[v.col.alias(names[n]) for n, v in parts.items()])
-            whole: Any = Row({n: Value(quoted(names[n]), v.type) for n, v in parts.items()})
-            keys = list(names.values())
-        else:
-            name = fresh("k")
-            base, whole, keys = c.df.withColumn(name, key.col), Value(quoted(name), key.type), [name]
-        return Groups(base, frame, keys, whole)
-
-    def aggregated(self, g: Groups) -> Frame:
-        """Keys and the aggregates asked for so far, and what follows them."""
-        first = fresh("o")
-        order = [quoted(n) for n, _ in g.frame.order]
-        asked = [c.alias(n) for n, c in g.aggregates.items()]
-        if any(down for _, down in g.frame.order) or not order:
-            df = g.base.groupBy(*map(quoted, g.keys)).agg(*(asked or [F.count(F.lit(1)).alias(fresh("a"))])).withColumn(first, F.struct(*map(quoted, g.keys)))
-        else:
-            df = g.base.groupBy(*map(quoted, g.keys)).agg(*asked, F.min(F.struct(*order)).alias(first))
-        for step in g.after:
-            df = step(df)
-        return Frame(df, None, [(first, False)], False)
-
-    def ungrouped(self, g: Groups) -> Frame:
-        return self.select(g, lambda item, c: item)
-
-    def group_step(self, x: GroupItems, op: t.Op, scope: Scope) -> Any:
-        name, c = op.name.lower(), Context(x.groups.base)
-
-        def of(node: t.Node) -> Any:
-            out = self.scalar(self.apply(node, scope, c, x.item))
-            x.groups.base = c.df
-            return out
-
-        def also(test: Column) -> Column:
-            return test if x.where is None else x.where & test
-
-        if x.distinct and name != "count":
-            return self.array_step(self.gathered(x), op, scope, Context(None, x.groups))
-        if name == "where":
-            return GroupItems(x.groups, x.item, also(truth(of(op.args[0]))), x.order)
-        if name == "select":
-            out = of(op.args[0])
-            return GroupItems(x.groups, unstructured(out) if isinstance(out, Value) else out, x.where, x.order)
-        if name == "orderby":
-            return GroupItems(x.groups, x.item, x.where, [*((structured(of(k)).col, down) for k, down in op.args), *x.order])
-        if name == "distinct":
-            return GroupItems(x.groups, x.item, x.where, x.order, True)
-        if name in ("first", "last", "any", "all") and op.args:
-            test = truth(of(op.args[0]))
-            if name == "all":
-                return Value(F.coalesce(x.groups.ask(F.bool_and(test if x.where is None else F.when(x.where, test))), F.lit(True)), BOOL)
-            x = GroupItems(x.groups, x.item, also(test), x.order)
-        g, only = x.groups, lambda col: col if x.where is None else F.when(x.where, col)
-        if name == "count":
-            if x.distinct:
-                v = structured(x.item).col
-                there = v.isNotNull() if x.where is None else v.isNotNull() & x.where
-                nulls = v.isNull() if x.where is None else v.isNull() & x.where
-                return Value(g.ask(F.count_distinct(F.when(there, v))) + g.ask(F.coalesce(F.max(F.when(nulls, F.lit(1))), F.lit(0))), LONG)
-            return Value(F.coalesce(g.ask(F.count(F.lit(1)) if x.where is None else F.count(F.when(x.where, F.lit(1)))), F.lit(0)), LONG)
-        if name == "sum":
-            v = numeric(structured(x.item))
-            kind = LONG if is_whole(v) else DOUBLE
-            return Value(F.coalesce(g.ask(F.sum(only(v.col))), F.lit(0)).cast(kind), kind)
-        if name in ("min", "max"):
-            v = structured(x.item)
-            return Value(g.ask((F.min if name == "min" else F.max)(only(v.col))), v.type)
-        if name == "any":
-            return Value(F.coalesce(g.ask(F.max(F.lit(True)) if x.where is None else F.bool_or(x.where)), F.lit(False)), BOOL)
-        if name == "all":
-            return Value(F.lit(True), BOOL)
-        if name in ("first", "last") and not x.order and not any(down for _, down in g.frame.order) and g.frame.order:
-            v = structured(x.item)
-            order = F.struct(*[quoted(n) for n, _ in g.frame.order])
-            return unstructured(Value(g.ask((F.min_by if name == "first" else F.max_by)(v.col, only(order))), v.type))
-        if name == "concat":
-            parts = self.gathered(GroupItems(g, Value(text(structured(x.item)), TEXT), x.where, x.order))
-            return Value(F.array_join(parts.col, self.separator(op, scope, Context(None))), TEXT)
-        return self.array_step(self.gathered(x), op, scope, Context(None, g))
-
-    def gathered(self, x: GroupItems) -> Value:
-        """A group's items as an array in order. Rows are collected within structs, so that null items stay."""
-        v = structured(x.item)
-        order = [*x.order, *((quoted(n), down) for n, down in x.groups.frame.order)]
-        row = F.struct(*[F.struct(c.alias("o")).alias(f"o{k}") for k, (c, _) in enumerate(order)], v.col.alias("item"))
-        rows = F.collect_list(row if x.where is None else F.when(x.where, row))
-        out = Value(x.groups.ask(_arranged(rows, [down for _, down in order])), T.ArrayType(v.type))
-        out = Value(F.coalesce(out.col, F.array().cast(out.type)), out.type)
-        return Value(F.array_distinct(out.col), out.type) if x.distinct else out
-
-    # Tables within an item
-
-    def correlated(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        """A step of a pipe over a table inside an item. A predicate that compares the table's rows with the item makes the table's
-        rows a group for each key, which is joined to the items once it is aggregated."""
-        name = op.name.lower()
-        if name not in ("where", "first", "last", "any") or not op.args or isinstance(x, Groups):
-            return self.step(x, op, scope, ctx if name in ("take", "skip", "batch", "concat", "match") else self.top) if not (name == "select" and self.outer(op.args[0], scope)) else self.fail(op)
-        predicate = op.args[0]
-        param, body = (predicate.params[0], predicate.body) if isinstance(predicate, t.Lambda) else ("$", predicate)
-        if not self.outer(predicate, scope):
-            return self.step(x, op, scope, self.top)
-        local, pairs = [], []
-        for part in conjuncts(body):
-            around = {n for n in t.free(part, frozenset([param])) if self.of_row(scope, n)}
-            if not around:
-                local.append(part)
-                continue
-            if isinstance(part, t.Binary) and part.sign == "==":
-                for mine, its in ((part.left, part.right), (part.right, part.left)):
-                    if not {n for n in t.free(mine, frozenset([param])) if self.of_row(scope, n)} and param not in t.free(its):
-                        pairs.append((mine, its))
-                        break
-                else:
-                    self.fail(op)
-            else:
-                self.fail(op)
-        frame = x
-        for part in local:
-            frame = self.filtered(frame, t.Lambda([param], part), scope)
-        inner = Scope({param: frame.item()}, scope)
-        c = Context(frame.df)
-        names, tests = [], []
-        for mine, its in pairs:
-            key, other = structured(self.value(mine, inner, c)), structured(self.value(its, scope, ctx))
-            k = fresh("k")
-            c.df = c.df.withColumn(k, key.col)
-            names.append(k)
-            tests.append(other.col.eqNullSafe(quoted(k)))
-        groups = Looked(c.df, frame, names, NULL)
-        groups.outer, groups.tests = ctx, tests
-        items = GroupItems(groups, frame.item())
-        return items if name == "where" else self.step(items, t.Op(op.name, [], span=op.span), scope, ctx)
-
-    def of_row(self, scope: Scope, name: str) -> bool:
-        found = scope.get(name) if scope.has(name) else None
-        return isinstance(found, (Row, GroupRow, GroupItems)) or isinstance(found, Value) and not found.constant
-
-    def outer(self, node: t.Node, scope: Scope) -> bool:
-        return any(self.of_row(scope, n) for n in t.free(node))
-
-    def fail(self, op: t.Op) -> Any:
-        raise ScriptError(f"{op.name} depends on the item around it by more than equal keys; a join says that.", op.span)
-
-    # Arrays within an item
-
-    def iterated(self, node: t.Pipeline, scope: Scope, ctx: Context) -> Any:
-        """iterate(seed, f) | take n: n steps of an aggregate that appends."""
-        call, first = node.source, node.ops[0]
-        if first.name != "take":
-            raise ScriptError("iterate ends with take n here.", node.span)
-        n = self.count_of(first, scope, ctx)
-        seed = structured(self.value(call.args[0], scope, ctx))
-
-        def after(e: Column) -> Value:
-            out = structured(self.scalar(self.apply(call.args[1], scope, Context(None), unstructured(Value(e, seed.type)))))
-            return Value(out.col.cast(seed.type) if out.type != seed.type else out.col, seed.type)
-
-        start = F.array(seed.col).cast(T.ArrayType(seed.type))
-        x: Any = Value(F.array().cast(T.ArrayType(seed.type)), T.ArrayType(seed.type))
-        if n > 0:
-            x = Value(F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda a, k: F.when(k == 1, a).otherwise(F.concat(a, F.array(after(F.element_at(a, -1)).col)))), T.ArrayType(seed.type))
-        for op in node.ops[1:]:
-            x = self.step(x, op, scope, ctx)
-        return x
-
-    def array_step(self, x: Value, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        name, kind = op.name.lower(), x.type.elementType
-        inside = Context(None)
-
-        def of(node: t.Node, *items: Column) -> Any:
-            return self.scalar(self.apply(node, scope, inside, *(unstructured(Value(e, kind)) for e in items)))
-
-        def shape(node: t.Node) -> T.DataType:
-            return structured(of(node, F.lit(None))).type
-
-        def test(e: Column) -> Column:
-            return truth(of(op.args[0], e))
-
-        if name == "where":
-            return Value(F.filter(x.col, test), x.type)
-        if name == "select":
-            return Value(F.transform(x.col, lambda e: structured(of(op.args[0], e)).col), T.ArrayType(shape(op.args[0])))
-        if name == "selectmany":
-            inner = library.listed(of(op.args[0], F.lit(None))).type
-            return Value(F.flatten(F.transform(x.col, lambda e: library.listed(of(op.args[0], e)).col)), inner)
-        if name in ("any", "all") and op.args:
-            return Value(F.coalesce((F.exists if name == "any" else F.forall)(x.col, test), F.lit(name == "all")), BOOL)
-        if name == "any":
-            return Value(F.coalesce(F.size(x.col) > 0, F.lit(False)), BOOL)
-        if name == "all":
-            return Value(F.lit(True), BOOL)
-        if name in ("first", "last"):
-            some = Value(F.filter(x.col, test), x.type) if op.args else x
-            out = library.edge(name == "first")(some, [])
-            return unstructured(out)
-        if name in ("count", "sum", "min", "max", "index"):
-            return library.BY_NAME[name](x, [])
-        if name == "concat":
-            return library.joined(x, [self.value(a, scope, ctx) for a in op.args])
-        if name == "distinct":
-            return Value(F.array_distinct(x.col), x.type)
-        if name in ("take", "skip"):
-            return library.BY_NAME[name](x, [self.value(op.args[0], scope, ctx)])
-        if name == "takewhile":
-            fails = F.array_position(F.transform(x.col, lambda e: ~test(e)), True)
-            return library.part(x, F.lit(0), F.when(fails > 0, fails.cast("int") - 1).otherwise(F.size(x.col)))
-        if name == "batch":
-            n = self.count_of(op, scope, ctx)
-            if n <= 0:
-                raise ScriptError("batch takes a number above 0.", op.span)
-            starts = F.filter(F.transform(x.col, lambda _, i: i), lambda i: i % n == 0)
-            return Value(F.transform(starts, lambda i: F.slice(x.col, i + 1, F.lit(n))), T.ArrayType(x.type))
-        if name == "orderby":
-            keyed = F.transform(x.col, lambda e, i: F.struct(*[F.struct(structured(of(k, e)).col.alias("o")).alias(f"o{j}") for j, (k, _) in enumerate(op.args)], F.struct(i.alias("o")).alias(f"o{len(op.args)}"), e.alias("item")))
-            return Value(_arranged(keyed, [*(down for _, down in op.args), False]), x.type)
-        if name == "groupby":
-            key = shape(op.args[0])
-            keys = F.array_distinct(F.transform(x.col, lambda e: structured(of(op.args[0], e)).col))
-            group = T.StructType([T.StructField("key", key), T.StructField("items", x.type)])
-            return Value(F.transform(keys, lambda k: F.struct(k.alias("key"), F.filter(x.col, lambda e: structured(of(op.args[0], e)).col.eqNullSafe(k)).alias("items"))), T.ArrayType(group))
-        if name == "reduce":
-            return self.fold(x, op, scope, ctx)
-        raise ScriptError(f"{op.name} doesn't work on an array within an item.", op.span)
-
-    def fold(self, x: Value, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        """A left fold; the state has one type, that of the start and of a step from it together."""
-        kind, function = x.type.elementType, op.args[0]
-        if len(op.args) > 1:
-            start, rest = structured(self.value(op.args[1], scope, ctx)), x.col
-        else:
-            start, rest = Value(F.get(x.col, F.lit(0)), kind), library.part(x, F.lit(1), F.size(x.col)).col
-
-        def after(state: Value, e: Column) -> Value:
-            return structured(self.scalar(self.apply(function, scope, Context(None), unstructured(state), unstructured(Value(e, kind)))))
-
-        if is_null(start):
-            start = Value(start.col, kind)
-        if isinstance(start.type, T.StructType) and not start.type.fields:
-            return self.keyed_fold(x, lambda e: structured(self.scalar(self.apply(function, scope, Context(None), Row({}), unstructured(Value(e, kind))))))
-        wide = common([start.type, after(start, F.lit(None)).type]) or TEXT
-        begin = start.col if start.type == wide else text(start) if wide == TEXT else start.col.cast(wide)
-
-        def step(a: Column, e: Column) -> Column:
-            out = after(Value(a, wide), e)
-            return out.col if out.type == wide else text(out) if wide == TEXT else out.col.cast(wide)
-
-        return unstructured(Value(F.aggregate(rest, begin, step), wide))
-
-
-    def keyed_fold(self, x: Value, entry) -> Value:
-        """A fold from {} that adds computed keys: the entries of all items, the last of equal keys."""
-        kind = entry(F.lit(None)).type
-        if not isinstance(kind, T.MapType):
-            raise ScriptError("A fold from {} adds [key]: value.")
-        pairs = F.flatten(F.transform(x.col, lambda e: F.map_entries(entry(e).col)))
-        numbered = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i")))
-        last = F.filter(numbered, lambda p: ~F.exists(numbered, lambda q: (q["key"] == p["key"]) & (q["i"] > p["i"])))
-        return Value(F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"]))), kind)
-
-
-class Looked(Groups):
-    """Groups of a table's rows by the keys that an item asks for: aggregates are columns joined to the items."""
-
-    outer: Context
-    tests: list[Column]
-
-    def ask(self, column: Column, what: str = "a") -> Column:
-        name = fresh(what)
-        names = [fresh("k") for _ in self.keys]
-        right = self.base.groupBy(*[quoted(k).alias(n) for k, n in zip(self.keys, names)]).agg(column.alias(name))
-        on = None
-        for k, n, test in zip(self.keys, names, self.tests):
-            right = right.withColumnRenamed(n, k)
-            on = test if on is None else on & test
-        renamed = {k: fresh("j") for k in self.keys}
-        self.outer.attach(right, on)
-        if self.outer.df is not None:
-            for k in renamed:
-                self.outer.df = self.outer.df.drop(k)
-        return quoted(name)
-
 
 def readable(df: DataFrame) -> DataFrame:
     """Columns of VARIANT as JSON text."""
     found = {f.name for f in df.schema.fields if isinstance(f.dataType, T.VariantType)}
     return df.select(*[F.to_json(quoted(c)).alias(c) if c in found else quoted(c) for c in df.columns]) if found else df
-
-
-def conjuncts(node: t.Node) -> list[t.Node]:
-    return [*conjuncts(node.left), *conjuncts(node.right)] if isinstance(node, t.Binary) and node.sign == "&&" else [node]
-
-
-def _arranged(rows: Column, downs: list[bool]) -> Column:
-    """The items of structs (o0, o1, ..., item), sorted by the o's."""
-    if not downs:
-        return F.transform(rows, lambda e: e["item"])
-    if not any(downs):
-        keys = [f"o{k}" for k in range(len(downs))]
-        by = lambda a, b: _order([(a[k], b[k], False) for k in keys])
-    else:
-        by = lambda a, b: _order([(a[f"o{k}"], b[f"o{k}"], down) for k, down in enumerate(downs)])
-    return F.transform(F.array_sort(rows, by), lambda e: e["item"])
-
-
-def _order(pairs: list[tuple[Column, Column, bool]]) -> Column:
-    out = None
-    for a, b, down in pairs:
-        less, more = (1, -1) if down else (-1, 1)
-        out = (F.when(a < b, F.lit(less)) if out is None else out.when(a < b, F.lit(less))).when(a > b, F.lit(more))
-    return out.otherwise(F.lit(0))
