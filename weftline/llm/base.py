@@ -10,6 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A column of ours beside all columns of a table: a name that none will have.
+OWN = "__weftline_own_key"
+
+_claimed: list = [None, None]
+
+
+def claim(owner: str, forget: Callable[[], None]) -> None:
+    """A Python worker serves one operator after another: what the last one has cached goes when the next one caches."""
+    if _claimed[0] != owner:
+        if _claimed[1]:
+            _claimed[1]()
+        _claimed[:] = owner, forget
+
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster, or a temporary one where none is set, as in tests."""
@@ -23,7 +36,7 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors cost no more than their own tasks."""
     path = path or scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

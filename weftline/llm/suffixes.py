@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bloom, copies
 from weftline.llm.base import cut
-from weftline.llm.words import runs, sums
+from weftline.llm.words import mixed, runs, sums
 
 GRAM = 32
 #: Bytes to which multikey quicksort goes; bytes of texts hashed at once (below 2**24), and of records sorted at once.
@@ -61,7 +61,8 @@ def _anchors(parts: list, length: int) -> Iterator:
         own = at[a : b - length + 1]
         new = np.flatnonzero(own[1:] != own[:-1]) + 1
         first = np.append(0, new)
-        yield k, offset, h[own[first]], own[first] - a, first, np.append(new - 1, len(own) - 1)
+        # Anchors have small hashes; mixed anew, they spread again.
+        yield k, offset, mixed(h[own[first]]), own[first] - a, first, np.append(new - 1, len(own) - 1)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -209,23 +210,22 @@ def _records(length: int, suspects, sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, seen = bloom.Filter(sent.value), set()
-        for batch in copies.distinct(batches, suspects):
-            for some in (batch,):
-                ids, ths, ns, texts = (some.column(c).to_pylist() for c in ("id", "th", "n", "text"))
-                out: list[tuple] = []
-                for t, offset, h, at, first, last in anchors(texts, length):
-                    for j in np.flatnonzero(again.test(h)).tolist():
-                        a, b = int(first[j]), int(last[j])
-                        content = texts[t][offset + a : offset + b + length]
-                        before = int(at[j]) - a
-                        cls = xxhash.xxh3_128_digest(content, before)
-                        out.append((int(h[j].view(np.int64)), cls, ids[t], ths[t], offset + a, before, b - a, ns[t] > 1, None if cls in seen else content))
-                        if len(seen) > 2_000_000:
-                            seen.clear()
-                        seen.add(cls)
-                if out:
-                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
+        for some in copies.distinct(batches, suspects):
+            ids, ths, ns, texts = (some.column(c).to_pylist() for c in ("id", "th", "n", "text"))
+            out: list[tuple] = []
+            for t, offset, h, at, first, last in anchors(texts, length):
+                for j in np.flatnonzero(again.test(h)).tolist():
+                    a, b = int(first[j]), int(last[j])
+                    content = texts[t][offset + a : offset + b + length]
+                    before = int(at[j]) - a
+                    cls = xxhash.xxh3_128_digest(content, before)
+                    out.append((int(h[j].view(np.int64)), cls, ids[t], ths[t], offset + a, before, b - a, ns[t] > 1, None if cls in seen else content))
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(cls)
+            if out:
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     return run
 
@@ -276,8 +276,10 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     records = cut(work.mapInArrow(_records(length, suspects, again), RECORD))
     classes = cut(records.groupBy("ah", "cls").agg((F.count(F.lit(1)) + F.max(F.col("many").cast("long")) > 1).alias("full")))
     # Only anchors with different records, of which some is there once, are sorted.
-    mixed = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("all")).filter("n > 1 and not all").select("ah")
-    sort = records.filter("content is not null").select("ah", "cls", "before", "content").join(mixed, "ah", "left_semi")
+    several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("all")).filter("n > 1 and not all").select("ah")
+    several = cut(several)
+    wanted = copies.member(spark, bloom.build(several, several.count())[0])
+    sort = records.filter("content is not null").select("ah", "cls", "before", "content").filter(wanted("ah"))
     found = sort.repartition("ah").sortWithinPartitions("ah").mapInArrow(_sorted(length), "cls binary, low int, high int")
     partly = found.join(classes.filter("full"), "cls", "left_anti").groupBy("cls").agg(F.collect_list(F.struct("low", "high")).alias("parts"))
     wide = F.array(F.struct(F.lit(0).alias("low"), F.lit(1 << 30).alias("high")))
