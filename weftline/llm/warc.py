@@ -194,6 +194,7 @@ def arc_records(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
+        pack = zstandard.ZstdCompressor(level=1)  # what moves to its digest's task is compressed
         for batch in batches:
             for content in batch.column(0):
                 content, data = content.as_py(), b""
@@ -205,7 +206,7 @@ def arc_records(spark: SparkSession, folder: str) -> DataFrame:
                 for r in read_arc(data or content):
                     body = r.parts()[1]
                     told = r.header("X-Page-Id")
-                    rows.append((int(told) if told and told.lstrip("-").isdigit() else None, r.fields["URL"], r.fields["Archive-date"], base32_sha1(body), len(body), " ".join(r.fields.values()).encode() + b"\n" + r.block, r.version))
+                    rows.append((int(told) if told and told.lstrip("-").isdigit() else None, r.fields["URL"], r.fields["Archive-date"], base32_sha1(body), len(body), pack.compress(" ".join(r.fields.values()).encode() + b"\n" + r.block), r.version))
                     if len(rows) == 500:
                         yield table(rows)
                         rows = []
@@ -230,7 +231,7 @@ def convert(records: DataFrame, folder: str, least: int = 0) -> None:
         pack, parts, size = zstandard.ZstdCompressor(level=3), [], 0
         for batch in batches:
             for arc, version, page_id, digest, r_id, r_url, r_date in zip(*(x.to_pylist() for x in batch.columns)):
-                line, block = arc.split(b"\n", 1)
+                line, block = zstandard.decompress(arc).split(b"\n", 1)
                 names, values = FIELDS[version], line.decode().split(" ")
                 values = [" ".join(values[: len(values) - len(names) + 1]), *values[len(values) - len(names) + 1 :]]
                 original = None
