@@ -26,7 +26,7 @@ class FrameOperators:
         return GroupRow(x) if isinstance(x, Groups) else x.item()
 
     def context(self, x: Frame | Groups) -> Context:
-        return Context(None, x) if isinstance(x, Groups) else Context(x.df)
+        return Context(None, x) if isinstance(x, Groups) else Context(x.df, frame=x)
 
     def select(self, x: Frame | Groups, body) -> Frame:
         """Rows of what body(item, context) gives."""
@@ -38,7 +38,7 @@ class FrameOperators:
             frame = self.aggregated(x)
             df, order, natural = frame.df, frame.order, False
         else:
-            df, order, natural = ctx.df, x.order, x.natural and not ctx.joined
+            df, order, natural = ctx.df, ctx.order, ctx.natural
         keep = [quoted(n) for n, _ in order]
         if isinstance(out, Row):
             fields = {n: structured(self.scalar(v)) for n, v in out.fields.items()}
@@ -58,8 +58,7 @@ class FrameOperators:
             x.after.append(lambda df: df.filter(test))
             return x
         lambda_, body = (predicate.params, predicate.body) if isinstance(predicate, t.Lambda) else (["$"], predicate)
-        df, natural = x.df, x.natural
-        rest = []
+        c, rest = Context(x.df, frame=x), []
         inner = Scope({lambda_[0]: x.item()} | ({"_": x.item()} if lambda_ == ["$"] else {}), scope)
         for part in conjuncts(body):
             found = self.semi(part, inner)
@@ -67,14 +66,14 @@ class FrameOperators:
                 rest.append(part)
             else:
                 key, right, name, mode = found
-                df, natural = df.join(right, key.eqNullSafe(quoted(name)), mode), False
-        c = Context(df)
+                c.shuffled()
+                c.df = c.df.join(right, key.eqNullSafe(quoted(name)), mode)
         for part in rest:
             v = self.scalar(self.lower(part, inner, c))
             # A filter drops what is null by itself; a bare comparison can be pushed to the scan.
             c.df = c.df.filter(v.col if isinstance(v, Value) and isinstance(v.type, T.BooleanType) else truth(v))
-        names = [quoted(n) for n in [*x.columns(), *(n for n, _ in x.order)]]
-        return Frame(c.df.select(*names) if c.joined else c.df, x.fields, x.order, natural and not c.joined, x.value_type, x.sorted)
+        names = [quoted(n) for n in [*x.columns(), *(n for n, _ in c.order)]]
+        return Frame(c.df.select(*names) if c.joined else c.df, x.fields, c.order, c.natural, x.value_type, x.sorted)
 
     def semi(self, node: t.Node, scope: Scope) -> tuple | None:
         """x.in(table) or !x.in(table) as a semi or anti join."""
@@ -93,8 +92,8 @@ class FrameOperators:
         return structured(self.value(node.target, scope, Context(None))).col, right, name, mode
 
     def op_selectmany(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame, c = self.frame(x), None
-        c = Context(frame.df)
+        frame = self.frame(x).with_order()
+        c = Context(frame.df, frame=frame)
         out = library.listed(self.scalar(self.apply(op.args[0], scope, c, frame.item())))
         at, item = fresh("o"), fresh("i")
         df = c.df.select(*[quoted(n) for n, _ in frame.order], F.posexplode(out.col).alias(at, item))
@@ -102,11 +101,11 @@ class FrameOperators:
         keep = [quoted(n) for n, _ in order]
         kind = out.type.elementType
         if isinstance(kind, T.StructType):
-            return Frame(df.select(*[quoted(item).getField(f.name).alias(f.name) for f in kind.fields], *keep), {f.name: f.dataType for f in kind.fields}, order, frame.natural and not c.joined, sorted=frame.sorted)
-        return Frame(df.select(quoted(item).alias("value"), *keep), None, order, frame.natural and not c.joined, kind, frame.sorted)
+            return Frame(df.select(*[quoted(item).getField(f.name).alias(f.name) for f in kind.fields], *keep), {f.name: f.dataType for f in kind.fields}, order, c.natural, sorted=frame.sorted)
+        return Frame(df.select(quoted(item).alias("value"), *keep), None, order, c.natural, kind, frame.sorted)
 
     def op_distinct(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame = self.frame(x)
+        frame = self.frame(x).with_order()
         first = fresh("o")
         if any(down for _, down in frame.order):
             ranked = frame.df.withColumn(first, F.row_number().over(W.partitionBy(*map(quoted, frame.columns())).orderBy(*frame.sorting())))
@@ -115,8 +114,8 @@ class FrameOperators:
         return Frame(df, frame.fields, [(first, False)], False, frame.value_type, frame.sorted)
 
     def op_orderby(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        frame, order = self.frame(x), []
-        c = Context(frame.df)
+        frame, order = self.frame(x).with_order(), []
+        c = Context(frame.df, frame=frame)
         for node, down in op.args:
             v = structured(self.scalar(self.apply(node, scope, c, frame.item())))
             name = fresh("o")
@@ -125,6 +124,7 @@ class FrameOperators:
         return Frame(c.df, frame.fields, [*order, *frame.order], False, frame.value_type, True)
 
     def limited(self, frame: Frame, n: int) -> Frame:
+        frame = frame.with_order()
         df = frame.df if frame.natural else frame.df.orderBy(*frame.sorting())
         return Frame(df.limit(n), frame.fields, frame.order, False, frame.value_type, frame.sorted)
 
@@ -135,13 +135,13 @@ class FrameOperators:
         return self.limited(self.frame(x), self.count_of(op, scope, ctx))
 
     def op_skip(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        frame = self.frame(x)
+        frame = self.frame(x).with_order()
         return Frame(frame.df.orderBy(*frame.sorting()).offset(self.count_of(op, scope, ctx)), frame.fields, frame.order, False, frame.value_type, frame.sorted)
 
     def op_takewhile(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
         """Rows before the first that fails, which one aggregate finds: no window over all rows."""
-        frame = self.frame(x)
-        c = Context(frame.df)
+        frame = self.frame(x).with_order()
+        c = Context(frame.df, frame=frame)
         test, ok = truth(self.scalar(self.apply(op.args[0], scope, c, frame.item()))), fresh("t")
         marked = c.df.withColumn(ok, test)
         stop = marked.filter(~quoted(ok)).orderBy(*frame.sorting()).limit(1).select(F.struct(*[quoted(n).alias(n) for n, _ in frame.order]).alias("s"))
@@ -154,12 +154,12 @@ class FrameOperators:
             larger = F.coalesce(mine > its, its.isNull() & mine.isNotNull())
             before = before | (same & (larger if down else smaller))
             same = same & mine.eqNullSafe(its)
-        return Frame(marked.filter(at.isNull() | before).drop(ok), frame.fields, frame.order, frame.natural and not c.joined, frame.value_type, frame.sorted)
+        return Frame(marked.filter(at.isNull() | before).drop(ok), frame.fields, frame.order, c.natural, frame.value_type, frame.sorted)
 
     def numbered(self, frame: Frame) -> tuple[DataFrame, str]:
         """A column of places from 0. In read order, each input partition counts its own rows and the sizes of those before it are
         added; after a sort, one window numbers all rows, which only takes the numbers and the keys if nothing else is used."""
-        name = fresh("n")
+        name, frame = fresh("n"), frame.with_order()
         if not frame.natural or len(frame.order) > 1:
             return frame.df.withColumn(name, F.row_number().over(W.orderBy(*frame.sorting())) - 1), name
         part, before = fresh("p"), fresh("b")
@@ -215,7 +215,7 @@ class FrameOperators:
 
     def op_last(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
         frame = self.frame(x)
-        frame = self.filtered(frame, op.args[0], scope) if op.args else frame
+        frame = (self.filtered(frame, op.args[0], scope) if op.args else frame).with_order()
         back = Frame(frame.df, frame.fields, [(n, not down) for n, down in frame.order], False, frame.value_type)
         return Single(self.limited(back, 1))
 
@@ -234,7 +234,7 @@ class FrameOperators:
         return self.single(c.df.filter(~test).limit(1), F.count(F.lit(1)) == 0, BOOL)
 
     def op_concat(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Single:
-        frame = self.frame(x)
+        frame = self.frame(x).with_order()
         array = self.collected_in(frame, text(structured(frame.item())))
         return self.single(frame.df, F.array_join(array, self.separator(op, scope, ctx)), TEXT)
 
@@ -246,7 +246,7 @@ class FrameOperators:
         return arranged(F.collect_list(row), [down for _, down in frame.order])
 
     def op_reduce(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Any:
-        frame = self.frame(x)
+        frame = self.frame(x).with_order()
         fold, start = op.args[0], self.value(op.args[1], scope, ctx) if len(op.args) > 1 else None
         if isinstance(fold, t.Lambda) and isinstance(fold.body, t.Binary) and fold.body.sign == "+" and isinstance(fold.body.left, t.Name) and fold.body.left.name == fold.params[0] and fold.params[0] not in t.free(fold.body.right):
             c = Context(frame.df)
@@ -261,11 +261,11 @@ class FrameOperators:
         return Single(Frame(rows.select(out.col.alias("value")), None, [], False, out.type))
 
     def op_join(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
-        left = self.frame(x)
+        left = self.frame(x).with_order()
         source = self.lower(op.args[0], scope, self.top)
         if not isinstance(source, (Frame, Groups)):
             raise ScriptError("join needs a table.", op.span)
-        right = self.frame(source)
+        right = self.frame(source).with_order()
         # Columns of both sides under names of their own.
         ln, rn = {n: fresh("l") for n in left.columns()}, {n: fresh("r") for n in right.columns()}
         lo, ro = [(fresh("o"), d) for _, d in left.order], [(fresh("o"), d) for _, d in right.order]
@@ -300,6 +300,7 @@ class FrameOperators:
         parts = []
         scalar = all(f.fields is None for f in frames)
         which, inner = fresh("o"), fresh("o")
+        frames = [f.with_order() for f in frames]
         for k, f in enumerate(frames):
             order = F.struct(*[quoted(n) for n, _ in f.order]) if f.order else F.lit(0)
             parts.append(f.df.select(*map(quoted, f.columns()), F.lit(k).alias(which), F.to_json(F.struct(order)).alias(inner) if len({len(g.order) for g in frames}) > 1 else order.alias(inner)))

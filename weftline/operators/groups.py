@@ -17,7 +17,7 @@ class GroupOperators:
     """Part of the lowering: steps of a pipe over the items of a group."""
 
     def op_groupby(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Groups:
-        frame = self.frame(x)
+        frame = self.frame(x).with_order()
         c = Context(frame.df)
         key = self.scalar(self.apply(op.args[0], scope, c, frame.item()))
         key = unstructured(key) if isinstance(key, Value) else key

@@ -65,6 +65,7 @@ class LookupOperators:
         frame = x
         for part in local:
             frame = self.filtered(frame, t.Lambda([param], part), scope)
+        frame = frame.with_order()
         inner = Scope({param: frame.item()}, scope)
         c = Context(frame.df)
         names, tests = [], []

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from weftline.lang import tree as t
 from weftline.lang.diagnostics import ScriptError
-from weftline.plans.typed import Groups
+from weftline.plans.typed import Frame, Groups, fresh
 
 LONG, DOUBLE, BOOL, TEXT = T.LongType(), T.DoubleType(), T.BooleanType(), T.StringType()
 
@@ -32,8 +32,16 @@ class Scope:
 class Context:
     """The rows that an expression stands in; lookups join further columns to them."""
 
-    def __init__(self, df: DataFrame | None, groups: Groups | None = None) -> None:
+    def __init__(self, df: DataFrame | None, groups: Groups | None = None, frame: Frame | None = None) -> None:
         self.df, self.groups, self.joined = df, groups, False
+        self.order, self.natural = (frame.order, frame.natural) if frame else ([], False)
+
+    def shuffled(self) -> None:
+        """Before rows move: their order is put down, if nothing tells it yet."""
+        if self.natural and not self.order:
+            name = fresh("o")
+            self.df, self.order = self.df.withColumn(name, F.monotonically_increasing_id()), [(name, False)]
+        self.natural = False
 
     def attach(self, right: DataFrame, on: Column) -> None:
         if self.groups is not None:
@@ -41,6 +49,7 @@ class Context:
         elif self.df is None:
             raise ScriptError("A lookup in a table stands inside an array's item.")
         else:
+            self.shuffled()
             self.df = self.df.join(right, on, "left")
         self.joined = True
 

@@ -27,9 +27,7 @@ from weftline.plans.typed import NULL, Frame, Function, GroupItems, GroupRow, Gr
 
 def scanned(df: DataFrame) -> Frame:
     """A table as items: its rows in the order in which they are read."""
-    order = fresh("o")
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    return Frame(df.withColumn(order, F.monotonically_increasing_id()), fields, [(order, False)])
+    return Frame(df, {f.name: f.dataType for f in df.schema.fields}, [])
 
 
 class Lowering(FrameOperators, GroupOperators, LookupOperators, ArrayOperators):
@@ -95,6 +93,7 @@ class Lowering(FrameOperators, GroupOperators, LookupOperators, ArrayOperators):
 
     def collected(self, frame: Frame) -> Value:
         """A whole frame as an array within one row, in order."""
+        frame = frame.with_order()
         item = structured(frame.item())
         row = F.struct(*[F.struct(quoted(n).alias("o")).alias(f"o{k}") for k, (n, _) in enumerate(frame.order)], item.col.alias("item"))
         array = arranged(F.collect_list(row), [down for _, down in frame.order])
@@ -204,7 +203,7 @@ class Lowering(FrameOperators, GroupOperators, LookupOperators, ArrayOperators):
             a, b = (None if v is None else int(library.constant(v, "a bound")) for v in (low, high))
             if (a or 0) < 0 or (b is not None and b < 0):
                 raise ScriptError("Bounds from the end need an array, not a table.", node.span)
-            frame = self.frame(x)
+            frame = self.frame(x).with_order()
             out = Frame(frame.df.orderBy(*frame.sorting()).offset(a or 0), frame.fields, frame.order, False, frame.value_type, frame.sorted)
             return out if b is None else self.limited(out, max(0, b - (a or 0)))
         x = library.listed(self.scalar(x))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import count
 from typing import Any
 
@@ -48,7 +48,7 @@ class Row:
 @dataclass
 class Frame:
     """Items as rows. fields: names and types, or None for single values in the column `value`. order: hidden columns, and whether
-    descending. natural: the rows still lie in their order, as read."""
+    descending. natural: the rows still lie in their order, as read; they may then have no order columns yet."""
 
     df: DataFrame
     fields: dict[str, T.DataType] | None
@@ -57,6 +57,13 @@ class Frame:
     value_type: T.DataType | None = None
     sorted: bool = False
 
+    def with_order(self) -> Frame:
+        """With a column that tells the order in which rows lie: added where it is asked for, behind the filters so far."""
+        if self.order or not self.natural:
+            return self
+        name = fresh("o")
+        return replace(self, df=self.df.withColumn(name, F.monotonically_increasing_id()), order=[(name, False)])
+
     def item(self) -> Any:
         if self.fields is None:
             return Value(quoted("value"), self.value_type)
