@@ -62,6 +62,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_packing, op3_substring_dedup, op4_simhash, op5_html_labeller, op6_suffix_array, op7_token_file, op8_exact_dedup, op9_toxicity, op10_decontamination)}
 
 ORACLES: dict[str, str] = {
+    "op1_warc": r"""
+        WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        told AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first,
+                 array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+                     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT) >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS digest
+                 FROM hashed)
+        SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM told""",
+    "op3_substring_dedup": r"""
+        WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        windows AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50)),
+        firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+        lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+        kept AS (SELECT split.doc_id, words, coalesce(len(gone), 0) AS n,
+                 CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda w, k: NOT list_contains(gone, k)) END AS rest FROM split LEFT JOIN lists USING (doc_id))
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
