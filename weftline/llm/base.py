@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +23,36 @@ def claim(owner: str, forget: Callable[[], None]) -> None:
     if _claimed[0] != owner:
         if _claimed[1]:
             _claimed[1]()
+            trim()
         _claimed[:] = owner, forget
 
 
+def trim() -> None:
+    """Give freed memory back to the system: an idle Python worker would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function on Arrow batches that gives memory back when its task is done."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: Python's objects of a whole one would take as much again."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster, or a temporary one where none is set, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -55,14 +84,12 @@ def mapped(df: DataFrame, make: Callable[[dict[str, list]], Iterator[dict] | dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = arrow_types(schema)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             out = make({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             for part in [out] if isinstance(out, dict) else out or ():
                 yield to_batch(part, names, types)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def to_batch(columns: dict, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from weftline.llm import bloom
-from weftline.llm.base import cut, raw
+from weftline.llm.base import cut, raw, sliced, trimmed
 
 #: Stands for a null doc_id: smaller than any other.
 NO_ID = -(1 << 63)
@@ -28,9 +28,9 @@ def member(spark, f: bloom.Filter) -> Callable[[str], Column]:
     """A filter sent to the executors, as a function on a column of longs."""
     sent = spark.sparkContext.broadcast(f.bits)
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom.Filter(sent.value).test(h.to_numpy(np.int64).view(np.uint64)))
+    @arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(bloom.Filter(sent.value).test(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     return test
 
@@ -74,7 +74,7 @@ def carve(rows: DataFrame, spans: DataFrame, whole: DataFrame, split: Callable[[
     marked = rows.join(marks, ["id", "th"], "left").select("id", "text", "firsts", "lasts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: tuple[list, list, list, list] = [], [], [], []
             for doc_id, text, firsts, lasts in zip(*(x.to_pylist() for x in batch.columns)):
                 units = split(text)
@@ -87,7 +87,7 @@ def carve(rows: DataFrame, spans: DataFrame, whole: DataFrame, split: Callable[[
                     part.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.binary())], names=["doc_id", "n", "spans", "kept"])
 
-    return marked.mapInArrow(run, "doc_id long, n long, spans array<int>, kept binary")
+    return marked.mapInArrow(trimmed(run), "doc_id long, n long, spans array<int>, kept binary")
 
 
 def union(firsts: np.ndarray, lasts: np.ndarray, n: int) -> list[tuple[int, int]]:

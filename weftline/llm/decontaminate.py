@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom, copies
-from weftline.llm.base import cut
+from weftline.llm.base import OWN, claim, cut, sliced, trimmed
 from weftline.llm.words import runs, sums
 
 #: Words of a seed; score from which a document holds an item; what diagonals of one passage differ by at most.
@@ -31,7 +31,7 @@ class _Plain(dict):
     """The hash of a word without case and outer punctuation; 0 where nothing is left."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         plain = word.decode("utf-8", "replace").strip(_STRIP).casefold()
         value = self[word] = xxhash.xxh64_intdigest(plain) | 1 if plain else 0
@@ -43,6 +43,7 @@ _plain = _Plain()
 
 def plain(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words that have letters, digits or inner signs, and the number of each among all words."""
+    claim("plain words", _plain.clear)
     words = text.split()
     h = np.fromiter(map(_plain.__getitem__, words), np.uint64, len(words))
     at = np.flatnonzero(h)
@@ -114,7 +115,7 @@ def _grams(n: int):
 def _found(n: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.Filter(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             out: tuple[list, list, list, list] = [], [], [], []
             for i, th, text in zip(*(batch.column(k).to_pylist() for k in ("id", "th", "text"))):
                 g = runs(sums(plain(text)[0]), n)
@@ -130,7 +131,7 @@ def _verify(threshold: float, pad: int):
     """Rows (id, text, passages of (item, low, high, words)): those whose best passage of an item reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, pairs = [], []
             for i, text, passages in zip(*(x.to_pylist() for x in batch.columns)):
                 h, at = plain(text)
@@ -161,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
     grams = cut(items.mapInArrow(_grams(seed), "g long, item long, pos int, words array<long>"))
     # Four times the room of other filters: few words that are no seeds get through.
     sent = spark.sparkContext.broadcast(bloom.build(grams.select("g"), 4 * grams.count())[0].bits)
-    found = cut(rows.mapInArrow(_found(seed, sent), "g long, id long, th long, pos int"))
+    found = cut(rows.mapInArrow(trimmed(_found(seed, sent)), "g long, id long, th long, pos int"))
     counts = found.select("g", "id", "th").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("docs"))
     counted = grams.join(counts, "g").withColumn("words_", F.xxhash64("words"))
     half = counted.groupBy("item", "words_").agg(F.percentile("docs", 0.5).alias("half"))
@@ -174,11 +175,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
     # Only documents with passages move.
     flagged = copies.member(spark, bloom.build(asked.select("th"), asked.count())[0])
     texts = rows.filter(flagged("th")).dropDuplicates(["id", "th"])
-    out = texts.join(asked, ["id", "th"]).select("id", "text", "passages").mapInArrow(_verify(threshold, BAND // 2), "doc_id long, item_id long, score double, first_word int, last_word int")
+    out = texts.join(asked, ["id", "th"]).select("id", "text", "passages").mapInArrow(trimmed(_verify(threshold, BAND // 2)), "doc_id long, item_id long, score double, first_word int, last_word int")
     return out.select("doc_id", F.nullif("item_id", F.lit(copies.NO_ID)).alias("item_id"), "score", "first_word", "last_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that hold no item, with all their columns; rows of one doc_id stay or go together."""
-    bad = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(copies.NO_ID)).alias("bad")).distinct()
-    return docs.join(cut(bad), F.coalesce(F.col("doc_id").cast("long"), F.lit(copies.NO_ID)) == F.col("bad"), "left_anti")
+    bad = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(copies.NO_ID)).alias(OWN)).distinct()
+    return docs.join(cut(bad), F.coalesce(F.col("doc_id").cast("long"), F.lit(copies.NO_ID)) == F.col(OWN), "left_anti")

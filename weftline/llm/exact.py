@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
 from weftline.llm.base import cut
+from weftline.llm.copies import member
 
 
 def _digest(text: str, normalise: Callable[[Column], Column] | None) -> Column:
@@ -18,16 +17,6 @@ def _digest(text: str, normalise: Callable[[Column], Column] | None) -> Column:
     return F.sha2((normalise(whole) if normalise else whole).cast("binary"), 256)
 
 
-def _suspect(spark, repeated: bloom.Filter) -> Callable[[Column], Column]:
-    sent = spark.sparkContext.broadcast(repeated.bits)
-
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom.Filter(sent.value).test(h.to_numpy(np.int64).view(np.uint64)))
-
-    return test
-
-
 def decisions(docs: DataFrame, normalise: Callable[[Column], Column] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row its key, keep_id (the key that stays of its group of equal texts: the largest), group_size, kept and text_sha256.
 
@@ -37,7 +26,7 @@ def decisions(docs: DataFrame, normalise: Callable[[Column], Column] | None = No
     """
     rows = cut(docs.select(F.col(key).cast("long").alias("id"), F.unhex(_digest(text, normalise)).alias("sha")).withColumn("row", F.monotonically_increasing_id()))
     rows = rows.withColumn("h", F.xxhash64("sha"))
-    suspect = _suspect(docs.sparkSession, bloom.build(rows.select("h"), rows.count())[1])
+    suspect = member(docs.sparkSession, bloom.build(rows.select("h"), rows.count())[1])
     tested = rows.withColumn("again", suspect("h"))
     again = tested.filter("again")
     # A group of copies is one partial row for each task before it moves; the join splits a hot group's rows.
@@ -52,7 +41,7 @@ def drop(docs: DataFrame, normalise: Callable[[Column], Column] | None = None, k
     """The rows that decisions() keeps, with all their columns. Rows whose text can't repeat don't move."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(key).cast("long").alias("id"), _digest(text, normalise).alias("sha")).withColumn("h", F.xxhash64("sha"))
     hashes = cut(rows.select("h"))
-    suspect = _suspect(docs.sparkSession, bloom.build(hashes, hashes.count())[1])
+    suspect = member(docs.sparkSession, bloom.build(hashes, hashes.count())[1])
     tested = rows.withColumn("again", suspect("h"))
     one = tested.filter("again").groupBy("sha").agg(F.max_by("all", F.coalesce("id", F.lit(-(1 << 63)))).alias("all"))
     return tested.filter(~F.col("again")).select("all.*").unionByName(one.select("all.*"))

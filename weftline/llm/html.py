@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.base import claim
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -161,7 +163,13 @@ class _Words(dict):
 _paths, _words = _Paths(), _Words()
 
 
+def _forget() -> None:
+    _paths.clear()
+    _words.clear()
+
+
 def vectors(page: list[Block]) -> np.ndarray:
+    claim("html", _forget)
     out = np.zeros((len(page), INPUT), np.float32)
     n = len(page)
     for k, b in enumerate(page):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens as tok
-from weftline.llm.base import arrow_types, to_batch
+from weftline.llm.base import arrow_types, to_batch, trimmed
 
 
 @dataclass(frozen=True)
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 0, limits: Limits
         rows.close(out, False)
         yield to_batch(out, NAMES, types)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def pack_conversations(turns: DataFrame, path: str | None = None, end: int = 0, limits: Limits = Limits(segments=16, loss=768)) -> DataFrame:

@@ -22,8 +22,8 @@ from weftline.llm.words import mixed, powers, sums
 
 # A Spark task has one core; the library's own threads would only contend for it.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Words in the table of one Python worker, some 60 MB, and stems kept beside it.
-KNOWN, STEMS = 2_000_000, 100_000
+#: Words in the table of one Python worker, some 30 MB, and stems kept beside it.
+KNOWN, STEMS = 800_000, 50_000
 #: Words that wait to be merged into the table; bytes of texts at once; unknown words in one text for the library.
 WAITING, AT_ONCE, TOGETHER = 100_000, 1 << 20, 100
 #: Signs that may end a word and are a cut of their own there.

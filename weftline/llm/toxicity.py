@@ -18,12 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
-from weftline.llm.base import raw
+from weftline.llm.base import claim, raw, sliced, trimmed
 
 #: Labelled documents that a model is fitted on at most, those of the smallest hashes of their ids.
 SAMPLE = 3000
@@ -126,7 +126,7 @@ class _Weights(dict):
 
     def __missing__(self, word: bytes) -> float:
         found = [self.emit[f] for f in features(word) if f in self.emit]
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = sum(found) if found else float("nan")
         return value
@@ -138,11 +138,14 @@ def aggregates(p: list[float], n: int) -> np.ndarray:
     return np.array([1.0, 1 - np.exp(np.log1p(-np.minimum(some, 1 - 1e-12)).sum()) if p else 0.0, np.log1p(some.sum()), np.log1p(100 * some.sum() / max(1, n))])
 
 
-def marking(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features that mark toxic tokens."""
-    pos, neg = Counter(f for d, t in zip(docs, toxic) if t for f in d), Counter(f for d, t in zip(docs, toxic) if not t for f in d)
+def marking(texts: list[bytes], toxic: np.ndarray) -> set[str]:
+    """Features that mark toxic tokens. Only features with support among the toxic documents are counted in the others."""
     n, share = int(toxic.sum()), float(toxic.mean()) if len(toxic) else 0.0
-    total = len(pos.keys() | neg.keys())
+    held = lambda t: {f for w in set(t.split()) for f in features(w)}
+    pos = Counter(f for t, y in zip(texts, toxic) if y for f in held(t))
+    pos = {f: k for f, k in pos.items() if k >= max(3, SUPPORT * n)}
+    neg = Counter(f for t, y in zip(texts, toxic) if not y for f in held(t) if f in pos)
+    total = (1 + len(PREFIXES)) * len({w for t in texts for w in set(t.split())})  # features at most
 
     def beyond(k: int, m: int) -> bool:
         """Whether k toxic documents of m are too many for chance: Chernoff's bound, for all features together."""
@@ -150,25 +153,26 @@ def marking(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
         told = q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if q < 1 else 0.0)
         return total * np.exp(-m * told) < CHANCE
 
-    return {f for f, k in pos.items() if k >= max(3, SUPPORT * n) and share < 1 and k >= min(0.9, LIFT * share) * (k + neg[f]) and beyond(k, k + neg[f])}
+    return {f for f, k in pos.items() if share < 1 and k >= min(0.9, LIFT * share) * (k + neg[f]) and beyond(k, k + neg[f])}
 
 
 def train(texts: list[bytes], toxic: list[int], rounds: int = 60) -> Model:
     y = np.array(toxic, bool)
-    words = [t.split() for t in texts]
-    cache: dict[bytes, list[str]] = {}
-    for w in {w for ws in words for w in ws}:
-        cache[w] = features(w)
-    marks = marking([{f for w in set(ws) for f in cache[w]} for ws in words], y)
+    marks = marking(texts, y)
     names = sorted(marks)
     index = {f: k for k, f in enumerate(names)}
     # Segments with a marking token, and as many without; a token of a toxic document that has a mark is toxic.
     found: list[tuple[list[list[int]], list[int]]] = []
     spare = []
-    own = {w: [index[f] for f in fs if f in index] for w, fs in cache.items()}
-    for ws, t in zip(words, y):
+    own: dict[bytes, list[int]] = {}
+    for text, t in zip(texts, y):
+        ws = text.split()
+        for w in set(ws):
+            if w not in own:
+                own[w] = [index[f] for f in features(w) if f in index]
+        own = {w: fs for w, fs in own.items() if fs} if len(own) > 100_000 else own
         for k in range(0, len(ws), SEGMENT):
-            fs = [own[w] for w in ws[k : k + SEGMENT]]
+            fs = [own.get(w, []) for w in ws[k : k + SEGMENT]]
             if any(fs):
                 found.append((fs, [int(bool(x) and bool(t)) for x in fs]))
             elif len(spare) < 4000:
@@ -271,6 +275,7 @@ _scorers: dict[bytes, Scorer] = {}
 
 def scorer(sent) -> Scorer:
     """One for each Python worker and model, so that its cache of words lasts."""
+    claim("toxicity", _scorers.clear)
     key = repr(sorted(sent.value.emit.items())).encode() + sent.value.doc.tobytes()
     if key not in _scorers:
         _scorers.clear()
@@ -288,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(sent)
-        for batch in batches:
+        for batch in sliced(batches):
             scores, spans = [], []
             for text in batch.column(1).to_pylist():
                 value, places, p = s.score(text)
@@ -297,16 +302,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 spans.append([x for k, m in enumerate(_WORD.finditer(text)) if k in bad for x in m.span()] if bad else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "score", "predicted", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, spans array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw(F.col("text")).alias("text")).mapInArrow(trimmed(run), "doc_id long, score double, predicted int, spans array<int>")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
+    @arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
         s = scorer(sent)
-        return pd.Series([s.score(t)[0] < 0.5 for t in text], dtype=bool)
+        return pa.array((s.score(t.as_py())[0] < 0.5 for t in text), pa.bool_())
 
     return docs.filter(clean(raw(F.col("text"))))
