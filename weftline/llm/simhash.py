@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, threshold:
     return groups(docs, words, seed, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, width: int = 2, threshold: int = 20) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, width: int = 3, threshold: int = 31) -> DataFrame:
     """The rows whose doc_id is the smallest of their group, with all their columns; so are those of groups without id.
 
     By default fingerprints of 192 bits over five words, linked within 31 bits; texts of a Jaccard similarity of 0.8 differ by 29
