@@ -27,22 +27,38 @@ def test_words_give_the_library_s_ids(encoder, parts):
     assert encoder.ids([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_cache_may_fill(encoder, monkeypatch):
-    monkeypatch.setattr("weftline.llm.tokens.CACHED", 3)
-    for text in ("one two three four five", "six seven eight one", "one\ntwo, nine"):
-        assert encoder.ids([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize(("known", "waiting", "at_once"), [(9, 100, 1 << 20), (1000, 3, 37), (2, 1, 20)])
+def test_tables_fill_and_texts_are_cut(monkeypatch, known, waiting, at_once):
+    for name, value in (("KNOWN", known), ("WAITING", waiting), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(f"weftline.llm.tokens.{name}", value)
+    fresh, rng = Encoder(default_path()), random.Random(known)
+    for _ in range(60):
+        texts = [" ".join(rng.choices(["one", "two,", "three\nfour", "é", "x" * 20, "y.", str(rng.random())], k=rng.randint(0, 40))) for _ in range(4)] + ["odd\ttext", "double  space"]
+        assert [x.tolist() for x in fresh.ids(texts)] == [fresh.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_runs_are_equal_where_words_are():
     ws = [random.Random(1).choice([b"a", b"b", b"c"]) for _ in range(300)]
-    h = words.runs(words.sums(words.hashed(ws)), 4)
+    h = words.runs(words.sums(words.hashed(b" ".join(ws))), 4)
     assert len(h) == 297
     by = {}
     for k, x in enumerate(h.tolist()):
         by.setdefault(x, set()).add(tuple(ws[k : k + 4]))
     assert all(len(v) == 1 for v in by.values()) and len(by) == len({tuple(ws[k : k + 4]) for k in range(297)})
     at = np.array([5, 0, 200])
-    assert (words.runs(words.sums(words.hashed(ws)), 4, at) == h[at]).all()
+    assert (words.runs(words.sums(words.hashed(b"\n\t".join(ws) + b" ")), 4, at) == h[at]).all()
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 7])
+def test_words_are_those_of_split(monkeypatch, at_once):
+    monkeypatch.setattr(words, "AT_ONCE", at_once)
+    rng = random.Random(6)
+    known = {}
+    for _ in range(300):
+        text = bytes(rng.choice(b"ab \n\t\x0b\xc3\xa9") for _ in range(rng.randint(0, 40)))
+        told, h = text.split(), words.hashed(text).tolist()
+        assert len(told) == len(h) and all(known.setdefault(w, x) == x for w, x in zip(told, h))
+    assert len(set(known.values())) == len(known)
 
 
 def test_labels_are_the_smallest_of_a_component():

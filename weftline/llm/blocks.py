@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom, copies
-from weftline.llm.base import cut
+from weftline.llm.base import cut, trimmed
 from weftline.llm.words import hashed, runs, sums
 
 
@@ -28,9 +28,9 @@ def _each(batches: Iterator[pa.RecordBatch], window: int, suspects) -> Iterator[
     """id, th and prefix sums of each different text that has a window."""
     for batch in copies.distinct(batches, suspects):
         for i, th, text in zip(*(batch.column(k).to_pylist() for k in ("id", "th", "text"))):
-            words = text.split()
+            words = hashed(text)
             if len(words) >= window:
-                yield i, th, sums(hashed(words))
+                yield i, th, sums(words)
 
 
 def _index(window: int, suspects):
@@ -94,7 +94,7 @@ def _batched(make):
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return run
+    return trimmed(run)
 
 
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:

@@ -88,7 +88,7 @@ def build(hashes: DataFrame, rows: int) -> tuple[Filter, Filter]:
 
     packed = hashes.mapInArrow(_packed, "bucket int, once binary, again binary")
     out = [np.zeros(bits // 8, np.uint8) for _ in range(2)]
-    for bucket, *both in packed.repartition(BUCKETS, "bucket").mapInArrow(fill, "bucket int, first binary, second binary").toLocalIterator():
+    for bucket, *both in packed.repartition("bucket").mapInArrow(fill, "bucket int, first binary, second binary").toLocalIterator():
         for whole, part in zip(out, both):
             whole[bucket * size // 8 : (bucket + 1) * size // 8] = np.frombuffer(part, np.uint8)
     return Filter(out[0]), Filter(out[1])

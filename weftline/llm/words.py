@@ -1,39 +1,38 @@
 """Words of a text as 64-bit hashes, and hashes of runs of words.
 
-A word is a maximal run of bytes other than space and x09-x0D, which is what bytes.split() gives.
-A run's hash is the polynomial sum of its words' hashes modulo 2**64, from prefix sums, so that all runs
-of a text take a few numpy passes whatever their length.
+A word is a maximal run of bytes other than space and x09-x0D, which is what bytes.split() gives. The hash of a run, of bytes in a
+word or of words in a text, is the polynomial sum of its members modulo 2**64, mixed; prefix sums give those of all runs of a text
+in a few numpy passes, whatever their length.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-#: Words kept by the cache of one Python worker, some 40 MB.
-CACHED = 250_000
+#: Bytes of a text that are hashed at once.
+AT_ONCE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd and 5 modulo 8, so that its powers have the longest period
 _INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
+_SPACE = np.zeros(256, np.int8)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 1
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def split(text: bytes) -> list[bytes]:
-    return text.split()
-
-
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def hashed(text: bytes) -> np.ndarray:
+    """A hash for each word of the text."""
+    out, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > AT_ONCE:
+            near = [x for x in (text.find(c, at + AT_ONCE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0]
+            end = min(near, default=end)
+        data = np.frombuffer(text, np.uint8, end - at, at)
+        edges = np.flatnonzero(np.diff(_SPACE[data], prepend=np.int8(1), append=np.int8(1)))
+        starts, ends = edges[::2], edges[1::2]
+        prefix = sums(data.astype(np.uint64) + np.uint64(1))
+        out.append(mixed((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(np.uint64)))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
