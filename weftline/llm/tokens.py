@@ -25,7 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words in the table of one Python worker, some 30 MB, and stems kept beside it.
 KNOWN, STEMS = 800_000, 50_000
 #: Words that wait to be merged into the table; bytes of texts at once; unknown words in one text for the library.
-WAITING, AT_ONCE, TOGETHER = 100_000, 1 << 20, 100
+WAITING, AT_ONCE, TOGETHER = 100_000, 1 << 18, 100
 #: Signs that may end a word and are a cut of their own there.
 _SIGNS = ".,;:!?)]}|*#%&$"
 #: What a byte is: a space or line end (1), perhaps other white space or the start of it (2), neither (0).
