@@ -287,6 +287,17 @@ def test_leaks(spark, table, corpus):
     assert decontaminate.clean(table(rows), bench.limit(0)).count() == len(rows)
 
 
+def test_leaks_beside_exact_copies(spark, table):
+    """Edited copies are found however often what they keep of an item occurs: counts don't choose the seeds."""
+    rng = random.Random(18)
+    items = [(k, " ".join(f"{rng.choice('bcdfg')}{rng.randint(0, 4000)}" for _ in range(30))) for k in range(4)]
+    edited = {k: " ".join("edit" if j % 5 == 4 else w for j, w in enumerate(t.split(" "))) for k, t in items}
+    rows = [(k, prose(rng, 20) + " " + t) for k, t in items] + [(10 + k, prose(rng, 20) + " " + t) for k, t in edited.items()]
+    rows += [(1000 + k, f"text {k} holds {edited[0]} and ends") for k in range(2000)]
+    got = decontaminate.leaks(table(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k + d, k) for k in range(4) for d in (0, 10)} | {(1000 + k, 0) for k in range(2000)}
+
+
 def test_toxicity(spark, table):
     rng = random.Random(3)
     rows, labels = [], []

@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-grams of the test items seed passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-grams of the test items seed passages, Smith-Waterman alignment scores them.
 
-Words are compared without case and without punctuation at their ends. The items' n-grams are counted over all documents; of
-each item's, the rarer half are its seeds. Documents and seeds join on the n-gram; a seed's place in the document less that in
-the item gives a diagonal, and close diagonals a passage. A passage is aligned word by word with its item: two for a match, one
-off for another word or a gap. The score is the best local alignment's, as a share of what the whole item would have.
+Words are compared without case and without punctuation at their ends. Every n-gram of an item is a seed, however many documents
+hold it: counts would include the contaminated ones. Documents and seeds join on the n-gram; a seed's place in the document less
+that in the item gives a diagonal, and close diagonals a passage. A passage that has enough of the item's words to reach the
+threshold is aligned word by word with its item: two for a match, one off for another word or a gap. The score is the best local
+alignment's, as a share of what the whole item would have.
 """
 
 from __future__ import annotations
@@ -131,15 +132,18 @@ def _verify(threshold: float, pad: int):
     """Rows (id, text, passages of (item, low, high, words)): those whose best passage of an item reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 200):
             keys, pairs = [], []
             for i, text, passages in zip(*(x.to_pylist() for x in batch.columns)):
                 h, at = plain(text)
                 for p in passages:
                     item = np.array(p["words"], np.int64).view(np.uint64)
                     first = max(0, p["low"] - pad - len(item) // 2)
-                    keys.append((i, p["item"], first, at))
-                    pairs.append((item, h[first : p["high"] + len(item) + pad + len(item) // 2]))
+                    passage = h[first : p["high"] + len(item) + pad + len(item) // 2]
+                    # No alignment matches more words than occur.
+                    if np.isin(item, passage).mean() >= threshold:
+                        keys.append((i, p["item"], first, at))
+                        pairs.append((item, passage))
             rows = {}
             for (i, item, first, at), (score, a, b) in zip(keys, scored(pairs)):
                 if score >= threshold and score > rows.get((i, item), (0,))[0]:
@@ -163,10 +167,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
     # Four times the room of other filters: few words that are no seeds get through.
     sent = spark.sparkContext.broadcast(bloom.build(grams.select("g"), 4 * grams.count())[0].bits)
     found = cut(rows.mapInArrow(trimmed(_found(seed, sent)), "g long, id long, th long, pos int"))
-    counts = found.select("g", "id", "th").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("docs"))
-    counted = grams.join(counts, "g").withColumn("words_", F.xxhash64("words"))
-    half = counted.groupBy("item", "words_").agg(F.percentile("docs", 0.5).alias("half"))
-    seeds = cut(counted.join(half, ["item", "words_"]).filter("docs <= half").select("g", "item", "words_", F.col("pos").alias("own"), "words"))
+    seeds = cut(grams.select("g", "item", F.xxhash64("words").alias("words_"), F.col("pos").alias("own"), "words"))
     hits = found.join(seeds.select("g", "item", "words_", "own"), "g").withColumn("low", F.col("pos") - F.col("own"))
     # Passages of neighbouring bands overlap by what each is widened.
     passages = hits.groupBy("id", "th", "item", "words_", F.floor(F.col("low") / BAND).alias("band")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
