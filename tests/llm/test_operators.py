@@ -117,6 +117,17 @@ def test_simhash_keeps_one_of_each_group(table, corpus):
     assert simhash.near_duplicates(table(*EMPTY)).count() == 0 and simhash.one_of_each(table(*EMPTY)).count() == 0
 
 
+def test_only_similar_texts_go(table):
+    """Runs that repeat fill most of a fingerprint: it is equal, or nearly so, for texts that share little else."""
+    rng = random.Random(6)
+    rows = [(k, "to be or not to be " * 40 + prose(rng, 60)) for k in range(6)]
+    base = prose(rng, 300).split(" ")
+    ws = list(base)
+    ws[100] = ws[200] = "edited"
+    rows += [(20, " ".join(base)), (21, " ".join(ws))]
+    assert sorted(r.doc_id for r in simhash.one_of_each(table(rows)).collect()) == [*range(6), 20]
+
+
 def test_blocks(table, corpus):
     rank = lambda i: -1 if i is None else i
     first = {}

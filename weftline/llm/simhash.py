@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from weftline.llm.base import OWN, cut, mapped, picked, trimmed
+from weftline.llm import bloom, copies
+from weftline.llm.base import OWN, cut, mapped, picked, sliced, trimmed
 from weftline.llm.components import components, labels
-from weftline.llm.words import mixed
+from weftline.llm.words import hashed, mixed, runs, sums
 
 RADIUS, CODE = 1, 15
 #: Fingerprints at one anchor from which it is dealt out as tiles, and pairs compared at once.
@@ -119,16 +120,16 @@ def anchors(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.nd
             yield other, v[other] ^ _TWO[s[other], i], False
 
 
-def _spread(threshold: int, width: int):
+def _spread(threshold: int, width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = _matrix(batch.columns)
             for k in range(0, len(every), 2000):
                 fps = every[k : k + 2000]
-                parts = list(anchors(fps, threshold))
+                parts = list(anchors(fps[:, :width], threshold))
                 at = np.concatenate([i for i, _, _ in parts])
-                words = [pa.array(np.ascontiguousarray(fps[at, j]).view(np.int64)) for j in range(width)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(np.concatenate([np.full(len(i), h) for i, _, h in parts])), *words], names=["anchor", "home", *_columns(width)])
+                words = [pa.array(np.ascontiguousarray(fps[at, j]).view(np.int64)) for j in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(np.concatenate([np.full(len(i), h) for i, _, h in parts])), *words], names=["anchor", "home", *names])
 
     return run
 
@@ -137,8 +138,8 @@ def _matrix(columns: list) -> np.ndarray:
     return np.stack([(x if isinstance(x, np.ndarray) else x.to_numpy(zero_copy_only=False)).view(np.uint64) for x in columns], 1)
 
 
-def _compare(threshold: int):
-    """Rows sorted by anchor (and tile), those at home first: links of the rows that meet, as one star for each component of an anchor."""
+def _compare(threshold: int, met):
+    """Rows sorted by anchor (and tile), those at home first: what met makes of the rows that meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -147,10 +148,10 @@ def _compare(threshold: int):
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             starts = _starts(held)
             if len(starts) > 1:
-                yield from _met([x[: starts[-1]] for x in held], starts[:-1], threshold)
+                yield from met([x[: starts[-1]] for x in held], starts[:-1], threshold)
                 held = [x[starts[-1] :] for x in held]
         if held is not None and len(held[0]):
-            yield from _met(held, _starts(held), threshold)
+            yield from met(held, _starts(held), threshold)
 
     return run
 
@@ -160,12 +161,10 @@ def _starts(rows: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1])) + 1]) if len(anchor) else np.zeros(0, np.int64)
 
 
-def _met(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
-    fps, home = _matrix(rows[3:]), rows[2].astype(bool)
-    ends = np.append(starts[1:], len(fps))
+def _meetings(home: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row at home against its whole group, in parts."""
+    ends = np.append(starts[1:], len(home))
     homes = np.add.reduceat(home.astype(np.int64), starts)
-    label = np.arange(len(fps))
-    # Each row at home stands against its whole group.
     owner = np.repeat(np.arange(len(starts)), homes)
     left = np.repeat(starts, homes) + np.arange(len(owner)) - np.repeat(np.cumsum(homes) - homes, homes)
     sizes = (ends - starts)[owner]
@@ -175,19 +174,41 @@ def _met(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator
         upto = max(done + 1, int(np.searchsorted(before, before[done] + AT_ONCE, "right")) - 1)
         n = sizes[done:upto]
         i = np.repeat(left[done:upto], n)
-        j = np.repeat(starts[owner[done:upto]], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield i, np.repeat(starts[owner[done:upto]], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        done = upto
+
+
+def _met(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Links as one star for each component of an anchor."""
+    fps = _matrix(rows[3:])
+    label = np.arange(len(fps))
+    for i, j in _meetings(rows[2].astype(bool), starts):
         near = (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= threshold) & (label[i] != label[j])
         if near.any():
             label = labels(len(fps), i[near], j[near], label)
-        done = upto
     some = np.flatnonzero(label != np.arange(len(fps)))
     yield pa.RecordBatch.from_arrays([pa.array(node(fps[some]).view(np.int64)), pa.array(node(fps[label[some]]).view(np.int64))], names=["a", "b"])
 
 
-def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp0 ...) to links a, b of their node() that connect what chains of pairs within the threshold connect."""
+def _across(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Rows that end in node and label: all pairs of nodes with different labels."""
+    fps, own, label = _matrix(rows[3:-2]), rows[-2], rows[-1]
+    for i, j in _meetings(rows[2].astype(bool), starts):
+        other = label[i] != label[j]
+        i, j = i[other], j[other]
+        near = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= threshold
+        if near.any():
+            pairs = np.unique(np.sort(np.stack([own[i[near]], own[j[near]]], 1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+
+def links(fps: DataFrame, threshold: int = 4, width: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp0 ...) to links a, b of their node() that connect what chains of pairs within the threshold connect.
+
+    With a width, node and label follow the fingerprint's words: all pairs of nodes within the threshold whose labels differ.
+    """
     columns = fps.columns
-    rows = fps.mapInArrow(trimmed(_spread(threshold, len(columns))), ", ".join(["anchor long", "home boolean", *(f"{c} long" for c in columns)]))
+    rows = fps.mapInArrow(trimmed(_spread(threshold, width or len(columns), columns)), ", ".join(["anchor long", "home boolean", *(f"{c} long" for c in columns)]))
     many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
     many = cut(many.select("anchor", F.ceil(F.col("n") / TILE).cast("int").alias("side")))
     if many.isEmpty():
@@ -200,7 +221,7 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
         as_guest = hot.filter("side is not null or not home").withColumn("k", F.explode(all_sides)).withColumn("home", F.lit(False)).withColumn("tile", F.col("k") * 100_000 + line)
         dealt = as_home.unionByName(as_guest)
     sorted_ = dealt.select("anchor", "tile", "home", *columns).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", F.desc("home"))
-    return sorted_.mapInArrow(trimmed(_compare(threshold)), "a long, b long")
+    return sorted_.mapInArrow(trimmed(_compare(threshold, _across if width else _met)), "a long, b long")
 
 
 def groups(docs: DataFrame, words: int = 4, seed: int = 42, threshold: int = 4, width: int = 1) -> DataFrame:
@@ -230,14 +251,80 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, threshold:
     return groups(docs, words, seed, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, width: int = 3, threshold: int = 31) -> DataFrame:
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of the runs of words of a text with A-Z in lower case, sorted; a text of fewer words is one run."""
+    h = hashed(text.lower())
+    return np.unique(runs(sums(h), min(words, len(h)))) if len(h) else np.zeros(0, np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if min(len(a), len(b)) == 0:
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _alike(words: int, least: float):
+    """Rows a, b, left, right (texts): the pairs whose shingle sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            rows = list(zip(*(x.to_pylist() for x in batch.columns)))
+            keep = [(a, b) for a, b, s, t in rows if similar(shingles(s, words), shingles(t, words)) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keep], pa.int64()), pa.array([b for _, b in keep], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Of the pairs a, b of nodes, those whose texts reach the similarity; only texts that are asked for move."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked_for = copies.member(rows.sparkSession, bloom.build(asked, asked.count())[0])
+    texts = cut(rows.filter(asked_for("node")).select("node", "text").dropDuplicates(["node"]))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return cut(both.select("a", "b", "left", "right").mapInArrow(trimmed(_alike(words, least)), "a long, b long"))
+
+
+def alike(docs: DataFrame, words: int = 5, width: int = 4, threshold: int = 48, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id, of links between texts whose sets of runs of words have a Jaccard similarity of `least`.
+
+    Fingerprints within the threshold are candidates. What chains within two thirds of it connect is first held against one text
+    each; then all candidates that these links leave apart are, so large groups of copies make few pairs.
+    """
+    columns = _columns(width)
+    rows = picked(docs).withColumn("node", F.xxhash64("text"))
+
+    def make(held: dict) -> dict:
+        fps = np.array([fingerprint(t, words, 42, width) for t in held["text"]], np.uint64).view(np.int64)
+        return {"doc_id": held["doc_id"], "node": held["node"]} | {c: pa.array(np.ascontiguousarray(fps[:, j])) for j, c in enumerate(columns)}
+
+    @arrow_udf("long")
+    def name(*fps: pa.Array) -> pa.Array:
+        return pa.array(node(_matrix(list(fps))).view(np.int64))
+
+    ids = cut(mapped(rows, make, ", ".join(["doc_id long, node long", *(f"{c} long" for c in columns)])))
+    distinct = cut(ids.groupBy("node", *columns).agg(F.min("doc_id").alias("least")).withColumn("fp", name(*columns)))
+    close = components(links(distinct.select(*columns).distinct(), threshold * 2 // 3)).select(F.col("node").alias("fp"), "root")
+    close = cut(distinct.join(close, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")))
+    pairs = close.join(close.groupBy("root").agg(F.min("node").alias("a")), "root").filter("a != node").select("a", F.col("node").alias("b"))
+    first = _verified(cut(pairs), rows, words, least)
+    labelled = distinct.join(first.select(F.col("b").alias("node"), "a"), "node", "left").select(*columns, "node", F.coalesce("a", "node").alias("label"))
+    second = _verified(cut(links(cut(labelled), threshold, width).distinct()), rows, words, least)
+    found = components(first.union(second))
+    roots = found.join(distinct, "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = found.join(roots, "root").select("node", "component_id")
+    return ids.select("doc_id", "node").join(distinct.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, width: int = 4, threshold: int = 48) -> DataFrame:
     """The rows whose doc_id is the smallest of their group, with all their columns; so are those of groups without id.
 
-    By default fingerprints of 192 bits over five words, linked within 31 bits; texts of a Jaccard similarity of 0.8 differ by 29
-    of them on average (their shingles have a cosine of 8/9). Rows of one doc_id are kept if any of them would be. Texts without
-    words are no copies of each other here: they stay.
+    Groups are those of alike(): by default fingerprints of 256 bits over five words within 48 bits, and a Jaccard similarity of
+    0.8, at which fingerprints differ by 39 on average. Rows of one doc_id are kept if any of them would be. Texts without words
+    are no copies of each other here: they stay.
     """
     empty = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
-    found = groups(docs.filter(~empty).select("doc_id", "text"), words, 42, threshold, width)
+    found = alike(docs.filter(~empty).select("doc_id", "text"), words, width, threshold)
     gone = cut(found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("not stays").select(F.col("doc_id").alias(OWN)))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(OWN), "left_anti")
