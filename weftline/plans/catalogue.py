@@ -1,6 +1,7 @@
 """Scripts over the test tables, each with SQL that gives the same rows and columns.
 
-Every query reads its whole tables. Sums of money are rounded where the order of addition could show.
+Every query reads its whole tables but `select_many` and `select_many_rows`, whose script and SQL both filter `embeddings` by
+vec_id; the latter also takes four values of each array. Sums of money are rounded where the order of addition could show.
 """
 
 from __future__ import annotations
