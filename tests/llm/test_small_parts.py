@@ -61,6 +61,36 @@ def test_words_are_those_of_split(monkeypatch, at_once):
     assert len(set(known.values())) == len(known)
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word and its complement share every polynomial hash modulo 2**64 from 1,024 letters on."""
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 1024, 2048])
+def test_words_with_equal_polynomial_hashes_stay_apart(n):
+    fresh = Encoder(default_path())
+    texts = ["x " + thue_morse(n), "x " + thue_morse(n, "b", "a"), thue_morse(n, "b", "a") + " y"]
+    for some in (texts, texts[:1], texts[1:], texts[::-1]):
+        assert [x.tolist() for x in fresh.ids(some)] == [fresh.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(set(words.hashed(" ".join(texts).encode()).tolist())) == 4
+
+
+def test_words_that_share_a_hash_are_told_by_their_bytes(monkeypatch):
+    monkeypatch.setattr("weftline.llm.tokens.spread", lambda low, high: low % np.uint64(3))
+    fresh, rng = Encoder(default_path()), random.Random(4)
+    for _ in range(40):
+        texts = [" ".join(rng.choices(["one", "two,", "three\nfour", "é", "x" * 20, "a\0", "a", "a\0\0", "seventeen letters", str(rng.random())], k=rng.randint(0, 40))) for _ in range(4)]
+        assert [x.tolist() for x in fresh.ids(texts)] == [fresh.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@given(st.lists(st.binary(min_size=1, max_size=15).filter(lambda w: not set(w) & set(b" \t\n\x0b\x0c\r")), unique=True, max_size=30))
+def test_short_words_are_two_numbers(ws):
+    data = np.frombuffer(b" ".join(ws) + words.PAD, np.uint8)
+    sizes = np.array([len(w) for w in ws], np.int64)
+    low, high = words.short(data, np.cumsum(sizes + 1) - sizes - 1, sizes)
+    assert len(set(zip(low.tolist(), high.tolist()))) == len(ws)
+
+
 def test_labels_are_the_smallest_of_a_component():
     got = labels(6, np.array([0, 4, 2]), np.array([3, 3, 5]))
     assert got.tolist() == [0, 1, 2, 0, 0, 2]

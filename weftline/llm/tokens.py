@@ -2,11 +2,11 @@
 
 Byte-level BPE cuts a text before it merges, and never between a space and the word behind it. A text whose white space is
 single spaces and single line ends between words is therefore the concatenation of its words' ids, each word with the space or
-line end in front of it. Words are found and looked up by their hashes, many texts at once in numpy; only words not met before go
-to the library: letters, with signs behind them, to its model, any others as text. Texts with other white space go to the library
-as they are.
+line end in front of it. Words are looked up many texts at once in numpy; only words not met before go to the library: letters,
+with signs behind them, to its model, any others as text. Texts with other white space go to the library as they are.
 
-Words are one if 64 bits of hash are: in a full table, two of its words share them with a chance of one in ten million.
+Two words are one if all their bytes are: those of at most 15 bytes are found by a hash and compared as two numbers that hold
+them, longer ones, and any that share a hash with another, are looked up by their bytes.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from weftline.llm.base import claim
-from weftline.llm.words import mixed, powers, sums
+from weftline.llm.words import PAD, SHORT, short, spread
 
 # A Spark task has one core; the library's own threads would only contend for it.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Words in the table of one Python worker, some 30 MB, and stems kept beside it.
-KNOWN, STEMS = 800_000, 50_000
+#: Words in the table of one Python worker, some 30 MB, stems kept beside it, and ids and bytes of long words from which it is made anew.
+KNOWN, STEMS, POOL, LONG = 600_000, 50_000, 8_000_000, 4_000_000
 #: Words that wait to be merged into the table; bytes of texts at once; unknown words in one text for the library.
 WAITING, AT_ONCE, TOGETHER = 100_000, 1 << 18, 100
 #: Signs that may end a word and are a cut of their own there.
@@ -65,9 +65,11 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def forget(self) -> None:
-        """Words by hash, sorted; where their ids begin in the pool, and how many there are. The same of those that wait."""
-        self.table = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        """Words by hash, sorted, with their two numbers; where their ids begin in the pool, and how many there are. The same of those that wait."""
+        self.table = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
         self.waiting = [x[:0] for x in self.table]
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.long_bytes = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.filled = 0
 
@@ -92,62 +94,80 @@ class Encoder:
 
     def _words(self, parts: list[tuple[int, bool, bytes]], out: list) -> None:
         """Ids of parts of texts, into out; None for a text that isn't just words between single spaces and line ends."""
+        if len(self.table[0]) + len(self.waiting[0]) > KNOWN or self.filled > POOL or self.long_bytes > LONG:
+            self.forget()
         # A text's first word gets a line end in front, whose id is left out again.
-        whole = b"".join(b"\n" + p if first else p for _, first, p in parts)
-        data = np.frombuffer(whole, np.uint8)
-        kind = _KIND[data]
+        whole = b"".join([*(b"\n" + p if first else p for _, first, p in parts), PAD])
+        padded = np.frombuffer(whole, np.uint8)
+        kind = _KIND[padded[: -len(PAD)]]
         starts = np.flatnonzero(kind == 1)
-        ends = np.append(starts[1:], len(data))
+        ends = np.append(starts[1:], len(kind))
+        sizes = ends - starts
         begins = np.cumsum([0, *(len(p) + first for _, first, p in parts)])
         at = np.searchsorted(starts, begins)  # each part's words
         bad = np.zeros(len(parts), bool)
-        bad[np.searchsorted(begins, starts[ends - starts < 2], "right") - 1] = True
+        bad[np.searchsorted(begins, starts[sizes < 2], "right") - 1] = True
         odd = [i for i in np.flatnonzero(kind == 2).tolist() if whole[i : i + 3].decode("utf-8", "ignore")[:1].isspace()]
         bad[np.searchsorted(begins, odd, "right") - 1] = True
-        prefix = sums(data.astype(np.uint64) + np.uint64(1))
-        h = mixed((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(np.uint64))
-        if bad.any():
-            for j in np.flatnonzero(bad).tolist():
-                out[parts[j][0]] = None
-            fine = np.repeat(~bad, np.diff(at))
-        else:
-            fine = slice(None)
-        some, index, inverse = np.unique(h[fine], return_index=True, return_inverse=True)
-        begin, count = self._found(some, lambda new: [whole[a:b].decode() for a, b in zip(starts[fine][index[new]].tolist(), ends[fine][index[new]].tolist())])
-        n = count[inverse].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.pool[np.repeat(begin[inverse] - upto[:-1], n) + np.arange(upto[-1])]
-        words = np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(at)))])
+        for j in np.flatnonzero(bad).tolist():
+            out[parts[j][0]] = None
+        fine = np.repeat(~bad, np.diff(at))
+        low, high = short(padded, starts, sizes)
+        h = spread(low, high)
+        begin, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32)
+        plain = np.flatnonzero(fine & (sizes <= SHORT))
+        some, index, inverse = np.unique(h[plain], return_index=True, return_inverse=True)
+        one = plain[index]
+        found, n = self._found(some, low[one], high[one], lambda new: [whole[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+        begin[plain], count[plain] = found[inverse], n[inverse]
+        # Words that share their hash with another, here or in the table, are looked up by their bytes, as long ones are.
+        other = (low[plain] != low[one][inverse]) | (high[plain] != high[one][inverse]) | (count[plain] < 0)
+        for k, where in zip(*self._by_bytes(whole, starts, ends, np.concatenate([np.flatnonzero(fine & (sizes > SHORT)), plain[other]]))):
+            begin[k], count[k] = where
+        upto = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        ids = self.pool[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
         for j, (k, first, _) in enumerate(parts):
             if out[k] is not None and not bad[j]:
-                out[k].append(ids[upto[words[j]] + first : upto[words[j + 1]]])
+                out[k].append(ids[upto[at[j]] + first : upto[at[j + 1]]])
 
-    def _found(self, hashes: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of these words are in the pool, and how many; words(new) gives those that aren't known."""
+    def _found(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these words are in the pool, and how many, -2 where another word has the hash; words(new) gives those that aren't known."""
         begin, count = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int32)
-        for known, b, c in (self.table, self.waiting):
+        for known, lows, highs, b, c in (self.table, self.waiting):
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = known[at] == hashes
-                begin[hit], count[hit] = b[at[hit]], c[at[hit]]
-        new = np.flatnonzero(count < 0)
+                there = known[at] == hashes
+                same = there & (lows[at] == low) & (highs[at] == high)
+                begin[same], count[same] = b[at[same]], c[at[same]]
+                count[there & ~same] = -2
+        new = np.flatnonzero(count == -1)
         if len(new):
-            if (held := len(self.table[0]) + len(self.waiting[0])) and held + len(new) > KNOWN:
-                self.forget()
-                return self._found(hashes, words)
-            learnt = self._learn(words(new))
-            sizes = np.array([len(x) // 4 for x in learnt], np.int32)
-            ids = np.frombuffer(b"".join(learnt), np.uint32)
-            while self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.filled : self.filled + len(ids)] = ids
-            count[new], begin[new] = sizes, self.filled + np.cumsum(sizes) - sizes
-            self.filled += len(ids)
-            self.waiting = self._merged(self.waiting, [hashes[new], begin[new], count[new]])
+            begin[new], count[new] = self._pooled(self._learn(words(new)))
+            self.waiting = self._merged(self.waiting, [hashes[new], low[new], high[new], begin[new], count[new]])
             if len(self.waiting[0]) > WAITING:
                 self.table, self.waiting = self._merged(self.table, self.waiting), [x[:0] for x in self.table]
         return begin, count
 
+    def _by_bytes(self, whole: bytes, starts: np.ndarray, ends: np.ndarray, some: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+        """The words of these numbers, and where the ids of each are in the pool and how many."""
+        words = [whole[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+        new = [w for w in dict.fromkeys(words) if w not in self.long]
+        if new:
+            self.long.update(zip(new, zip(*(x.tolist() for x in self._pooled(self._learn([w.decode() for w in new]))))))
+            self.long_bytes += sum(map(len, new))
+        return some.tolist(), [self.long[w] for w in words]
+
+    def _pooled(self, learnt: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words put into the pool: where each word's begin, and how many there are."""
+        sizes = np.array([len(x) // 4 for x in learnt], np.int32)
+        ids = np.frombuffer(b"".join(learnt), np.uint32)
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        begin = self.filled + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.filled += len(ids)
+        return begin, sizes
+
     @staticmethod
     def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
         at = np.searchsorted(a[0], b[0])

@@ -1,20 +1,23 @@
 """Words of a text as 64-bit hashes, and hashes of runs of words.
 
-A word is a maximal run of bytes other than space and x09-x0D, which is what bytes.split() gives. The hash of a run, of bytes in a
-word or of words in a text, is the polynomial sum of its members modulo 2**64, mixed; prefix sums give those of all runs of a text
-in a few numpy passes, whatever their length.
+A word is a maximal run of bytes other than space and x09-x0D, which is what bytes.split() gives. A word of at most 15 bytes is two
+numbers, its bytes and its length, which are compared where words must be the same; its hash mixes both. A longer word's hash is
+its XXH3. The hash of a run of words (or of bytes) is the polynomial sum of its members' hashes modulo 2**64, mixed; prefix sums
+give those of all runs of a text in a few numpy passes, whatever their length. Hashes choose what is compared, not what is equal.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: Bytes of a text that are hashed at once.
-AT_ONCE = 1 << 20
+#: Bytes of a text that are hashed at once; bytes of a word that two numbers hold; zeros that short() needs behind the words.
+AT_ONCE, SHORT, PAD = 1 << 20, 15, bytes(16)
 _BASE = 0x9E3779B97F4A7C15  # odd and 5 modulo 8, so that its powers have the longest period
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, np.int8)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 1
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -26,15 +29,30 @@ def hashed(text: bytes) -> np.ndarray:
         if end - at > AT_ONCE:
             near = [x for x in (text.find(c, at + AT_ONCE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0]
             end = min(near, default=end)
-        data = np.frombuffer(text, np.uint8, end - at, at)
-        edges = np.flatnonzero(np.diff(_SPACE[data], prepend=np.int8(1), append=np.int8(1)))
+        part = text[at:end] + PAD
+        data = np.frombuffer(part, np.uint8)
+        edges = np.flatnonzero(np.diff(_SPACE[data[: -len(PAD)]], prepend=np.int8(1), append=np.int8(1)))
         starts, ends = edges[::2], edges[1::2]
-        prefix = sums(data.astype(np.uint64) + np.uint64(1))
-        out.append(mixed((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(np.uint64)))
+        h = spread(*short(data, starts, ends - starts))
+        for k in np.flatnonzero(ends - starts > SHORT).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(part[starts[k] : ends[k]])
+        out.append(h)
         at = end
     return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])
 
 
+def short(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each word, different for different words of at most SHORT bytes: the first eight bytes, and the others and the length. PAD ends the data."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    low = eight[starts] & _LOW[np.minimum(sizes, 8)]
+    return low, (eight[starts + 8] & _LOW[np.clip(sizes - 8, 0, 7)]) | (sizes.astype(np.uint64) << np.uint64(56))
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of both."""
+    return mixed(mixed(low) + high * np.uint64(_BASE))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 at least of the base and of its inverse."""
     global _powers
