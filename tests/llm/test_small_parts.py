@@ -251,3 +251,49 @@ def test_training_finds_marks_beyond_words():
     scorer = model.prepare()
     assert all((scorer.score(x)[0] >= 0.5) == bool(y) for x, y in zip(texts[500:], toxic[500:]))
     assert toxicity.train([], []).prepare().score(b"x")[0] < 0.5 and 0 <= toxicity.train([b"a"], [1]).prepare().score(b"")[0] <= 1
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>A</p><svg width='1'/><article><p>B</p></article>", ["A", "B"]),
+        ("<svg><svg><text>no</text></svg><text>no</text></svg><p>A</p>", ["A"]),
+        ("<svg><title>no</title><p>A</p>", ["A"]),
+        ("<object data=x><p>A</p>", ["A"]),
+        ("<object><object><p>A</p></object><p>B</p></object>C", ["A", "B", "C"]),
+        ("<noscript><p>no</p><noscript>no</noscript>no</noscript><p>A</p><noscript><p>B</p>", ["A", "B"]),
+        ("<script>'<noscript>'</script><p>A</p><noscript>no</noscript><p>B</p>", ["A", "B"]),
+        ("<textarea><p>no</p></textarea>A<iframe src=x>no</iframe>B", ["AB"]),
+        ("<p>A</p><textarea>no<p>no</p>", ["A"]),
+        ("<script>if (a<b && c==\"x\") f()</script><p class=\"y\">A</p>", ["A"]),
+        ("<canvas>A</canvas><math/><p>B</p><template><p>no</p></template>", ["A", "B"]),
+        ("<scripted>A</scripted><SVG>no</svg >B", ["AB"]),
+    ],
+)
+def test_skipped_elements_end_where_they_end(page, texts):
+    assert [b.text for b in html.blocks(page)] == texts
+
+
+def test_all_names_of_an_element_count():
+    assert html.blocks("<div class='w-full px-4 py-2 mt-8 flex grow text-sm border comments'>A</div>")[0].path[0].split(" ")[-1] == "comments"
+
+
+P1 = "A long first paragraph tells what happened in the town that day, and why."
+P2 = "The second one, shorter, closes the matter with a quote from the mayor."
+#: Shapes of pages that made_page does not make, with the text that a reader takes from each.
+PAGES = {
+    "icons": (f'<html><body><header><svg width="1"/><a href=/>Site</a></header><main><svg width="1" height="2"/><h1>A headline</h1><p>{P1}</p><p>{P2}</p></main><footer><p>&copy; 2024</p></footer></body></html>', f"A headline\n{P1}\n{P2}"),
+    "nested object": (f'<html><body><nav><a href=/>Home</a><a href=/b>News</a></nav><article><object data=a><object data=b><p>{P1}</p></object></object><p>{P2}</p></article></body></html>', f"{P1}\n{P2}"),
+    "definition list": (f'<html><body><ul class="menu"><li><a href=/>Home</a><li><a href=/x>More</a></ul><article><h1>Words</h1><dl><dt>One</dt><dd>{P1}</dd><dt>Two</dt><dd>{P2}</dd></dl></article><aside><h3>Related</h3><ul><li><a href=1>Another story</a></li></ul></aside></body></html>', f"Words\nOne\n{P1}\nTwo\n{P2}"),
+    "no wrapper": (f'<html><body><h1>A headline</h1><p>{P1}</p><noscript><p>Please enable scripts.</p></noscript><p>{P2}</p><div class="comments"><h3>Comments</h3><div class="comment"><p>I do not agree with this at all.</p></div></div></body></html>', f"A headline\n{P1}\n{P2}"),
+    "utility classes": (f'<html><body><div class="w-full px-4 py-2 mt-8 flex grow text-sm border rounded navbar"><a href=/>Home</a> <a href=/b>News</a></div><main><h1>A headline</h1><p>{P1}</p><p>{P2}</p></main><section class="w-full px-4 py-2 mt-8 flex grow text-sm border rounded comments"><div class="p-2 m-1 flex comment"><p>First of all, I was there, too.</p></div></section></body></html>', f"A headline\n{P1}\n{P2}"),
+    "unclosed": (f'<body><nav><ul><li><a href=/>Home<li><a href=/b>News</ul></nav><article><h1>A headline<p>{P1}<canvas id=c><p>{P2}<template></article><footer>&copy; 2024 The site</footer>', f"A headline\n{P1}\n{P2}"),
+    "quoted script": (f'<html><head><script>if (a<b && c=="x") document.write("<p title=\'")</script></head><body><article class="story"><p>{P1}</p><p>{P2}</p></article></body></html>', f"{P1}\n{P2}"),
+}
+
+
+@pytest.mark.parametrize("shape", list(PAGES))
+def test_text_of_pages_of_other_shapes(shape):
+    page, want = PAGES[shape]
+    found = html.blocks(page)
+    assert "\n".join(b.text for b, q in zip(found, html.labelled(html.trained(), [found])[0]) if q >= 0.5) == want

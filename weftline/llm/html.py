@@ -24,7 +24,10 @@ from weftline.llm.base import claim
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_SKIPPED = {"script", "style", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea"}
+#: Elements whose content is no markup up to their end tag, or the page's end; those whose whole content goes if they end.
+_RAW = {"script", "style", "title", "iframe", "textarea", "noembed", "noframes", "xmp"}
+_SKIPPED = {"noscript", "template", "svg", "math"}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in _RAW}
 _BLOCKS = set("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _BREAKS = {"hr"}
 #: An element whose start ends those of the other set that are open, up to the first of the third.
@@ -38,12 +41,33 @@ class Block:
     linked: int
 
 
+def _elements(html: str, tag: str) -> dict[int, int]:
+    """Where the elements of this tag that end begin and end. Those within others of the tag nest; comments and raw text hold none."""
+    known = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(_RAW))})(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>?|\Z)|<(/?){tag}(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S | re.I)
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    for m in known.finditer(html):
+        if m[2] is None:
+            continue
+        if m[2] and begun:
+            out[begun.pop()] = m.end()
+        elif not m[2] and not m[3].endswith("/"):
+            begun.append(m.start())
+    return out
+
+
 def blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order, white space within each turned into single spaces; empty ones are left out."""
+    """Leaf blocks in page order, white space within each turned into single spaces; empty ones are left out.
+
+    Raw text elements go to their end tag, or to the page's end without one. Elements of noscript, template, svg and math go
+    whole, those within them too; a self-closed one, or one that never ends, is its tag alone. What stands in object, canvas
+    and all others is content.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked, link_from, skip = 0, None, None
+    linked, link_from = 0, None
+    elements: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked, link_from
@@ -58,13 +82,7 @@ def blocks(html: str) -> list[Block]:
         linked, link_from = 0, 0 if link_from is not None else None
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if skip:
-            if m[2] and m[1] and m[2].lower() == skip:
-                skip, at = None, m.end()
-            continue
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             text.append(html[at : m.start()])
         at = m.end()
@@ -83,9 +101,14 @@ def blocks(html: str) -> list[Block]:
                 if depth is not None:
                     del stack[depth:]
             continue
-        if tag in _SKIPPED:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
+        if tag in _RAW:
+            end = _RAW_ENDS[tag].search(html, at)
             at = end.end() if end else len(html)
+        elif tag in _SKIPPED:
+            if not m[0].endswith("/>"):
+                if tag not in elements:
+                    elements[tag] = _elements(html, tag)
+                at = max(at, elements[tag].get(m.start(), at))
         elif tag == "a":
             if link_from is None:
                 link_from = len(text)
@@ -110,7 +133,7 @@ def blocks(html: str) -> list[Block]:
             if not m[0].endswith("/>"):
                 above = stack[-1][1] if stack else ()
                 stack.append((tag, (*above, _step(tag, m[3]))))
-    if at < len(html) and not skip:
+    if at < len(html):
         text.append(html[at:])
     flush()
     return out
@@ -120,7 +143,7 @@ def _step(tag: str, attributes: str) -> str:
     if not attributes.strip():
         return tag
     names = [p.lower() for _, v in _ATTRIBUTE.findall(attributes) for p in _PART.findall(v.strip("\"'"))]
-    return " ".join([tag, *dict.fromkeys(names)][:9])
+    return " ".join([tag, *dict.fromkeys(names)])
 
 
 PATH, LEAF, WORDS, MEASURES = 64, 16, 24, 6
