@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A column of ours beside all columns of a table: a name that none will have.
 OWN = "__weftline_own_key"
@@ -34,8 +35,14 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, or a row's if that is more.
+BATCH_BYTES = 4 << 20
+
+
 def trimmed(run: Callable) -> Callable:
-    """A function on Arrow batches that gives memory back when its task is done."""
+    """A function on Arrow batches that gives memory back when its task is done; the session's batches are kept small."""
+    if session := SparkSession.getActiveSession():
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -53,13 +60,33 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(k, rows)
 
 
+#: Tables written by this process that are still there.
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one where none is set, as in tests."""
+    """A new folder in the shared one that spark.checkpoint.dir names. Only a session on one machine, as in tests, has a temporary one where none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("executors share no folder: set spark.checkpoint.dir")
         found = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/weftline/{uuid.uuid4().hex}"
+    _written.append(f"{found.rstrip('/')}/weftline/{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def written() -> int:
+    """A mark for drop(): how many tables this process has written."""
+    return len(_written)
+
+
+def drop(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written since a mark, but for the last `keep`. What still reads them fails: call it when results are written."""
+    for path in _written[since : len(_written) - keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[since : len(_written) - keep]
 
 
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -69,6 +96,25 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys of the most rows that are joined by broadcast, and rows from which a key may be one.
+HOTTEST, HOT_ROWS = 1000, 1000
+
+
+def joined(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined with groups, whose column n tells how many rows each key has and goes.
+
+    The HOTTEST keys of the most rows are sent to all executors, so their rows stay where they are, and no other key has more
+    than a HOTTEST-th of all rows. groups should be a written table; it has few rows for each key.
+    """
+    hot = groups.filter(F.col(n) > HOT_ROWS).groupBy(key).agg(F.max(n).alias(n)).orderBy(F.desc(n), key).limit(HOTTEST).select(F.col(key).alias(OWN)).collect()
+    groups = groups.drop(n)
+    if not hot:
+        return rows.join(groups, key)
+    kind = next(f.dataType for f in groups.schema.fields if f.name == key)
+    keys = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in hot], StructType([StructField(key, kind)])))
+    return rows.join(F.broadcast(groups.join(keys, key)), key).unionByName(rows.join(keys, key, "left_anti").join(groups, key))
+
+
 def picked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key as long and the text as bytes, an empty one for null; other columns, whatever their names, are left out."""
     return df.select(F.col(key).cast("long").alias(key), raw(F.col(text)).alias(text))

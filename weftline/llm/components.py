@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.base import cut
+from weftline.llm.base import cut, joined
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,18 +55,20 @@ def _stars(held: np.ndarray) -> pa.RecordBatch:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Links: longs a and b. For each node of a link: node and root, the smallest node it reaches."""
+    """Links: longs a and b. For each node of a link: node and root, the smallest node it reaches.
+
+    A round keeps a set of links; when two rounds have the same, it is a star for each component. A node of very many links is
+    joined by broadcast.
+    """
     links = cut(links.filter("a != b").mapInArrow(_local, "a long, b long").distinct())
-    before = None
     while True:
+        before = links
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        links = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
-        linked = links.join(least, "a")
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        links = cut(joined(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = cut(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        linked = joined(links, least, "a")
         links = cut(linked.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == before:
+        if links.count() == before.count() and links.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        before = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

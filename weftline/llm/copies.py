@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from weftline.llm import bloom
-from weftline.llm.base import cut, raw, sliced, trimmed
+from weftline.llm.base import cut, joined, raw, sliced, trimmed
 
 #: Stands for a null doc_id: smaller than any other.
 NO_ID = -(1 << 63)
@@ -42,14 +42,13 @@ def set_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
     the number of copies. `distinct` takes from its batches each different text once, by the suspects. members: (id, th, least),
     every row of a text with copies and the smallest id of them. Only rows that may be copies move.
     """
-    hashes = cut(rows.select("th"))
-    again = bloom.build(hashes, hashes.count())[1]
+    again = bloom.repeating(rows.select("th"))
     suspect = member(rows.sparkSession, again)
     some = rows.filter(suspect("th")).withColumn("sha", F.sha2("text", 256))
     firsts = cut(some.groupBy("sha").agg(F.min("id").alias("id"), F.first("th").alias("th"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text")))
-    several = firsts.filter("n > 1").select("sha", F.col("id").alias("least"))
+    several = firsts.filter("n > 1").select("sha", F.col("id").alias("least"), F.col("n").alias("rows"))
     work = rows.select("id", "th", F.lit(0).cast("long").alias("n"), "text").unionByName(firsts.select("id", "th", "n", "text"))
-    return work, some.select("id", "th", "sha").join(several, "sha").select("id", "th", "least"), rows.sparkSession.sparkContext.broadcast(again.bits)
+    return work, joined(some.select("id", "th", "sha"), several, "sha", "rows").select("id", "th", "least"), rows.sparkSession.sparkContext.broadcast(again.bits)
 
 
 def distinct(batches: Iterator[pa.RecordBatch], suspects: Broadcast, size: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -71,7 +70,12 @@ def carve(rows: DataFrame, spans: DataFrame, whole: DataFrame, split: Callable[[
     """
     gone = whole.select("id", "th", F.lit(0).alias("first"), F.lit(2**31 - 1).alias("last"))
     marks = spans.unionByName(gone).groupBy("id", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    marked = rows.join(marks, ["id", "th"], "left").select("id", "text", "firsts", "lasts")
+    marks = cut(marks)
+    # Texts without marks don't move, but for the few that a filter takes for marked ones.
+    has = member(rows.sparkSession, bloom.build(marks.select("th"), marks.count()))
+    rows = rows.withColumn("marked", has("th"))
+    none = F.lit(None).cast("array<int>")
+    marked = rows.filter("marked").join(marks, ["id", "th"], "left").select("id", "text", "firsts", "lasts").union(rows.filter("not marked").select("id", "text", none, none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
