@@ -2,80 +2,112 @@
 
 Every text's words fall into non-overlapping blocks of half the window, which are indexed. Every rolling run of a block's
 length probes the index. A window that occurs in an earlier document holds one of that document's blocks whole, so it lies
-around a hit; the runs of windows around hits, in both documents, are compared by their own hashes, and what is equal extends
-each hit to the maximal exact repeat. Nothing pairs documents: a window's hash keeps only its smallest document.
+around a hit. Each such window is dealt to one of its hits, that of the smallest hash; there what stands around the hit in all
+texts is extended word by word, to the right and to the left, and texts part where their words differ. So a hit grows to the
+maximal exact repeats that hold it, words are compared, not their hashes, and nothing pairs documents: of the texts that are
+still together when a window is full, the smallest document counts.
+
+What is indexed and probed lies in windows whose smallest run, which their content alone chooses, is in more than one text.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm import bloom, copies
+from weftline.llm import bloom, contexts, copies
 from weftline.llm.base import cut, trimmed
-from weftline.llm.words import hashed, runs, sums
+from weftline.llm.words import hashed, lowest, mixed, runs, stretches, sums
 
 
 def _long(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _each(batches: Iterator[pa.RecordBatch], window: int, suspects) -> Iterator[tuple[int, int, np.ndarray]]:
-    """id, th and prefix sums of each different text that has a window."""
+class _Text:
+    """A text that has a window: h, the hashes of its runs of a block's length."""
+
+    def __init__(self, row: tuple, prefix: np.ndarray, window: int) -> None:
+        self.id, self.th, self.n, self.text = row
+        self.window, self.block = window, (window + 1) // 2
+        self.h = runs(prefix, self.block)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each window's smallest run, and that run's hash, mixed anew as small ones are alike."""
+        at = lowest(self.h, self.window - self.block + 1)
+        return at, mixed(self.h[at])
+
+    def shared(self, near: bloom.Filter) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each window may be in another text, and whether each run lies in such a window."""
+        told = near.test(self.anchors()[1])
+        before = np.append(0, np.cumsum(told))
+        p = np.arange(len(self.h))
+        return told, before[np.minimum(p + 1, len(told))] > before[np.maximum(p - (self.window - self.block), 0)]
+
+
+def _each(batches: Iterator[pa.RecordBatch], window: int, suspects) -> Iterator[_Text]:
+    """Each different text that has a window."""
     for batch in copies.distinct(batches, suspects):
-        for i, th, text in zip(*(batch.column(k).to_pylist() for k in ("id", "th", "text"))):
-            words = hashed(text)
+        for row in zip(*(batch.column(k).to_pylist() for k in ("id", "th", "n", "text"))):
+            words = hashed(row[3])
             if len(words) >= window:
-                yield i, th, sums(words)
+                yield _Text(row, sums(words), window)
 
 
-def _index(window: int, suspects):
-    block = (window + 1) // 2
+def _chosen(window: int, suspects):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _each(batches, window, suspects):
+            yield pa.RecordBatch.from_arrays([_long(np.unique(t.anchors()[1]))], names=["h"])
 
+    return run
+
+
+def _index(window: int, suspects, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, _, prefix in _each(batches, window, suspects):
-            h = runs(prefix, block, np.arange(0, len(prefix) - block, block))
-            yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), i))], names=["h", "id"])
+        near = bloom.Filter(sent.value)
+        for t in _each(batches, window, suspects):
+            _, live = t.shared(near)
+            h = t.h[:: t.block][live[:: t.block]]
+            if len(h):
+                yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), t.id))], names=["h", "id"])
 
     return run
 
 
 def _probe(window: int, suspects, sent):
-    block = (window + 1) // 2
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = (bloom.Filter(x) for x in sent.value)
-        for i, _, prefix in _each(batches, window, suspects):
-            h = runs(prefix, block)
-            hit = once.test(h)
+        near, once, again = (bloom.Filter(x) for x in sent.value)
+        for t in _each(batches, window, suspects):
+            _, hit = t.shared(near)
+            hit[hit] = once.test(t.h[hit])
             # A text's own blocks are all there: they count where another block is the same.
-            hit[::block] &= again.test(h[::block])
+            hit[:: t.block] &= again.test(t.h[:: t.block])
             if hit.any():
-                h = np.unique(h[hit])
-                yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), i))], names=["h", "id"])
+                h = np.unique(t.h[hit])
+                yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), t.id))], names=["h", "id"])
 
     return run
 
 
-def _windows(window: int, suspects, sent):
-    block = (window + 1) // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = bloom.Filter(sent.value)
-        for i, th, prefix in _each(batches, window, suspects):
-            at = np.flatnonzero(shared.test(runs(prefix, block)))
-            if len(at):
-                n = len(prefix) - window
-                near = np.zeros(n + 1, np.int32)
-                np.add.at(near, np.clip(at - (window - block), 0, n), 1)
-                np.add.at(near, np.clip(at + 1, 0, n), -1)
-                starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                h = runs(prefix, window, starts)
-                yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), i)), pa.array(np.full(len(h), th)), pa.array(starts.astype(np.int32))], names=["w", "id", "th", "start"])
+def _occurrences(window: int, suspects, sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        near, shared = (bloom.Filter(x) for x in sent.value)
+        for t in _each(batches, window, suspects):
+            told, hit = t.shared(near)
+            hit[hit] = shared.test(t.h[hit])
+            if not hit.any():
+                continue
+            at = np.where(told, lowest(t.h, window - t.block + 1, hit), -1)
+            words = t.text.split()
+            for a, b in zip(*(x.tolist() for x in stretches(at))):
+                p = int(at[a])
+                yield int(t.h[p].view(np.int64)), p - a, b" ".join(words[a : b + window]), t.id, t.th, p, max(1, t.n)
 
     return run
 
@@ -97,27 +129,69 @@ def _batched(make):
     return trimmed(run)
 
 
+def extended(rows: list[list], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of contexts.CLASS: whether the window that begins o words before the hit is in texts of different ids, and the smallest."""
+    n, block = len(rows), (window + 1) // 2
+    places = window - block + 1
+    known: dict[bytes, int] = defaultdict(count().__next__)
+    contents = [r[8].split(b" ") for r in rows]
+    words = np.fromiter((known[w] for c in contents for w in c), np.int64, sum(map(len, contents)))
+    size = np.array([len(c) for c in contents], np.int64)
+    begin = np.cumsum(size) - size
+    before, low, high, least, most = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4, 5, 6))
+
+    def further(label: np.ndarray, k: int) -> np.ndarray:
+        """Labels parted by the word k places behind the hit's first one; behind the end of a context it is alone."""
+        at = before + k
+        there = (at >= 0) & (at < size)
+        word = len(known) + np.arange(n)
+        word[there] = words[begin[there] + at[there]]
+        return np.unique(label * (len(known) + n) + word, return_inverse=True)[1]
+
+    label = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
+    right, left = {}, [np.zeros(n, np.int64)]
+    for k in range(window):
+        label = further(label, k)
+        right[k + 1] = label
+    for k in range(1, places):
+        left.append(further(left[-1], -k))
+    told, value = np.zeros((n, places), bool), np.zeros((n, places), np.int64)
+    for o in range(places):
+        live = np.flatnonzero((before >= o) & (size - before >= window - o) & (low <= o) & (o < high))
+        if len(live):
+            pair, of = np.unique(right[window - o][live] * n + left[o][live], return_inverse=True)
+            first, last = np.full(len(pair), np.iinfo(np.int64).max), np.full(len(pair), np.iinfo(np.int64).min)
+            np.minimum.at(first, of, least[live])
+            np.maximum.at(last, of, most[live])
+            value[live, o] = first[of]
+            told[live, o] = first[of] < most[live]
+    return told, value
+
+
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n (words), spans (flat array of half-open word positions, maximal) and kept (the other words, UTF-8, one space between).
 
     A word goes if a run of `window` words of its text that covers it occurs in a text of smaller doc_id; runs are judged on the
     input. Words are separated by space and x09-x0D and not changed. Null texts have no words; a null doc_id is smaller than any
-    other; rows with one doc_id don't remove from each other. An empty table gives an empty one; other columns are ignored.
+    other; rows with one doc_id don't remove from each other. Texts have less than 2**31 bytes. An empty table gives an empty
+    one; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, block = docs.sparkSession, (window + 1) // 2
     rows = copies.keyed(docs)
     work, members, suspects = copies.set_apart(rows)
-    index = cut(work.mapInArrow(_batched(_index(window, suspects)), "h long, id long"))
-    filters = bloom.build(index.select("h"), index.count())
-    sent = spark.sparkContext.broadcast([f.bits for f in filters])
+    send = lambda *tables: [bloom.build(x, x.count()).bits for x in tables]
+    several = lambda table: cut(table.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    near = send(several(work.mapInArrow(_batched(_chosen(window, suspects)), "h long")))
+    index = cut(work.mapInArrow(_batched(_index(window, suspects, spark.sparkContext.broadcast(near[0]))), "h long, id long"))
+    sent = spark.sparkContext.broadcast([*near, *send(index.select("h"), several(index))])
     probes = work.mapInArrow(_batched(_probe(window, suspects, sent)), "h long, id long")
     first = index.groupBy("h").agg(F.min("id").alias("first"))
     # Each block needs its smallest document and the largest that probes it.
     shared = cut(probes.groupBy("h").agg(F.max("id").alias("last")).join(first, "h").filter("first < last").select("h"))
-    hit = spark.sparkContext.broadcast(bloom.build(shared, shared.count())[0].bits)
-    windows = cut(work.mapInArrow(_batched(_windows(window, suspects, hit)), "w long, id long, th long, start int"))
-    least = windows.groupBy("w").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("w", "least")
-    spans = windows.join(least, "w").filter("least < id").select("id", "th", F.col("start").alias("first"), (F.col("start") + window).alias("last"))
+    hit = spark.sparkContext.broadcast([*near, *send(shared)])
+    places, classes = contexts.gathered(work, _occurrences(window, suspects, hit), window - block + 1)
+    found = contexts.settled(places, classes, lambda some: extended(some, window), window, window - block + 1, lambda content: content.split(b" "), b" ".join)
+    spans = found.filter("least < id").select("id", "th", (F.col("at") - F.col("high") + 1).alias("first"), (F.col("at") - F.col("low") + window).alias("last"))
     # A copy of an earlier text goes whole if it has a window at all.
     counted = rows.join(members.filter("least < id").distinct(), ["id", "th"], "left_semi").select("id", "th", F.lit(0).alias("n"), "text")
     whole = counted.mapInArrow(_batched(_long_enough(window)), "id long, th long")

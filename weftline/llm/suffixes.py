@@ -1,10 +1,11 @@
 """Repeated byte strings by suffix sorting, deep and shallow.
 
-Each window of a text has an anchor: the 32 bytes in it with the smallest hash, the leftmost of equals. It depends on the
-window's bytes alone, so equal windows have equal anchors at equal offsets; consecutive windows mostly share theirs. Anchors
-that occur once (as a Bloom filter of repeated ones shows) end there. Of the others, what lies to the right of them is suffix
-sorted, and what lies to the left, read backwards, too: multikey quicksort to a shallow depth, then a blind trie for each group
-that still agrees. Two windows are equal if they agree far enough in both orders, which the arrays of common prefixes tell.
+Suffixes are sampled: each window of a text has an anchor, the 32 bytes in it with the smallest hash, the leftmost of equals. It
+depends on the window's bytes alone, so equal windows have equal anchors at equal offsets; consecutive windows mostly share
+theirs. Suffixes that begin at anchors which occur more than once are sorted, each as far as its windows reach, with a weight for
+those that are equal throughout; so is what lies before the anchors, read backwards. Both sorts are multikey quicksort to a
+shallow depth, and then a blind trie for each group that still agrees. Two windows are equal if they agree far enough in both
+orders, which the arrays of common prefixes tell: all removed spans, but for whole texts that have copies, are read from these.
 """
 
 from __future__ import annotations
@@ -13,18 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm import bloom, copies
-from weftline.llm.base import cut
-from weftline.llm.words import mixed, runs, sums
+from weftline.llm import bloom, contexts, copies
+from weftline.llm.base import cut, trimmed
+from weftline.llm.words import lowest, mixed, runs, stretches, sums
 
 GRAM = 32
-#: Bytes to which multikey quicksort goes; bytes of texts hashed at once (below 2**24), and of records sorted at once.
-SHALLOW, AT_ONCE, SORTED = 64, 1 << 20, 16_000_000
-_POSITION = 24
+#: Bytes to which multikey quicksort goes, eight a letter; bytes of texts hashed at once.
+SHALLOW, AT_ONCE = 64, 1 << 20
 
 
 def anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -49,20 +48,12 @@ def _anchors(parts: list, length: int) -> Iterator:
     ends = np.cumsum([len(p) for _, _, p in parts])
     begins = ends - [len(p) for _, _, p in parts]
     h = runs(sums(whole.astype(np.uint64) + np.uint64(1)), GRAM)
-    key = (h >> np.uint64(_POSITION) << np.uint64(_POSITION)) | np.arange(len(h), dtype=np.uint64)
-    width, low, span = length - GRAM + 1, key, 1
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < width:
-        low = np.minimum(low[: len(key) - width + 1], low[width - span : width - span + len(key) - width + 1])
-    at = (low & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+    at = lowest(h, length - GRAM + 1)
     for (k, offset, part), a, b in zip(parts, begins.tolist(), ends.tolist()):
         own = at[a : b - length + 1]
-        new = np.flatnonzero(own[1:] != own[:-1]) + 1
-        first = np.append(0, new)
+        first, last = stretches(own)
         # Anchors have small hashes; mixed anew, they spread again.
-        yield k, offset, mixed(h[own[first]]), own[first] - a, first, np.append(new - 1, len(own) - 1)
+        yield k, offset, mixed(h[own[first]]), own[first] - a, first, last
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -127,25 +118,40 @@ class BlindTrie:
         return order, lcp
 
 
+def multikey(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of rows of letters, a step of all groups at once: the order, and for each place in it where its group of equal rows begins.
+
+    A group's rows are parted by their letter at the group's depth into those below a pivot, equal to it and above it; the equal
+    ones go on at the next letter, the others at the same.
+    """
+    n, deepest = letters.shape
+    order, start, depth = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live = np.arange(n) if n > 1 and deepest else np.zeros(0, np.int64)
+    while len(live):
+        group = start[live]
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(first, len(live)))
+        own = letters[order[live], depth[live]]
+        a, b, c = own[first], own[first + size // 2], own[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        below, equal = own < pivot, own == pivot
+        upto = [np.cumsum(x) - x for x in (below, equal, ~(below | equal))]
+        rank = [x - np.repeat(x[first], size) for x in upto]
+        many = [np.repeat(np.add.reduceat(x, first, dtype=np.int64), size) for x in (below, equal)]
+        begin = group + np.where(below, 0, np.where(equal, many[0], many[0] + many[1]))
+        to = begin + np.where(below, rank[0], np.where(equal, rank[1], rank[2]))
+        order[to], start[to], depth[to] = order[live], begin, depth[live] + equal
+        left = np.where(below, many[0], np.where(equal, many[1], np.repeat(size, size) - many[0] - many[1]))
+        live = np.sort(to[(left > 1) & (depth[to] < deepest)])
+    return order, start
+
+
 def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings and the common prefix of each with the one before it in order."""
     n = len(strings)
     words = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), ">u8").reshape(n, SHALLOW // 8).astype(np.uint64)
-    order, groups = np.arange(n), [(0, n)]
-    # Multikey quicksort whose letters are eight bytes: a group is ordered by one, and its equals by the next.
-    group = np.zeros(n, np.int64)
-    tied = np.arange(n)
-    for d in range(SHALLOW // 8):
-        if not len(tied):
-            break
-        some = order[tied]
-        by = np.lexsort((words[some, d], group[tied]))
-        order[tied] = some[by]
-        values, own = words[order[tied], d], group[tied]
-        fresh = np.append(True, (values[1:] != values[:-1]) | (own[1:] != own[:-1]) | (np.diff(tied) > 1))
-        group[tied] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
-        alone = fresh & np.append(fresh[1:], True)
-        tied = tied[~alone]
+    order, group = multikey(words)
+    tied = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1) if n else order
     lcp = np.zeros(n, np.int64)
     lengths = np.array([len(s) for s in strings], np.int64)
     if n > 1:
@@ -170,29 +176,27 @@ def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeated(contents: list[bytes], before: np.ndarray, length: int) -> np.ndarray:
-    """contents: bytes of an anchor's windows, before: of them in front of the anchor. A row for each, true at o if the window that begins o bytes before the anchor is equal to one of another row at the same o."""
-    n = len(contents)
+def repeated(rows: list[list], length: int) -> tuple[np.ndarray, None]:
+    """Rows of contexts.CLASS: true at o if the window that begins o bytes before the anchor is there more than once, in one class or in two."""
+    n = len(rows)
     places = length - GRAM + 1
+    before, low, high, weight = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4, 7))
     out = np.zeros((n, places), bool)
-    right, rp = deep_shallow([c[b:] for c, b in zip(contents, before.tolist())])
-    left, lp = deep_shallow([c[:b][::-1] for c, b in zip(contents, before.tolist())])
-    after = np.array([len(c) for c in contents], np.int64) - before
+    right, rp = deep_shallow([r[8][r[2] :] for r in rows])
+    left, lp = deep_shallow([r[8][: r[2]][::-1] for r in rows])
+    after = np.array([len(r[8]) for r in rows], np.int64) - before
     label_r, label_l = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for o in range(places):
-        live = np.flatnonzero((before >= o) & (after >= length - o))
-        if len(live) < 2:
+        live = np.flatnonzero((before >= o) & (after >= length - o) & (low <= o) & (o < high))
+        if not len(live):
             continue
         label_r[right] = np.cumsum(rp < length - o)
         label_l[left] = np.cumsum(lp < o)
         pair = label_r[live] * (n + 1) + label_l[live]
         by = np.argsort(pair, kind="stable")
         same = pair[by][1:] == pair[by][:-1]
-        out[live[by[np.append(same, False) | np.append(False, same)]], o] = True
-    return out
-
-
-RECORD = "ah long, cls binary, id long, th long, at int, before int, span int, many boolean, content binary"
+        out[live[by[np.append(same, False) | np.append(False, same) | (weight[live[by]] > 1)]], o] = True
+    return out, None
 
 
 def _hashes(length: int, suspects):
@@ -205,56 +209,15 @@ def _hashes(length: int, suspects):
     return run
 
 
-def _records(length: int, suspects, sent):
-    """Anchors that may repeat, with the bytes of their windows where a task meets them first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again, seen = bloom.Filter(sent.value), set()
+def _occurrences(length: int, suspects, sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        again = bloom.Filter(sent.value)
         for some in copies.distinct(batches, suspects):
             ids, ths, ns, texts = (some.column(c).to_pylist() for c in ("id", "th", "n", "text"))
-            out: list[tuple] = []
             for t, offset, h, at, first, last in anchors(texts, length):
-                for j in np.flatnonzero(again.test(h)).tolist():
-                    a, b = int(first[j]), int(last[j])
-                    content = texts[t][offset + a : offset + b + length]
-                    before = int(at[j]) - a
-                    cls = xxhash.xxh3_128_digest(content, before)
-                    out.append((int(h[j].view(np.int64)), cls, ids[t], ths[t], offset + a, before, b - a, ns[t] > 1, None if cls in seen else content))
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(cls)
-            if out:
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
-
-    return run
-
-
-def _sorted(length: int):
-    """Records sorted by anchor: for each, flat spans of its windows that another record has, from its first window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
-                if size >= SORTED and row[0] != held[-1][0]:
-                    yield from done(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield from done(held)
-
-    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, cls, before, contents = zip(*rows)
-        before = np.array(before, np.int64)
-        found = repeated(list(contents), before, length)
-        # Offsets before the anchor, backwards, are places behind the first window.
-        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, begin = np.nonzero(edge == 1)
-        _, end = np.nonzero(edge == -1)
-        yield pa.RecordBatch.from_arrays([pa.array([cls[k] for k in row.tolist()], pa.binary()), pa.array((before[row] - end + 1).astype(np.int32)), pa.array((before[row] - begin).astype(np.int32))], names=["cls", "low", "high"])
+                hit = np.flatnonzero(again.test(h))
+                for ah, p, a, b in zip(h[hit].view(np.int64).tolist(), at[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+                    yield ah, p - a, texts[t][offset + a : offset + b + length], ids[t], ths[t], offset + p, max(1, ns[t])
 
     return run
 
@@ -263,29 +226,21 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, n (bytes), spans (flat array of half-open byte positions, maximal) and kept (the other bytes).
 
     A byte goes if a string of `length` bytes of its text that covers it begins anywhere else too, in the same text or another;
-    strings are judged on the input and never cross texts. Null texts are empty. Rows that repeat a doc_id are texts like any
-    other, and so repeat each other; null doc_ids stay null. An empty table gives an empty one; other columns are ignored.
+    strings are judged on the input and never cross texts, which have less than 2**31 bytes. Null texts are empty. Rows that
+    repeat a doc_id are texts like any other, and so repeat each other; null doc_ids stay null. An empty table gives an empty
+    one; other columns are ignored.
     """
     if length < GRAM:
         raise ValueError(f"strings of {GRAM} bytes or more")
-    spark = docs.sparkSession
+    spark, places = docs.sparkSession, length - GRAM + 1
     rows = copies.keyed(docs)
     work, members, suspects = copies.set_apart(rows)
-    hashes = cut(work.mapInArrow(_hashes(length, suspects), "ah long"))
-    again = spark.sparkContext.broadcast(bloom.build(hashes, hashes.count())[1].bits)
-    records = cut(work.mapInArrow(_records(length, suspects, again), RECORD))
-    classes = cut(records.groupBy("ah", "cls").agg((F.count(F.lit(1)) + F.max(F.col("many").cast("long")) > 1).alias("full")))
-    # Only anchors with different records, of which some is there once, are sorted.
-    several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("all")).filter("n > 1 and not all").select("ah")
-    several = cut(several)
-    wanted = copies.member(spark, bloom.build(several, several.count())[0])
-    sort = records.filter("content is not null").select("ah", "cls", "before", "content").filter(wanted("ah"))
-    found = sort.repartition("ah").sortWithinPartitions("ah").mapInArrow(_sorted(length), "cls binary, low int, high int")
-    partly = found.join(classes.filter("full"), "cls", "left_anti").groupBy("cls").agg(F.collect_list(F.struct("low", "high")).alias("parts"))
-    wide = F.array(F.struct(F.lit(0).alias("low"), F.lit(1 << 30).alias("high")))
-    marks = classes.filter("full").select("cls", wide.alias("parts")).unionByName(partly)
-    places = records.select("cls", "id", "th", "at", "span").join(marks, "cls").select("id", "th", "at", "span", F.explode("parts").alias("p"))
-    spans = places.select("id", "th", (F.col("at") + F.col("p.low")).alias("first"), (F.col("at") + F.least("span", "p.high") + length).alias("last"))
+    hashes = work.mapInArrow(trimmed(_hashes(length, suspects)), "ah long")
+    again = cut(hashes.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"))
+    sent = spark.sparkContext.broadcast(bloom.build(again, again.count()).bits)
+    places_of, classes = contexts.gathered(work, _occurrences(length, suspects, sent), places)
+    found = contexts.settled(places_of, classes, lambda some: repeated(some, length), length, places, lambda content: content, lambda units: units)
+    spans = found.select("id", "th", (F.col("at") - F.col("high") + 1).alias("first"), (F.col("at") - F.col("low") + length).alias("last"))
     # Every copy of a text that has a window goes whole.
     whole = members.join(rows.filter(F.octet_length("text") >= length).select("id", "th"), ["id", "th"], "left_semi").select("id", "th").distinct()
     return copies.carve(rows, spans, whole, lambda text: text, b"".join)

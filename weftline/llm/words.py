@@ -89,20 +89,33 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted starts of equal windows as merged half-open intervals; touching ones become one."""
-    if not len(starts):
-        return starts, starts
-    new = np.flatnonzero(np.diff(starts) > length) + 1
-    return starts[np.concatenate([[0], new])], starts[np.concatenate([new - 1, [len(starts) - 1]])] + length
-
-
-def merged(pairs: list[tuple[int, int]]) -> list[list[int]]:
-    """Half-open intervals in any order, merged where they overlap or touch."""
-    out: list[list[int]] = []
-    for a, b in sorted(pairs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+#: Bits of a place in lowest(), whose other bits are the hash's upper ones; places looked at together.
+_PLACE, _TOGETHER = 24, 1 << 22
+
+
+def lowest(h: np.ndarray, width: int, live: np.ndarray | None = None) -> np.ndarray:
+    """For each `width` successive hashes the place of the smallest by its upper 40 bits, the leftmost of equals: of the live ones, -1 where there are none."""
+    out = []
+    for k in range(0, max(0, len(h) - width + 1), _TOGETHER):
+        some = h[k : k + _TOGETHER + width - 1]
+        low = key = (some >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(some), dtype=np.uint64)
+        if live is not None:
+            low = np.where(live[k : k + len(some)], low, ~np.uint64(0))
+        span, n = 1, len(key) - width + 1
+        while span * 2 <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < width:
+            low = np.minimum(low[:n], low[width - span : width - span + n])
+        at = (low & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + k
+        out.append(at if live is None else np.where(low == ~np.uint64(0), -1, at))
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
+def stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of windows with one anchor; windows without an anchor (-1) are in none."""
+    if not len(at):
+        return at, at
+    new = np.flatnonzero(at[1:] != at[:-1]) + 1
+    first, last = np.append(0, new), np.append(new - 1, len(at) - 1)
+    return first[at[first] >= 0], last[at[first] >= 0]
