@@ -23,8 +23,8 @@ from weftline.llm.words import runs, sums
 
 #: Words of a seed; score from which a document holds an item; what diagonals of one passage differ by at most.
 SEED, THRESHOLD, BAND = 3, 0.5, 32
-#: Cells of alignments at once.
-CELLS = 4_000_000
+#: Cells of alignments at once; words of all items that are sent to the executors at most, 32 MB.
+CELLS, SENT = 4_000_000, 4_000_000
 _STRIP = ".,;:!?\"'()[]{}<>|/\\-_*#$%&+=~`“”‘’«»…"
 
 
@@ -101,14 +101,18 @@ def scored(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int,
     return out
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        said = [plain(text)[0].view(np.int64) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.list_(pa.int64()))], names=["item", "words"])
+
+
 def _grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item, text in zip(*(x.to_pylist() for x in batch.columns)):
-                h, _ = plain(text)
-                g = runs(sums(h), n)
-                if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array([item] * len(g), pa.int64()), pa.array(np.arange(len(g), dtype=np.int32)), pa.array([h.view(np.int64).tolist()] * len(g), pa.list_(pa.int64()))], names=["g", "item", "pos", "words"])
+        for batch in sliced(batches, 100):
+            for item, key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                g = runs(sums(words.values.to_numpy().view(np.uint64)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), item)), pa.array(np.full(len(g), key)), pa.array(np.arange(len(g), dtype=np.int32))], names=["g", "item", "key", "pos"])
 
     return run
 
@@ -128,27 +132,41 @@ def _found(n: int, sent):
     return run
 
 
-def _verify(threshold: float, pad: int):
-    """Rows (id, text, passages of (item, low, high, words)): those whose best passage of an item reaches the threshold."""
+def _verify(threshold: float, pad: int, sent=None):
+    """Rows (id, text, passages of (item, key, low, high), words of the only one if none are sent): those whose best passage of an item reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            keys, pairs = [], []
-            for i, text, passages in zip(*(x.to_pylist() for x in batch.columns)):
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            keys: list[tuple] = []
+            rows: dict[tuple, tuple] = {}
+
+            def done() -> None:
+                for (i, item, first, at), (score, a, b) in zip(keys, scored(pairs)):
+                    if score >= threshold and score > rows.get((i, item), (0,))[0]:
+                        rows[i, item] = score, int(at[first + a]), int(at[first + b - 1]) + 1
+                keys.clear()
+                pairs.clear()
+
+            held = 0
+            words = batch.column(3) if sent is None else None
+            for k, (i, text, passages) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:3]))):
                 h, at = plain(text)
                 for p in passages:
-                    item = np.array(p["words"], np.int64).view(np.uint64)
+                    item = sent.value[p["item"], p["key"]] if words is None else words[k].values.to_numpy()
+                    item = item.view(np.uint64)
                     first = max(0, p["low"] - pad - len(item) // 2)
                     passage = h[first : p["high"] + len(item) + pad + len(item) // 2]
                     # No alignment matches more words than occur.
                     if np.isin(item, passage).mean() >= threshold:
                         keys.append((i, p["item"], first, at))
                         pairs.append((item, passage))
-            rows = {}
-            for (i, item, first, at), (score, a, b) in zip(keys, scored(pairs)):
-                if score >= threshold and score > rows.get((i, item), (0,))[0]:
-                    rows[i, item] = score, int(at[first + a]), int(at[first + b - 1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == copies.NO_ID else i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())] + [pa.array([r[j] for r in rows.values()], t) for j, t in enumerate((pa.float64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+                        held += len(passage) + len(at)
+                if held > CELLS:
+                    done()
+                    held = 0
+            done()
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())] + [pa.array([r[j] for r in rows.values()], t) for j, t in enumerate((pa.float64(), pa.int32(), pa.int32()))], names=["id", "item", "score", "first_word", "last_word"])
 
     return run
 
@@ -156,28 +174,38 @@ def _verify(threshold: float, pad: int):
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, score (threshold to 1), first_word and last_word of the passage (half-open, words by white space).
 
-    An item of fewer words than a seed has none and is never found. Null texts are empty; a null item_id or doc_id is kept as
-    it is; rows that share an id with different texts are searched apart, and equal rows give one row. With an empty table of
-    either kind there are no rows; other columns are ignored.
+    An item of fewer words than a seed has none and is never found; in scripts without spaces a whole sentence is one word. Null
+    texts are empty; a null item_id or doc_id is kept as it is; rows that share an id with different texts are searched apart,
+    and equal rows give one row. With an empty table of either kind there are no rows; other columns are ignored. Memory grows
+    with the largest text and item: all items' words are sent if they are at most SENT, else they join the passages.
     """
     spark = docs.sparkSession
     rows = copies.keyed(docs)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(copies.NO_ID)).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).distinct()
-    grams = cut(items.mapInArrow(_grams(seed), "g long, item long, pos int, words array<long>"))
+    told = items.mapInArrow(trimmed(_words), "item long, words array<long>").filter(F.size("words") >= seed)
+    told = cut(told.select("item", F.xxhash64("words").alias("key"), "words"))
+    grams = cut(told.mapInArrow(trimmed(_grams(seed)), "g long, item long, key long, pos int"))
     # Four times the room of other filters: few words that are no seeds get through.
-    sent = spark.sparkContext.broadcast(bloom.build(grams.select("g"), 4 * grams.count())[0].bits)
+    sent = spark.sparkContext.broadcast(bloom.build(grams.select("g"), 4 * grams.count()).bits)
     found = cut(rows.mapInArrow(trimmed(_found(seed, sent)), "g long, id long, th long, pos int"))
-    seeds = cut(grams.select("g", "item", F.xxhash64("words").alias("words_"), F.col("pos").alias("own"), "words"))
-    hits = found.join(seeds.select("g", "item", "words_", "own"), "g").withColumn("low", F.col("pos") - F.col("own"))
+    hits = found.join(grams.withColumnRenamed("pos", "own"), "g").withColumn("low", F.col("pos") - F.col("own"))
     # Passages of neighbouring bands overlap by what each is widened.
-    passages = hits.groupBy("id", "th", "item", "words_", F.floor(F.col("low") / BAND).alias("band")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
-    with_words = passages.join(seeds.select("item", "words_", "words").distinct(), ["item", "words_"])
-    asked = cut(with_words.groupBy("id", "th").agg(F.collect_list(F.struct("item", "low", "high", "words")).alias("passages")))
+    passages = hits.groupBy("id", "th", "item", "key", F.floor(F.col("low") / BAND).alias("band")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
+    each = F.struct("item", "key", "low", "high")
+    small = (told.agg(F.sum(F.size("words"))).first()[0] or 0) <= SENT
+    if small:
+        known = spark.sparkContext.broadcast({(r.item, r.key): np.array(r.words, np.int64) for r in told.collect()})
+        asked = cut(passages.groupBy("id", "th").agg(F.collect_list(each).alias("passages")))
+    else:
+        known, asked = None, cut(passages.select("id", "th", F.array(each).alias("passages"), "item", "key"))
     # Only documents with passages move.
-    flagged = copies.member(spark, bloom.build(asked.select("th"), asked.count())[0])
+    flagged = copies.member(spark, bloom.build(asked.select("th"), asked.count()))
     texts = rows.filter(flagged("th")).dropDuplicates(["id", "th"])
-    out = texts.join(asked, ["id", "th"]).select("id", "text", "passages").mapInArrow(trimmed(_verify(threshold, BAND // 2)), "doc_id long, item_id long, score double, first_word int, last_word int")
-    return out.select("doc_id", F.nullif("item_id", F.lit(copies.NO_ID)).alias("item_id"), "score", "first_word", "last_word")
+    both = texts.join(asked, ["id", "th"])
+    both = both.select("id", "text", "passages") if small else both.join(told, ["item", "key"]).select("id", "text", "passages", "words")
+    out = both.mapInArrow(trimmed(_verify(threshold, BAND // 2, known)), "id long, item long, score double, first_word int, last_word int")
+    best = out.groupBy("id", "item").agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("best"))
+    return best.select(F.nullif("id", F.lit(copies.NO_ID)).alias("doc_id"), F.nullif("item", F.lit(copies.NO_ID)).alias("item_id"), "best.score", (-F.col("best.col2")).alias("first_word"), "best.last_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
