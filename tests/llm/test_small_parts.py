@@ -104,7 +104,7 @@ def test_anchors_bring_every_near_pair_together(threshold):
         y = x
         for bit in rng.sample(range(64), rng.randint(0, threshold)):
             y ^= 1 << bit
-        fps = np.array([[x], [y]], np.uint64)
+        fps = np.array([x, y], np.uint64)
         home, guest = [set(), set()], [set(), set()]
         for at, anchors, is_home in simhash.anchors(fps, threshold):
             for i, a in zip(at.tolist(), anchors.tolist()):
@@ -159,7 +159,7 @@ def test_alignment_scores(pairs):
 
 
 def test_filter_holds_what_it_was_given():
-    f = bloom.Filter(np.zeros(64 * 8, np.uint8))
+    f = bloom.Filter(np.zeros(bloom.BUCKETS * 8, np.uint8))
     assert not f.test(np.array([1, 2**63], np.uint64)).any()
 
 

@@ -6,9 +6,10 @@ code word) and all values of its other bits. A fingerprint goes to every anchor
 an anchor, the fingerprints that have it as their nearest are compared with all that came. Each pair within the threshold
 meets: the nearest anchor of one is within radius plus `near` of the other.
 
-A fingerprint may have several words of 64 bits, each from its own hash of the shingles and with its own blocks. Two texts then
-link within a threshold over all words if one block of one word differs in at most one bit: not certain beyond one bit a block,
-but the likelier the more words there are. That reaches texts of lower similarity than 64 bits tell from others.
+Texts of a similarity of 0.8 differ in more bits than that: alike() takes fingerprints of WIDTH words and as many blocks of bits,
+drawn from all of them, as it takes for two such texts to meet with a probability of MEET. Its threshold within a block is none, so
+a fingerprint goes to the anchors within the covering radius, which is one a block. A block has as many bits as there are texts to
+tell apart; what meets is held to a distance, and then to the similarity itself.
 """
 
 from __future__ import annotations
@@ -21,10 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import arrow_udf
 
 from weftline.llm import bloom, copies
-from weftline.llm.base import OWN, cut, mapped, picked, sliced, trimmed
+from weftline.llm.base import OWN, cut, joined, mapped, picked, sliced, trimmed
 from weftline.llm.components import components, labels
 from weftline.llm.words import hashed, mixed, runs, sums
 
@@ -33,11 +33,11 @@ RADIUS, CODE = 1, 15
 TILE, AT_ONCE = 8_192, 2_000_000
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42, width: int = 1) -> list[int]:
-    """Words of bits set in over half the hashes of the text's shingles: the XXH64, and for further words a mix of it. A text of fewer words is one shingle, an empty one gives 0."""
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """Bits set in over half the XXH64 hashes of the text's shingles. A text of fewer words is one shingle, an empty one gives 0."""
     ws = text.lower().split()
     if not ws:
-        return [0] * width
+        return 0
     whole = b" ".join(ws)
     hashed = xxhash.xxh64_intdigest
     if len(ws) <= words:
@@ -46,36 +46,25 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42, width: int = 1) ->
         ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         h = np.fromiter((hashed(whole[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())), np.uint64, len(ws) - words + 1)
-    out = []
-    for j in range(width):
-        counts = np.zeros(64, np.int64)
-        for k in range(0, len(h), 8192):
-            some = h[k : k + 8192] if j == 0 else mixed(h[k : k + 8192] + np.uint64(j))
-            counts += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]))
-    return out
+    return int(majority(h))
 
 
-def _columns(width: int) -> list[str]:
-    return [f"fp{j}" for j in range(width)]
+def majority(h: np.ndarray) -> np.uint64:
+    """Bits set in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 8192):
+        some = h[k : k + 8192]
+        counts += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, width: int = 1) -> DataFrame:
-    """doc_id and fp0 ..., the fingerprint's words as longs."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id and fp, the fingerprint as a long."""
 
     def make(rows: dict) -> dict:
-        fps = np.array([fingerprint(t, words, seed, width) for t in rows["text"]], np.uint64).view(np.int64)
-        return {"doc_id": rows["doc_id"]} | {c: pa.array(np.ascontiguousarray(fps[:, j])) for j, c in enumerate(_columns(width))}
+        return {"doc_id": rows["doc_id"], "fp": pa.array(np.array([fingerprint(t, words, seed) for t in rows["text"]], np.uint64).view(np.int64))}
 
-    return mapped(picked(docs), make, ", ".join(["doc_id long", *(f"{c} long" for c in _columns(width))]))
-
-
-def node(fps: np.ndarray) -> np.ndarray:
-    """One long for a fingerprint: itself if it has one word, else a hash of its words."""
-    out = fps[:, 0]
-    for j in range(1, fps.shape[1]):
-        out = mixed(out) ^ fps[:, j]
-    return out
+    return mapped(picked(docs), make, "doc_id long, fp long")
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,19 +83,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _SYNDROME, _ONE, _TWO = _tables()
 
 
-def blocks(threshold: int, width: int = 1) -> list[tuple[int, int, int]]:
-    """Word, shift and size of each block: of one word, so many that one of them differs in at most one bit; of several, three each."""
-    n = max(3, threshold // 2 + 1) if width == 1 else 3
+def blocks(threshold: int) -> list[tuple[int, int]]:
+    """Shift and size of each block: so many that one of them differs in at most one bit."""
+    n = max(3, threshold // 2 + 1)
     if 64 // n < CODE + 1:
         raise ValueError("the covering code takes blocks of 16 bits or more: a threshold of at most 7")
     at = [64 * k // n for k in range(n + 1)]
-    return [(j, a, b - a) for j in range(width) for a, b in zip(at, at[1:])]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
 def anchors(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Rows of fps, anchors within the covering radius plus one, and whether they are the nearest ones."""
-    for k, (j, shift, size) in enumerate(blocks(threshold, fps.shape[1])):
-        v = ((fps[:, j] >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64) | k << 40
+    for k, (shift, size) in enumerate(blocks(threshold)):
+        v = ((fps >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64) | k << 40
         s = _SYNDROME[v & ((1 << CODE) - 1)]
         near = v ^ _ONE[s]
         rest = [1 << (CODE + i) for i in range(size - CODE)]
@@ -120,16 +109,15 @@ def anchors(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.nd
             yield other, v[other] ^ _TWO[s[other], i], False
 
 
-def _spread(threshold: int, width: int, names: list[str]):
+def _spread(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = _matrix(batch.columns)
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(every), 2000):
                 fps = every[k : k + 2000]
-                parts = list(anchors(fps[:, :width], threshold))
+                parts = list(anchors(fps, threshold))
                 at = np.concatenate([i for i, _, _ in parts])
-                words = [pa.array(np.ascontiguousarray(fps[at, j]).view(np.int64)) for j in range(len(names))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(np.concatenate([np.full(len(i), h) for i, _, h in parts])), *words], names=["anchor", "home", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(np.concatenate([np.full(len(i), h) for i, _, h in parts])), pa.array(fps[at].view(np.int64))], names=["anchor", "home", "fp"])
 
     return run
 
@@ -180,65 +168,47 @@ def _meetings(home: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray
 
 def _met(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
     """Links as one star for each component of an anchor."""
-    fps = _matrix(rows[3:])
+    fps = rows[3].view(np.uint64)
     label = np.arange(len(fps))
     for i, j in _meetings(rows[2].astype(bool), starts):
-        near = (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= threshold) & (label[i] != label[j])
+        near = (np.bitwise_count(fps[i] ^ fps[j]) <= threshold) & (label[i] != label[j])
         if near.any():
             label = labels(len(fps), i[near], j[near], label)
     some = np.flatnonzero(label != np.arange(len(fps)))
-    yield pa.RecordBatch.from_arrays([pa.array(node(fps[some]).view(np.int64)), pa.array(node(fps[label[some]]).view(np.int64))], names=["a", "b"])
-
-
-def _across(rows: list[np.ndarray], starts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
-    """Rows that end in node and label: all pairs of nodes with different labels."""
-    fps, own, label = _matrix(rows[3:-2]), rows[-2], rows[-1]
-    for i, j in _meetings(rows[2].astype(bool), starts):
-        other = label[i] != label[j]
-        i, j = i[other], j[other]
-        near = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= threshold
-        if near.any():
-            pairs = np.unique(np.sort(np.stack([own[i[near]], own[j[near]]], 1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(rows[3][some]), pa.array(rows[3][label[some]])], names=["a", "b"])
 
 
-def links(fps: DataFrame, threshold: int = 4, width: int | None = None) -> DataFrame:
-    """Distinct fingerprints (fp0 ...) to links a, b of their node() that connect what chains of pairs within the threshold connect.
-
-    With a width, node and label follow the fingerprint's words: all pairs of nodes within the threshold whose labels differ.
-    """
-    columns = fps.columns
-    rows = fps.mapInArrow(trimmed(_spread(threshold, width or len(columns), columns)), ", ".join(["anchor long", "home boolean", *(f"{c} long" for c in columns)]))
-    many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
-    many = cut(many.select("anchor", F.ceil(F.col("n") / TILE).cast("int").alias("side")))
+def _tiled(rows: DataFrame, full: int) -> DataFrame:
+    """Rows (anchor, home, others) with a tile: 0, but for anchors of more than `full` rows, which become side x side tiles: a row at home takes a row of tiles, every row takes a column."""
+    many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > full)
+    many = cut(many.select("anchor", F.ceil(F.col("n") / full).cast("int").alias("side")))
+    others = [c for c in rows.columns if c not in ("anchor", "home")]
     if many.isEmpty():
         dealt = rows.withColumn("tile", F.lit(0))
     else:
-        # A full anchor becomes side x side tiles: a row at home takes a row of tiles, every row takes a column.
         hot = rows.join(many, "anchor", "left")
-        line, all_sides = F.pmod(F.xxhash64(*columns), F.coalesce("side", F.lit(1))).cast("int"), F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1)
+        line, all_sides = F.pmod(F.xxhash64(others[0]), F.coalesce("side", F.lit(1))).cast("int"), F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1)
         as_home = hot.filter("home").withColumn("k", F.explode(all_sides)).withColumn("tile", line * 100_000 + F.col("k"))
         as_guest = hot.filter("side is not null or not home").withColumn("k", F.explode(all_sides)).withColumn("home", F.lit(False)).withColumn("tile", F.col("k") * 100_000 + line)
         dealt = as_home.unionByName(as_guest)
-    sorted_ = dealt.select("anchor", "tile", "home", *columns).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", F.desc("home"))
-    return sorted_.mapInArrow(trimmed(_compare(threshold, _across if width else _met)), "a long, b long")
+    return dealt.select("anchor", "tile", "home", *others).repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", F.desc("home"), others[0])
 
 
-def groups(docs: DataFrame, words: int = 4, seed: int = 42, threshold: int = 4, width: int = 1) -> DataFrame:
-    """doc_id, the fingerprint's words fp0 ..., and component_id; see near_duplicates()."""
-    columns = _columns(width)
-    rows = cut(fingerprints(docs, words, seed, width))
+def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
+    """Distinct fingerprints (fp) to links a, b that connect what chains of pairs within the threshold connect."""
+    rows = fps.mapInArrow(trimmed(_spread(threshold)), "anchor long, home boolean, fp long")
+    return _tiled(rows, TILE).mapInArrow(trimmed(_compare(threshold, _met)), "a long, b long")
 
-    @arrow_udf("long")
-    def name(*fps: pa.Array) -> pa.Array:
-        return pa.array(node(_matrix(list(fps))).view(np.int64))
 
-    distinct = cut(rows.groupBy(*columns).agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp0") if width == 1 else name(*columns)))
-    found = components(links(distinct.select(*columns), threshold))
-    ids = found.join(distinct, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = found.join(ids, "root").select("node", "component_id")
-    ids = distinct.join(ids, "node", "left").select(*columns, F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(ids, columns)
+def groups(docs: DataFrame, words: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
+    """doc_id, fp and component_id; see near_duplicates()."""
+    rows = cut(fingerprints(docs, words, seed))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = components(links(distinct.select("fp"), threshold)).withColumnRenamed("node", "fp")
+    ids = found.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = found.join(ids, "root").select("fp", "component_id")
+    ids = cut(distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"))
+    return joined(rows, ids, "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
@@ -248,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, threshold:
     share a doc_id each keep their fingerprint; a null doc_id counts as none where the smallest is sought, and a component of
     such rows only has a null id. An empty table gives an empty one; other columns are ignored.
     """
-    return groups(docs, words, seed, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups(docs, words, seed, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -265,13 +235,126 @@ def similar(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+#: Words of a wide fingerprint; how likely two texts meet whose similarity is just enough; how many of 128 bits they may differ in.
+WIDTH, MEET, APART = 8, 0.96, 30
+#: Rows at one anchor from which it is dealt out as tiles, and up to which its rows are all compared at once; blocks that leaders are sought at.
+WIDE_TILE, FEW, FIRST = 16_384, 64, 10
+
+
+def wide(text: bytes, words: int = 5) -> np.ndarray:
+    """WIDTH words of bits set in over half the hashes of the text's different shingles, each word from another mix of the hash."""
+    h = shingles(text, words)
+    return np.array([majority(mixed(h + np.uint64(j))) for j in range(WIDTH)], np.uint64)
+
+
+def drawn(texts: int, least: float) -> list[np.ndarray]:
+    """The bits of each block for so many texts: CODE of the covering code and as many more as it takes that an anchor has some hundred texts; so many blocks that two texts of the similarity meet with the probability MEET."""
+    rest = max(3, texts.bit_length() - CODE - 4)
+    # The angle between two sets of this similarity, as a share of a half turn, is how often a bit differs.
+    p = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    # One code word is nearest to both if no bit differs, or for one of eight words of any one or two.
+    one = (1 - p) ** CODE + (CODE * p * (1 - p) ** (CODE - 1) + CODE * (CODE - 1) / 2 * p**2 * (1 - p) ** (CODE - 2)) / 8
+    n = int(np.ceil(np.log(1 - MEET) / np.log(1 - one * (1 - p) ** rest)))
+    rng = np.random.default_rng(15)
+    return [rng.choice(64 * WIDTH, CODE + rest, replace=False) for _ in range(n)]
+
+
+def _near(blocks: list[np.ndarray], names: list[str]):
+    """Rows of fp0 ... and others (names, of which the first two words are among): each row at the nearest anchor of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced([whole]):
+                fps = _matrix([batch.column(f"fp{j}") for j in range(WIDTH)])
+                bits = np.unpackbits(np.ascontiguousarray(fps).astype("<u8").view(np.uint8).reshape(len(fps), 8 * WIDTH), axis=1, bitorder="little")
+                at = []
+                for k, places in enumerate(blocks):
+                    v = bits[:, places].astype(np.int64) @ (1 << np.arange(len(places)))
+                    at.append((v ^ _ONE[_SYNDROME[v & ((1 << CODE) - 1)]]) | k << 48)
+                others = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), *(pa.array(np.tile(x, len(blocks))) for x in others)], names=["anchor", *names])
+
+    return run
+
+
+def _leaders(apart: int):
+    """Rows (anchor, home, node, fp0, fp1) sorted by anchor: a leader, the first that is left, takes all rows within `apart` of it, as links from these to it."""
+
+    def met(rows: list[np.ndarray], starts: np.ndarray, _: int) -> Iterator[pa.RecordBatch]:
+        node, fps = rows[3], _matrix(rows[4:6])
+        a, b = [], []
+        ends = np.append(starts[1:], len(node))
+        small = ends - starts <= FEW
+        flags = np.ones(len(node), bool)
+        keep = np.repeat(small & (ends - starts > 1), ends - starts)
+        if keep.any():
+            at = np.flatnonzero(keep)
+            some = np.flatnonzero(np.append(True, rows[0][at][1:] != rows[0][at][:-1]) | np.append(True, rows[1][at][1:] != rows[1][at][:-1]))
+            for i, j in _meetings(flags[: len(at)], some):
+                i, j = at[i], at[j]
+                near = (j < i) & (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= apart)
+                i, j = i[near], j[near]
+                # The first row within reach is each row's leader.
+                first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+                a.append(node[i[first]])
+                b.append(node[j[first]])
+        for s, e in zip(starts[~small].tolist(), ends[~small].tolist()):
+            left = np.arange(s, e)
+            while len(left) > 1:
+                near = np.bitwise_count(fps[left] ^ fps[left[0]]).sum(1, dtype=np.int16) <= apart
+                taken = left[near][1:]
+                a.append(node[taken])
+                b.append(np.full(len(taken), node[left[0]]))
+                left = left[~near]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return met
+
+
+def _across(rows: list[np.ndarray], starts: np.ndarray, apart: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, tile, home, node, fp0, fp1, label): all pairs of nodes with different labels within `apart`."""
+    home, node, fps, label = rows[2].astype(bool), rows[3], _matrix(rows[4:6]), rows[6]
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = (label[i] != label[j]) & (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= apart)
+        if near.any():
+            found = np.unique(np.sort(np.stack([node[i[near]], node[j[near]]], 1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    ends = np.append(starts[1:], len(node))
+    size = ends - starts
+    few = np.repeat((size <= FEW) & (size > 1), size)
+    if few.any():
+        at = np.flatnonzero(few)
+        new = np.append(True, (rows[0][at][1:] != rows[0][at][:-1]) | (rows[1][at][1:] != rows[1][at][:-1]))
+        for i, j in _meetings(home[at], np.flatnonzero(new)):
+            yield from pairs(at[i], at[j])
+    for s, e in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
+        # By label: rows of one are compared with those of the others only.
+        by = s + np.argsort(label[s:e], kind="stable")
+        new = np.flatnonzero(np.append(True, label[by][1:] != label[by][:-1]))
+        for a, b in zip(new.tolist(), np.append(new[1:], len(by)).tolist()):
+            own, others = by[a:b][home[by[a:b]]], np.concatenate([by[:a], by[b:]])
+            step = max(1, AT_ONCE // max(1, len(others)))
+            for k in range(0, len(own) if len(others) else 0, step):
+                some = own[k : k + step]
+                yield from pairs(np.repeat(some, len(others)), np.tile(others, len(some)))
+
+
 def _alike(words: int, least: float):
     """Rows a, b, left, right (texts): the pairs whose shingle sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            rows = list(zip(*(x.to_pylist() for x in batch.columns)))
-            keep = [(a, b) for a, b, s, t in rows if similar(shingles(s, words), shingles(t, words)) >= least]
+            known: dict[int, np.ndarray] = {}
+            keep = []
+            for a, b, s, t in zip(*(x.to_pylist() for x in batch.columns)):
+                for k, text in ((a, s), (b, t)):
+                    if k not in known:
+                        known[k] = shingles(text, words)
+                if similar(known[a], known[b]) >= least:
+                    keep.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keep], pa.int64()), pa.array([b for _, b in keep], pa.int64())], names=["a", "b"])
 
     return run
@@ -279,52 +362,76 @@ def _alike(words: int, least: float):
 
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """Of the pairs a, b of nodes, those whose texts reach the similarity; only texts that are asked for move."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked_for = copies.member(rows.sparkSession, bloom.build(asked, asked.count())[0])
-    texts = cut(rows.filter(asked_for("node")).select("node", "text").dropDuplicates(["node"]))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    pairs = cut(pairs)
+    asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    asked_for = copies.member(rows.sparkSession, bloom.build(asked.select("node"), asked.count()))
+    texts = cut(rows.filter(asked_for("node")).select("node", "text").dropDuplicates(["node"]).join(asked, "node").select("node", "text", "n"))
+    of = lambda key, text: texts.select(F.col("node").alias(key), F.col("text").alias(text), "n")
+    both = joined(joined(pairs, of("a", "left"), "a"), of("b", "right"), "b")
     return cut(both.select("a", "b", "left", "right").mapInArrow(trimmed(_alike(words, least)), "a long, b long"))
 
 
-def alike(docs: DataFrame, words: int = 5, width: int = 4, threshold: int = 48, least: float = 0.8) -> DataFrame:
+def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id, of links between texts whose sets of runs of words have a Jaccard similarity of `least`.
 
-    Fingerprints within the threshold are candidates. What chains within two thirds of it connect is first held against one text
-    each; then all candidates that these links leave apart are, so large groups of copies make few pairs.
+    At the anchors of the first blocks, rows within two thirds of APART go to a leader, and what leaders connect is held against
+    one text of it; then all pairs at any anchor within APART that these links leave apart are verified. So large groups of copies
+    make few pairs.
     """
-    columns = _columns(width)
+    columns = [f"fp{j}" for j in range(WIDTH)]
     rows = picked(docs).withColumn("node", F.xxhash64("text"))
 
     def make(held: dict) -> dict:
-        fps = np.array([fingerprint(t, words, 42, width) for t in held["text"]], np.uint64).view(np.int64)
-        return {"doc_id": held["doc_id"], "node": held["node"]} | {c: pa.array(np.ascontiguousarray(fps[:, j])) for j, c in enumerate(columns)}
-
-    @arrow_udf("long")
-    def name(*fps: pa.Array) -> pa.Array:
-        return pa.array(node(_matrix(list(fps))).view(np.int64))
+        fps = _stacked([wide(t, words) for t in held["text"]])
+        return {"doc_id": held["doc_id"], "node": held["node"]} | {c: pa.array(np.ascontiguousarray(fps[:, j]).view(np.int64)) for j, c in enumerate(columns)}
 
     ids = cut(mapped(rows, make, ", ".join(["doc_id long, node long", *(f"{c} long" for c in columns)])))
-    distinct = cut(ids.groupBy("node", *columns).agg(F.min("doc_id").alias("least")).withColumn("fp", name(*columns)))
-    close = components(links(distinct.select(*columns).distinct(), threshold * 2 // 3)).select(F.col("node").alias("fp"), "root")
-    close = cut(distinct.join(close, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")))
-    pairs = close.join(close.groupBy("root").agg(F.min("node").alias("a")), "root").filter("a != node").select("a", F.col("node").alias("b"))
-    first = _verified(cut(pairs), rows, words, least)
-    labelled = distinct.join(first.select(F.col("b").alias("node"), "a"), "node", "left").select(*columns, "node", F.coalesce("a", "node").alias("label"))
-    second = _verified(cut(links(cut(labelled), threshold, width).distinct()), rows, words, least)
+    distinct = cut(ids.groupBy("node", *columns).agg(F.min("doc_id").alias("least")))
+    blocks = drawn(distinct.count(), least)
+
+    def dealt(table: DataFrame, blocks: list[np.ndarray], more: list[str]) -> DataFrame:
+        names = ["node", "fp0", "fp1", *more]
+        return table.mapInArrow(trimmed(_near(blocks, names)), ", ".join(["anchor long", *(f"{n} long" for n in names)])).withColumn("home", F.lit(True)).select("anchor", "home", *names)
+
+    led = _salted(dealt(distinct, blocks[:FIRST], [])).mapInArrow(trimmed(_compare(0, _leaders(APART * 2 // 3))), "a long, b long")
+    close = components(led)
+    close = cut(distinct.join(close, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    first = _verified(close.filter("root != node").select(F.col("root").alias("a"), F.col("node").alias("b")), rows, words, least)
+    labelled = cut(distinct.join(first.select(F.col("b").alias("node"), "a"), "node", "left").select(*columns, "node", F.coalesce("a", "node").alias("label")))
+    met = _tiled(dealt(labelled, blocks, ["label"]), WIDE_TILE).mapInArrow(trimmed(_compare(APART, _across)), "a long, b long")
+    second = _verified(met.distinct(), rows, words, least)
     found = components(first.union(second))
     roots = found.join(distinct, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     named = found.join(roots, "root").select("node", "component_id")
     return ids.select("doc_id", "node").join(distinct.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "node").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, width: int = 4, threshold: int = 48) -> DataFrame:
+def _stacked(fps: list[np.ndarray]) -> np.ndarray:
+    return np.stack(fps) if fps else np.zeros((0, WIDTH), np.uint64)
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """Rows (anchor, home, node, fp0, fp1) sorted by anchor and tile. Anchors of more than WIDE_TILE rows are dealt out by node; some of their rows, one for each of eight classes of nodes, come first in every tile, so that the same leaders take most rows of all."""
+    many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WIDE_TILE)
+    many = cut(many.select("anchor", F.ceil(F.col("n") / WIDE_TILE).cast("int").alias("side")))
+    if many.isEmpty():
+        dealt = rows.withColumn("tile", F.lit(0))
+    else:
+        hot = rows.join(many, "anchor", "left")
+        own = hot.withColumn("tile", F.pmod(F.xxhash64("node"), F.coalesce("side", F.lit(1))).cast("int"))
+        some = hot.filter("side is not null").groupBy("anchor", "side", F.pmod("node", F.lit(8))).agg(F.min(F.struct("node", "fp0", "fp1")).alias("x"))
+        some = some.select("anchor", F.lit(False).alias("home"), "x.*", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("tile"))
+        dealt = own.select("anchor", "home", "node", "fp0", "fp1", "tile").unionByName(some)
+    return dealt.select("anchor", "tile", "home", "node", "fp0", "fp1").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "home", "node")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows whose doc_id is the smallest of their group, with all their columns; so are those of groups without id.
 
-    Groups are those of alike(): by default fingerprints of 256 bits over five words within 48 bits, and a Jaccard similarity of
-    0.8, at which fingerprints differ by 39 on average. Rows of one doc_id are kept if any of them would be. Texts without words
-    are no copies of each other here: they stay.
+    Groups are those of alike(): by default of links between texts whose sets of five-word runs have a Jaccard similarity of 0.8.
+    Rows of one doc_id are kept if any of them would be. Texts without words are no copies of each other here: they stay.
     """
     empty = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
-    found = alike(docs.filter(~empty).select("doc_id", "text"), words, width, threshold)
+    found = alike(docs.filter(~empty).select("doc_id", "text"), words, least)
     gone = cut(found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("not stays").select(F.col("doc_id").alias(OWN)))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(OWN), "left_anti")
