@@ -1,5 +1,8 @@
 """What scripts compile to: plans, order, null semantics, errors before a job runs."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,33 @@ def test_errors_come_before_any_job(engine, script, word):
 def test_division_by_zero_is_an_error(engine):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         engine.query("t[*] | select x => 1 / (x.id - x.id)").collect()
+
+
+def test_a_few_items_of_each_group_are_ranked_before_they_are_collected(engine):
+    df = engine.query("t[*] | groupBy x => x.id == 5 | select g => { k: g.key, top: (g.items | where i => i.id > 1 | orderBy i => i.id desc | take 2 | select i => i.id), n: (g.items | count), none: (g.items | take 0 | count) }")
+    told = plan(df)
+    assert "WindowGroupLimit" in told and told.count("collect_list") <= 2
+    got = {r["k"]: (r["top"], r["n"], r["none"]) for r in df.collect()}
+    ids = sorted(r[0] for r in rows(engine.query("t[*] | select x => x.id")) if r[0] is not None and r[0] > 1 and r[0] != 5)
+    assert got[True][0] == [5] and got[False][0] == ids[::-1][:2] and got[False][2] == 0
+
+
+@pytest.mark.parametrize("order", ["v", "v desc", "s", "s desc", "d", "d desc", "s, v desc"])
+def test_sorted_rows_are_numbered_by_ranges(spark, order):
+    rng = random.Random(4)
+    data = [(k, rng.choice([None, rng.uniform(-5, 5), 0.0, float("inf"), float("-inf"), float("nan")]), rng.choice([None, "", "é", "z", "zz", "zé", "a" * 5, str(rng.random())]), rng.choice([None, datetime.date(2000, 1, 1) + datetime.timedelta(rng.randint(0, 999))])) for k in range(300)]
+    df = spark.createDataFrame(data, "k int, v double, s string, d date")
+    keys = ", ".join("x => x." + part for part in order.split(", ")) + ", x => x.k"
+    numbered = Engine(spark).bind("t", df).query(f"t[*] | orderBy {keys} | batch 7", ordered=True)
+    want = df.orderBy(*[F.col(part.split(" ")[0]).desc() if " " in part else F.col(part) for part in order.split(", ")], "k").select("k").collect()
+    got = [x.k for r in numbered.collect() for x in r[0]]
+    assert got == [r.k for r in want]
+    assert "row_number() windowspecdefinition(__w_p" in plan(numbered)
+
+
+def test_iterate_ends_by_its_values(engine):
+    q = "t[*] | where x => x.id == 5 | select x => { a: (iterate(x.id, i => i * 3) | takeWhile i => i < 200), b: (iterate({ a: 0, b: 1 }, s => { a: s.b, b: s.a + s.b }) | first s => s.a > x) }"
+    with pytest.raises(ScriptError, match="its item only"):
+        engine.query(q)
+    q = "t[*] | where x => x.id == 5 | select x => { a: (iterate(x.id, i => i * 3) | takeWhile i => i < 200 | select i => i + 1), b: (iterate({ a: 0, b: 1 }, s => { a: s.b, b: s.a + s.b }) | first s => s.a > 50).a }"
+    assert rows(engine.query(q)) == [([6, 16, 46, 136], 55)]

@@ -25,10 +25,14 @@ class Unsupported(Exception):
     """A function that this lane can't type here."""
 
 
-def constant(v: Value, what: str) -> Any:
-    if not isinstance(v, Value) or not v.constant:
+def is_literal(x: Any) -> bool:
+    return x.constant if isinstance(x, Value) else isinstance(x, Row) and all(map(is_literal, x.fields.values()))
+
+
+def constant(v: Any, what: str) -> Any:
+    if not is_literal(v):
         raise Unsupported(f"{what} must be a literal")
-    return v.const
+    return v.const if isinstance(v, Value) else {n: constant(x, n) for n, x in v.fields.items()}
 
 
 def whole(v: Value) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,25 +17,51 @@ from weftline.plans.context import BOOL, TEXT, Context, Scope, arranged
 from weftline.plans.typed import Row, Value, common, equal, is_null, structured, text, truth, unstructured
 
 
+def _evaluated(node: t.Pipeline, seed: Value, kind: T.DataType) -> Column:
+    """A pipe over the name `seed`, evaluated over plain values for each row's seed."""
+
+    @F.pandas_udf(T.StringType())
+    def run(seeds: pd.Series) -> pd.Series:
+        import json
+
+        from weftline.functions.values import dump
+        from weftline.lang.evaluate import Evaluator
+        from weftline.lang.evaluate import Scope as Names
+
+        return seeds.map(lambda s: dump({"v": Evaluator().value(node, Names({"seed": json.loads(s).get("v")}))}))
+
+    whole = T.StructType([T.StructField("v", kind)])
+    return F.from_json(run(F.to_json(F.struct(seed.col.alias("v")))), whole)["v"]
+
+
 class ArrayOperators:
     """Part of the lowering: steps of a pipe over an array."""
 
     def iterated(self, node: t.Pipeline, scope: Scope, ctx: Context) -> Any:
-        """iterate(seed, f) | take n: n steps of an aggregate that appends."""
+        """iterate(seed, f) | take n: n steps of an aggregate that appends. With takeWhile or first, whose steps only the values
+        tell, the pipe's beginning is evaluated over plain values, an Arrow batch of seeds at a time."""
         call, first = node.source, node.ops[0]
-        if first.name != "take":
-            raise ScriptError("iterate ends with take n here.", node.span)
-        n = self.count_of(first, scope, ctx)
         seed = structured(self.value(call.args[0], scope, ctx))
 
         def after(e: Column) -> Value:
             out = structured(self.scalar(self.apply(call.args[1], scope, Context(None), unstructured(Value(e, seed.type)))))
             return Value(out.col.cast(seed.type) if out.type != seed.type else out.col, seed.type)
 
-        start = F.array(seed.col).cast(T.ArrayType(seed.type))
-        x: Any = Value(F.array().cast(T.ArrayType(seed.type)), T.ArrayType(seed.type))
-        if n > 0:
-            x = Value(F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda a, k: F.when(k == 1, a).otherwise(F.concat(a, F.array(after(F.element_at(a, -1)).col)))), T.ArrayType(seed.type))
+        kind = T.ArrayType(seed.type)
+        if first.name == "take":
+            n = self.count_of(first, scope, ctx)
+            start = F.array(seed.col).cast(kind)
+            x: Any = Value(F.array().cast(kind), kind)
+            if n > 0:
+                x = Value(F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda a, k: F.when(k == 1, a).otherwise(F.concat(a, F.array(after(F.element_at(a, -1)).col)))), kind)
+        elif first.name.lower() in ("takewhile", "first") and first.args:
+            others = set().union(*map(t.free, [call.args[1], *first.args])) - {"$"}
+            if others:
+                raise ScriptError(f"Behind iterate, {first.name} may use its item only, not '{min(others)}'.", node.span)
+            out = kind if first.name.lower() == "takewhile" else seed.type
+            x = Value(_evaluated(replace(node, source=replace(call, args=[t.Name("seed"), call.args[1]]), ops=[first]), seed, out), out)
+        else:
+            raise ScriptError("iterate goes on with take, takeWhile or first here.", node.span)
         for op in node.ops[1:]:
             x = self.step(x, op, scope, ctx)
         return x

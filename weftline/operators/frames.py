@@ -16,6 +16,10 @@ from weftline.plans.context import BOOL, DOUBLE, LONG, TEXT, Context, Scope, arr
 from weftline.plans.typed import HIDDEN, Frame, GroupRow, Groups, Row, Single, Value, common, fresh, is_number, is_whole, numeric, quoted, structured, text, truth, unstructured
 
 
+#: Ranges that the span of a numeric sort key is cut into.
+RANGES = 4096
+
+
 class FrameOperators:
     """Part of the lowering: steps of a pipe whose items are rows."""
 
@@ -157,19 +161,41 @@ class FrameOperators:
         return Frame(marked.filter(at.isNull() | before).drop(ok), frame.fields, frame.order, c.natural, frame.value_type, frame.sorted)
 
     def numbered(self, frame: Frame) -> tuple[DataFrame, str]:
-        """A column of places from 0. In read order, each input partition counts its own rows and the sizes of those before it are
-        added; after a sort, one window numbers all rows, which only takes the numbers and the keys if nothing else is used."""
+        """A column of places from 0. Parts of the rows that lie behind one another each count their own, and the sizes of those
+        before are added: input partitions in read order, after a sort ranges of its first key."""
         name, frame = fresh("n"), frame.with_order()
-        if not frame.natural or len(frame.order) > 1:
-            return frame.df.withColumn(name, F.row_number().over(W.orderBy(*frame.sorting())) - 1), name
         part, before = fresh("p"), fresh("b")
-        order = quoted(frame.order[0][0])
-        rows = frame.df.withColumn(part, F.shiftright(order, 33))
+        if frame.natural and len(frame.order) == 1:
+            rows = frame.df.withColumn(part, F.shiftright(quoted(frame.order[0][0]), 33))
+        else:
+            at = self.stretch(frame)
+            if at is None:
+                return frame.df.withColumn(name, F.row_number().over(W.orderBy(*frame.sorting())) - 1), name
+            rows = frame.df.withColumn(part, at)
         sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+        # A row for each part.
         ends = sizes.select(quoted(part), (F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias(before))
-        local = F.row_number().over(W.partitionBy(part).orderBy(order)) - 1
+        local = F.row_number().over(W.partitionBy(part).orderBy(*frame.sorting())) - 1
         return rows.withColumn(name, local).join(ends, part).withColumn(name, quoted(name) + quoted(before)).drop(part, before), name
 
+    def stretch(self, frame: Frame) -> Column | None:
+        """A number for ranges of the first sort key, in the order of the sort, if the key's type has one: of the span of numbers and times, of the first bytes of texts."""
+        first, down = frame.order[0]
+        kind, key = frame.df.schema[first].dataType, quoted(first)
+        if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+            if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+                key = key.cast("timestamp")
+            key = key.cast("double")
+            span = frame.df.agg(F.struct(F.min(F.when(~F.isnan(key), key)).alias("a"), F.max(F.when(~F.isnan(key), key)).alias("b")).alias("s")).scalar()
+            share = (key - span["a"]) / F.greatest(span["b"] - span["a"], F.lit(1e-300))
+            at = F.when(F.isnan(key), F.lit(RANGES + 1)).otherwise(F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * RANGES))
+        elif isinstance(kind, T.StringType):
+            at = F.conv(F.rpad(F.hex(F.substring(F.encode(key, "utf-8"), 1, 2)), 4, "0"), 16, 10)
+        else:
+            return None
+        at = F.coalesce(at.cast("long"), F.lit(-1))
+        return -at if down else at
+
     def op_index(self, x: Frame | Groups, op: t.Op, scope: Scope, ctx: Context) -> Frame:
         frame = self.frame(x)
         df, name = self.numbered(frame)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,11 +99,33 @@ class GroupOperators:
             v = structured(x.item)
             order = F.struct(*[quoted(n) for n, _ in g.frame.order])
             return unstructured(Value(g.ask((F.min_by if name == "first" else F.max_by)(v.col, only(order))), v.type))
+        if name == "take":
+            return self.topmost(x, self.count_of(op, scope, Context(None, g)))
         if name == "concat":
             parts = self.gathered(GroupItems(g, Value(text(structured(x.item)), TEXT), x.where, x.order))
             return Value(F.array_join(parts.col, self.separator(op, scope, Context(None))), TEXT)
         return self.array_step(self.gathered(x), op, scope, Context(None, g))
 
+    def topmost(self, x: GroupItems, n: int) -> Value:
+        """The first n items of each group as an array. They are ranked before they are collected, so a task keeps n rows of a group."""
+        v, g = structured(x.item), x.groups
+        kind = T.ArrayType(v.type)
+        if n == 0:
+            return Value(F.array().cast(kind), kind)
+        order = [*x.order, *((quoted(name), down) for name, down in g.frame.order)]
+        rank, out = fresh("r"), fresh("a")
+        keys = {k: fresh("k") for k in g.keys}
+        base = g.base if x.where is None else g.base.filter(x.where)
+        by = [c.desc() if down else c.asc() for c, down in order] or [F.lit(0)]
+        first = base.withColumn(rank, F.row_number().over(W.partitionBy(*map(quoted, g.keys)).orderBy(*by))).filter(quoted(rank) <= n)
+        rows = F.array_sort(F.collect_list(F.struct(quoted(rank).alias("r"), v.col.alias("item"))))
+        top = first.groupBy(*[quoted(k).alias(name) for k, name in keys.items()]).agg(F.transform(rows, lambda e: e["item"]).alias(out))
+        on = F.lit(True)
+        for k, name in keys.items():
+            on = on & quoted(k).eqNullSafe(quoted(name))
+        g.after.append(lambda df: df.join(top, on, "left").drop(*keys.values()))
+        return Value(F.coalesce(quoted(out), F.array().cast(kind)), kind)
+
     def gathered(self, x: GroupItems) -> Value:
         """A group's items as an array in order. Rows are collected within structs, so that null items stay."""
         v = structured(x.item)

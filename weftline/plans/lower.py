@@ -263,7 +263,10 @@ class Lowering(FrameOperators, GroupOperators, LookupOperators, ArrayOperators):
             return a.col if a.type.elementType == kind else F.transform(a.col, lambda e: text(Value(e, a.type.elementType)) if kind == TEXT else e.cast(kind))
 
         same = [alike(a) for a in arrays]
-        return Value(F.concat(*same) if len(same) > 1 else same[0], T.ArrayType(kind))
+        out = Value(F.concat(*same) if len(same) > 1 else same[0], T.ArrayType(kind))
+        if not any(s for s, _ in parts) and all(library.is_literal(x) for _, x in parts):
+            out.const = [library.constant(x, "an item") for _, x in parts]
+        return out
 
     def on_template(self, node: t.Template, scope: Scope, ctx: Context) -> Value:
         parts = [structured(self.value(p, scope, ctx)) for p in node.parts]
