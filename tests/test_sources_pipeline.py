@@ -1,5 +1,6 @@
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -7,7 +8,9 @@ import pytest
 from weftline.cli import main
 from weftline.functions import formats
 from weftline.pipeline.config import PipelineError, parse
+from weftline.pipeline.queue import Worker
 from weftline.pipeline.runner import Runner, Secrets, run_tables
+from weftline.pipeline.store import Definitions, Routes, Runs
 from weftline.sources import files, http
 from weftline.streaming.runner import deliver, folder_stream, windowed
 
@@ -165,3 +168,119 @@ def test_cli(tmp_path, capsys):
     assert main(["pipeline", "run", str(tmp_path / "p.yaml"), "--source", f"a={tmp_path}/d.json"]) == 0
     assert json.loads(capsys.readouterr().out) == {"o": [{"x": 1}, {"x": 2}]}
     assert main(["eval", "$.b", "--json", "{}"]) == 1
+
+
+ASYNC = """
+mode: async
+sources:
+  - name: prices
+    map: prices.weft
+  - name: rates
+    map: "{ rate: $.r }"
+  - name: orders
+    depends: [prices, rates]
+    map: "{ orders: $.list[*] | select o => { id: o.id, total: o.n * ($idm.prices[*] | first p => p.sku == o.sku).price * $idm.rate } }"
+outputs:
+  - name: sums
+    map: "{ all: $.orders[*] | select o => o.total | sum }"
+    destinations: [{ fileShare: { path: sums.json } }]
+  - name: ids
+    map: $.orders[*] | select o => o.id
+"""
+SCRIPT = "{ prices: $.rows[*] | select r => { sku: r.sku, price: r.p } }"
+PAYLOADS = {"prices": {"rows": [{"sku": "a", "p": 2}]}, "rates": {"r": 3}, "orders": {"list": [{"id": 1, "sku": "a", "n": 2}]}}
+
+
+def test_definitions_have_revisions(tmp_path):
+    store = Definitions(tmp_path)
+    assert store.ids() == [] and store.save("p", ASYNC, {"prices.weft": SCRIPT}, "first") == 1
+    assert store.save("p", "sources: [{name: a}]") == 2 and [s.name for s in store.pipeline("p").sources] == ["a"]
+    assert store.pipeline("p", 1).sources[0].map == SCRIPT and [(r.revision, r.message) for r in store.revisions("p")] == [(2, ""), (1, "first")]
+    assert store.restore("p", 1) == 3 and store.load("p").scripts == {"prices.weft": SCRIPT}
+    for bad in ("mode: sync", "sources: [{name: a, map: none.weft}]"):
+        with pytest.raises(PipelineError):
+            store.save("p", bad)
+    assert store.ids() == ["p"] and store.load("p").revision == 3
+    store.delete("p")
+    with pytest.raises(PipelineError, match="no pipeline p"):
+        store.load("p")
+    assert store.ids() == [] and store.restore("p", 1) == 5 and store.ids() == ["p"]
+    for bad in ("../p", "", ".x", "a/b"):
+        with pytest.raises(PipelineError, match="can't name"):
+            store.save(bad, "sources: []")
+
+
+def test_routes(tmp_path):
+    routes = Routes(tmp_path / "routes.json")
+    routes.add("post", "/orders/{id}", "one")
+    routes.add("POST", "orders/new", "two")
+    assert routes.find("POST", "orders/7") == ("one", {"id": "7"}) and routes.find("post", "/orders/new/") == ("two", {})
+    assert routes.find("GET", "orders/7") is None and routes.find("POST", "orders") is None
+    routes.remove("one")
+    assert routes.find("POST", "orders/7") is None
+
+
+def test_runs_are_forgotten(tmp_path):
+    runs = Runs(tmp_path, lifetime=0.2)
+    runs.put("a", {"x": 1})
+    assert runs.get("a") == {"x": 1} and runs.ids() == ["a"] and runs.purge() == 0
+    time.sleep(0.25)
+    assert runs.get("a") is None and runs.ids() == [] and runs.purge() == 1 and runs.purge() == 0
+
+
+def worker(tmp_path, **more):
+    store = Definitions(tmp_path / "defs")
+    store.save("p", ASYNC, {"prices.weft": SCRIPT})
+    return Worker(tmp_path / "work", store, out_folder=str(tmp_path / "out"), **more)
+
+
+def test_queued_steps(tmp_path):
+    one = worker(tmp_path)
+    run = one.start("p", PAYLOADS)
+    one.definitions.save("p", "sources: []")  # a run keeps its revision
+    assert one.work(1) == 1 and one.status(run)["status"] == "running" and one.status(run)["steps"]["source orders"] == "pending"
+    two = Worker(tmp_path / "work", one.definitions, out_folder=str(tmp_path / "out"))
+    two.work()
+    told = two.status(run)
+    assert told["status"] == "completed" and set(told["steps"].values()) == {"completed"} and told["errors"] == []
+    assert json.loads((tmp_path / "out/sums.json").read_text()) == {"all": 12} and two.runs.get(run, "output ids")["value"] == [1]
+    assert one.status("none")["status"] == "unknown"
+
+
+def test_a_message_that_comes_again_changes_nothing(tmp_path):
+    w = worker(tmp_path)
+    run = w.start("p", PAYLOADS)
+    for step in ("source prices", "source prices", "source rates", "source prices"):
+        w.handle(run, step)
+    w.work()
+    tries = {s: w.runs.get(run, s)["tries"] for s in w.status(run)["steps"]}
+    assert w.status(run)["status"] == "completed" and set(tries.values()) == {1}
+
+
+def test_a_lost_worker_s_message_returns(tmp_path):
+    w = worker(tmp_path, lease=0.1)
+    run = w.start("p", PAYLOADS)
+    assert w.queue.take() and w.queue.take() and w.queue.take() is None
+    time.sleep(0.15)
+    w.work()
+    assert w.status(run)["status"] == "completed"
+
+
+def test_a_step_that_fails_is_tried_again(tmp_path):
+    w = worker(tmp_path, attempts=2)
+    run = w.start("p", {**PAYLOADS, "orders": {"list": [{"id": 1, "sku": "none", "n": 2}], "odd": 1}, "rates": {}})
+    w.work()
+    told = w.status(run)
+    assert told["status"] == "failed" and told["steps"]["source rates"] == "failed" and w.runs.get(run, "source rates")["tries"] == 2 and told["errors"]
+
+
+def test_workers_share_a_queue(tmp_path):
+    w = worker(tmp_path)
+    runs = [w.start("p", PAYLOADS) for _ in range(12)]
+    workers = [threading.Thread(target=lambda: [Worker(tmp_path / "work", w.definitions, out_folder=str(tmp_path / "out")).work() for _ in range(3)]) for _ in range(4)]
+    for t in workers:
+        t.start()
+    for t in workers:
+        t.join()
+    w.work()
+    assert {w.status(r)["status"] for r in runs} == {"completed"}
