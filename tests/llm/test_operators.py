@@ -3,15 +3,17 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import blocks, contexts, copies, decontaminate, exact, html, packing, simhash, suffixes, tokenfile, toxicity, warc
+from weftline.llm import blocks, components, contexts, copies, decontaminate, exact, html, packing, simhash, suffixes, tokenfile, toxicity, warc
 from weftline.llm.tokens import Encoder, default_path
 
 EMPTY = ([], "doc_id long, text string")
@@ -98,6 +100,20 @@ def test_simhash(table, corpus, monkeypatch, tile):
     assert len(set(label)) < len({t for _, t in corpus})
 
 
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = random.Random(14)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2000 + k) for k in range(1, 1500)] + [(5, 5), (7, 7)]
+    label = {x: x for ab in links for x in ab if ab[0] != ab[1]}
+    for _ in range(60):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == label and len(got) == len(label)
+
+
 def test_simhash_keeps_one_of_each_group(table, corpus):
     rng = random.Random(5)
     base = prose(rng, 400).split(" ")
@@ -156,6 +172,39 @@ def test_full_anchors_lose_no_link(table, monkeypatch, tile, few):
     assert {(r.doc_id, r.component_id) for r in simhash.alike(table(rows)).collect()} == {(k, 0) for k in range(240)} | {(1000, 1000)}
 
 
+@pytest.mark.parametrize(("tried", "spread"), [(8, 2000), (1, 7)])
+def test_groups_about_the_similarity_are_those_of_all_pairs(table, monkeypatch, tried, spread):
+    """Edited copies of one text without that text itself: some pairs reach the similarity, most don't, and chains decide."""
+    monkeypatch.setattr(simhash, "TRIED", tried)
+    monkeypatch.setattr(simhash, "SPREAD", spread)
+    rng = random.Random(19)
+    rows = []
+    for group in range(3):
+        base = [f"{rng.choice('bcdfghklmn')}{rng.randint(0, 9000)}" for _ in range(300)]
+        for k in range(60):
+            ws = list(base)
+            for at in rng.sample(range(300), rng.randint(2, 11)):
+                ws[at] = f"edit{rng.random()}"
+            rows.append((group * 100 + k, " ".join(ws)))
+    sets = [simhash.shingles(t.encode(), 5) for _, t in rows]
+    label = list(range(len(rows)))
+    sure, total = [], 0
+    for i in range(len(rows)):
+        for j in range(i):
+            s = simhash.similar(sets[i], sets[j])
+            total += 0.6 < s < 0.8
+            if s >= 0.8:
+                sure.append((i, j))
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert total > 1000 and len(sure) > 300
+    got = {r.doc_id: r.component_id for r in simhash.alike(table(rows)).collect()}
+    want = {i: rows[label[k]][0] for k, (i, _) in enumerate(rows)}
+    # No merge beyond all pairs' components; of the links at most one in ten is lost, by the anchors.
+    assert all(want[got[i]] == want[i] for i in got)
+    assert sum(got[rows[i][0]] == got[rows[j][0]] for i, j in sure) >= 0.97 * len(sure)
+
+
 def test_only_similar_texts_go(table):
     """Runs that repeat fill most of a fingerprint: it is equal, or nearly so, for texts that share little else."""
     rng = random.Random(6)
@@ -192,6 +241,90 @@ def test_blocks(table, corpus, limit, monkeypatch):
     assert sum(w[2] for w in want) > 300 and blocks.repeats(table(*EMPTY)).count() == 0
 
 
+def test_words_of_equal_polynomial_hashes_do_not_repeat(table):
+    """A Thue-Morse word of 1,024 letters and its complement share every polynomial hash modulo 2**64; only the same word repeats."""
+    letters = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    other = letters.translate(str.maketrans("ab", "ba"))
+    rows = [(3, " ".join([letters] * 60)), (4, " ".join([other] * 60)), (5, "x " + " ".join([other] * 55)), (6, "y " + " ".join([letters] * 50))]
+    got = {r.doc_id: (r.n, r.r) for r in blocks.repeats(table(rows)).withColumn("r", copies.removed()).collect()}
+    assert got == {3: (60, 0), 4: (60, 0), 5: (56, 55), 6: (51, 50)}
+
+
+def test_a_line_in_thousands_of_contexts(table, monkeypatch):
+    """Anchors of more classes than one task takes are halved, again and again; what repeats beyond the line is found, in bytes and in words."""
+    monkeypatch.setattr(contexts, "LIMIT", 200)
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    line = " ".join(word() for _ in range(30))
+    rows = [(k, f"{' '.join(word() for _ in range(25))} {line} {' '.join(word() for _ in range(25))}") for k in range(1500)]
+    rows += [(10_000 + k, rows[k][1].replace(" ", "  ", 1)) for k in range(3)]
+    rows.append((20_000, rows[9][1][:230] + " end"))
+    seen = Counter(hash(t[k : k + 200]) for _, t in rows for k in range(len(t) - 199))
+    got = {r.doc_id: list(r.spans) for r in suffixes.repeats(table(rows)).collect()}
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if seen[hash(t[k : k + 200])] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        assert got[i] == [k for k in range(len(t) + 1) if (gone[k] if k < len(t) else 0) != (gone[k - 1] if k else 0)]
+    assert len(line) > 200 and all(got.values())
+    found = {r.doc_id: r.r for r in blocks.repeats(table(rows)).withColumn("r", copies.removed()).collect()}
+    assert all(found[k] == 0 for k in range(1500)) and all(found[10_000 + k] == 80 for k in range(3)) and found[20_000] == 0
+
+
+def local(a, b):
+    """The best local alignment: two for a match, one off for another word or a gap."""
+    best, above = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, row[j] - 1))
+        best, above = max(best, *row), row
+    return best
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_leaks_are_those_of_all_alignments(spark, table, monkeypatch, sent):
+    """Every document against every item, by whole alignment; an item counts where three words of it stand together."""
+    monkeypatch.setattr(decontaminate, "SENT", sent)
+    rng = random.Random(29)
+    word = lambda: f"{rng.choice('bcdfg')}{rng.randint(0, 300)}"
+    items = [(k, [word() for _ in range(rng.randint(3, 40))]) for k in range(12)]
+    rows = []
+    for k in range(90):
+        ws = [word() for _ in range(rng.randint(0, 120))]
+        for _ in range(rng.randint(0, 2)):
+            rate, copy = rng.uniform(0, 0.5), []
+            for w in rng.choice(items)[1]:
+                x = rng.random()
+                copy += [w] if x > rate else [] if x < rate / 3 else [word()] if x < rate * 2 / 3 else [w, word()]
+            at = rng.randint(0, len(ws))
+            ws[at:at] = copy
+        rows.append((k, ws))
+    want = {}
+    for i, d in rows:
+        runs = {tuple(d[k : k + 3]) for k in range(len(d) - 2)}
+        for j, q in items:
+            if any(tuple(q[k : k + 3]) in runs for k in range(len(q) - 2)) and local(q, d) >= len(q):
+                want[i, j] = local(q, d) / (2 * len(q))
+    got = decontaminate.leaks(table([(i, " ".join(d)) for i, d in rows]), spark.createDataFrame([(j, " ".join(q)) for j, q in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 20
+
+
+def test_a_long_item_takes_memory_as_its_words(spark, table):
+    rng = random.Random(31)
+    item = [f"w{rng.randint(0, 5000)}" for _ in range(20_000)]
+    edited = [w if rng.random() > 0.05 else "other" for w in item]
+    rows = [(k, " ".join(f"v{rng.randint(0, 5000)}" for _ in range(50))) for k in range(20)] + [(50, "before " + " ".join(edited[:12_000]) + " behind")]
+    tracemalloc.start()
+    words = next(decontaminate._words(iter([pa.RecordBatch.from_pydict({"item": [1], "text": [" ".join(item).encode()]})])))
+    batch = pa.RecordBatch.from_arrays([words.column(0), pa.array([5]), words.column(1)], names=["item", "key", "words"])
+    assert sum(b.nbytes for b in decontaminate._grams(3)(iter([batch]))) < 2_000_000 and tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    got = decontaminate.leaks(table(rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(50, 1)] and 0.5 < got[0].score < 0.6
+
+
 @pytest.mark.parametrize(("length", "limit"), [(200, 20_000), (64, 20_000), (200, 2)])
 def test_suffixes(table, corpus, length, limit, monkeypatch):
     monkeypatch.setattr(contexts, "SORTED", 3000)
@@ -259,7 +392,7 @@ def test_packer_holds_all_limits():
         mask = np.array([rng.random() < 0.3 for _ in range(n)])
         sizes[key] = mask
         out += packer.add(key, n, mask)
-    out += packer.close({})
+    out += packer.close()
     seen = Counter()
     for s in out:
         assert s.used <= 64 and len(s.pieces) <= 5 and s.bears <= 20 and s.used == sum(p.length for p in s.pieces)
@@ -275,6 +408,19 @@ def test_conversations(spark, encoder):
     got = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     total = sum(len(encoder.encode(t or "", add_special_tokens=False).ids) + 1 for *_, t in rows)
     assert sum(r.length for r in got) == total and {r.doc_id for r in got} == {1, 2, 3}
+    assert packing.pack_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_all_three_limits_of_documents_bind(table, encoder):
+    """Many one-word texts meet the limit of pieces, a text of many sequences that of loss-bearing tokens; padding stays little."""
+    rng = random.Random(9)
+    rows = [(k, rng.choice(["a", "b", "c"])) for k in range(3000)] + [(5000, prose(rng, 8000))]
+    got = packing.pack(table(rows).coalesce(1), limits=packing.Limits(tokens=64, segments=16, loss=63)).collect()
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append(r)
+    bears = {k: sum(r.length - (r.start == 0) for r in rs) for k, rs in seqs.items()}
+    assert max(map(len, seqs.values())) == 16 and max(bears.values()) == 63 and all(sum(r.length for r in rs) <= 64 for rs in seqs.values())
 
 
 def test_token_files(spark, table, corpus, encoder, monkeypatch, tmp_path):
@@ -353,6 +499,24 @@ def test_leaks_beside_exact_copies(spark, table):
     assert {(r.doc_id, r.item_id) for r in got} == {(k + d, k) for k in range(4) for d in (0, 10)} | {(1000 + k, 0) for k in range(2000)}
 
 
+def test_rare_words_mark_too_and_all_documents_give_segments(spark, table, monkeypatch):
+    """A hundred offending words, each in a few toxic documents; the bound on segments leaves no feature without any."""
+    monkeypatch.setattr(toxicity, "SEGMENTS", 20)
+    rng = random.Random(33)
+    bad = [f"{a}{b}vile{c}" for a in "bcdf" for b in "aeiou" for c in "klmnp"]
+    rows, labels = [], []
+    for k in range(2500):
+        ws = [f"w{rng.randint(0, 150)}" for _ in range(rng.randint(5, 60))]
+        if k % 5 == 0:
+            ws[rng.randrange(len(ws))] = bad[k // 5 % len(bad)]
+        rows.append((k, " ".join(ws)))
+        labels.append((k, int(k % 5 == 0)))
+    model = toxicity.fit(table(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score(table(rows), model).withColumn("held", toxicity.held_out()).filter("held").collect()
+    hits = [r.predicted for r in got if r.doc_id % 5 == 0]
+    assert sum(hits) >= 0.9 * len(hits) and not any(r.predicted for r in got if r.doc_id % 5)
+
+
 def test_toxicity(spark, table):
     rng = random.Random(3)
     rows, labels = [], []

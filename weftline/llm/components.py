@@ -1,4 +1,7 @@
-"""Connected components by alternating large and small stars, each round written to the shared folder."""
+"""Connected components by alternating large and small stars, each round written to the shared folder.
+
+Links that are few enough for one task, by their number, are settled there.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.base import cut, joined
+from weftline.llm.base import cut, joined, trimmed
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +57,27 @@ def _stars(held: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+#: Links that one task settles, 8 MB.
+ONE_TASK = 500_000
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns], 1) for batch in batches]
+    if held:
+        nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[labels(len(nodes), at[:, 0], at[:, 1])])], names=["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Links: longs a and b. For each node of a link: node and root, the smallest node it reaches.
 
     A round keeps a set of links; when two rounds have the same, it is a star for each component. A node of very many links is
     joined by broadcast.
     """
-    links = cut(links.filter("a != b").mapInArrow(_local, "a long, b long").distinct())
+    links = cut(links.filter("a != b").mapInArrow(trimmed(_local), "a long, b long").distinct())
+    if links.count() <= ONE_TASK:
+        return cut(links.coalesce(1).mapInArrow(trimmed(_settled), "node long, root long"))
     while True:
         before = links
         both = links.union(links.select("b", "a"))

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom, copies
@@ -239,6 +239,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> float:
 WIDTH, MEET, APART = 8, 0.96, 30
 #: Rows at one anchor from which it is dealt out as tiles, and up to which its rows are all compared at once; blocks that leaders are sought at.
 WIDE_TILE, FEW, FIRST = 16_384, 64, 10
+#: Texts of a group that all others of it are held against; texts that are held against one in a task, about.
+TRIED, SPREAD = 8, 2000
 
 
 def wide(text: bytes, words: int = 5) -> np.ndarray:
@@ -313,14 +315,16 @@ def _leaders(apart: int):
 
 
 def _across(rows: list[np.ndarray], starts: np.ndarray, apart: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, tile, home, node, fp0, fp1, label): all pairs of nodes with different labels within `apart`."""
+    """Rows (anchor, tile, home, node, fp0, fp1, label): all pairs of nodes with different labels within `apart`, and their labels."""
     home, node, fps, label = rows[2].astype(bool), rows[3], _matrix(rows[4:6]), rows[6]
 
     def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
         near = (label[i] != label[j]) & (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= apart)
         if near.any():
-            found = np.unique(np.sort(np.stack([node[i[near]], node[j[near]]], 1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
+            i, j = i[near], j[near]
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            once = np.unique(np.stack([node[i], node[j]], 1), axis=0, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i[once]], node[j[once]], label[i[once]], label[j[once]])], names=["a", "b", "la", "lb"])
 
     ends = np.append(starts[1:], len(node))
     size = ends - starts
@@ -343,40 +347,68 @@ def _across(rows: list[np.ndarray], starts: np.ndarray, apart: int) -> Iterator[
 
 
 def _alike(words: int, least: float):
-    """Rows a, b, left, right (texts): the pairs whose shingle sets reach the similarity."""
+    """Rows node, text, others (of node and text): the pairs whose shingle sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 200):
+        for batch in batches:
             known: dict[int, np.ndarray] = {}
             keep = []
-            for a, b, s, t in zip(*(x.to_pylist() for x in batch.columns)):
-                for k, text in ((a, s), (b, t)):
-                    if k not in known:
-                        known[k] = shingles(text, words)
-                if similar(known[a], known[b]) >= least:
-                    keep.append((a, b))
+            for k, (node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                mine = None
+                for other in batch.column(2)[k]:
+                    its = other["node"].as_py()
+                    if its == node:
+                        continue
+                    if its not in known:
+                        known[its] = shingles(other["text"].as_py(), words)
+                    if mine is None:
+                        mine = shingles(text.as_py(), words)
+                    if similar(mine, known[its]) >= least:
+                        keep.append((its, node))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keep], pa.int64()), pa.array([b for _, b in keep], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Of the pairs a, b of nodes, those whose texts reach the similarity; only texts that are asked for move."""
-    pairs = cut(pairs)
-    asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
-    asked_for = copies.member(rows.sparkSession, bloom.build(asked.select("node"), asked.count()))
-    texts = cut(rows.filter(asked_for("node")).select("node", "text").dropDuplicates(["node"]).join(asked, "node").select("node", "text", "n"))
-    of = lambda key, text: texts.select(F.col("node").alias(key), F.col("text").alias(text), "n")
-    both = joined(joined(pairs, of("a", "left"), "a"), of("b", "right"), "b")
-    return cut(both.select("a", "b", "left", "right").mapInArrow(trimmed(_alike(words, least)), "a long, b long"))
+def _texts(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and text of the nodes asked for, once each; only texts that a filter lets through move."""
+    has = copies.member(rows.sparkSession, bloom.build(asked, asked.count()))
+    return rows.filter(has("node")).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _pairs(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Of the pairs a, b of nodes, those whose texts reach the similarity."""
+    pairs = cut(pairs.select("a", "b"))
+    texts = cut(_texts(cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), rows))
+    side = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    # A text of very many pairs goes to its partners; those of another one come together where it is.
+    left = texts.select(F.col("node").alias("a"), F.struct("node", "text").alias("one")).join(side, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / SPREAD).cast("int")))).drop("n")
+    right = joined(pairs, side.withColumn("side", F.floor(F.col("n") / SPREAD).cast("int") + 1), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("side")).cast("int").alias("salt"))
+    right = right.join(texts.select(F.col("node").alias("b"), "text"), "b")
+    both = right.join(left, ["a", "salt"]).select(F.col("b").alias("node"), "text", F.array("one").alias("others"))
+    return cut(both.mapInArrow(trimmed(_alike(words, least)), "a long, b long"))
+
+
+def _led(close: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """close: node and root. Of the pairs of a group's nodes and TRIED of them, those whose texts reach the similarity."""
+    sizes = cut(close.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sized = joined(close, sizes.withColumn("side", F.floor(F.col("n") / SPREAD).cast("int") + 1), "root")
+    sized = cut(sized.select("node", "root", "side", F.pmod(F.xxhash64("node"), F.col("side")).cast("int").alias("salt")))
+    told = cut(_texts(sized.select("node"), rows).join(sized, "node"))
+    tried = told.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1)), "node"))).filter(F.col("rank") <= TRIED)
+    tried = tried.groupBy("root", "side").agg(F.collect_list(F.struct("node", "text")).alias("others"))
+    tried = tried.select("root", "others", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("salt"))
+    both = told.join(tried, ["root", "salt"]).select("node", "text", "others")
+    return cut(both.mapInArrow(trimmed(_alike(words, least)), "a long, b long"))
 
 
 def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id, of links between texts whose sets of runs of words have a Jaccard similarity of `least`.
 
-    At the anchors of the first blocks, rows within two thirds of APART go to a leader, and what leaders connect is held against
-    one text of it; then all pairs at any anchor within APART that these links leave apart are verified. So large groups of copies
-    make few pairs.
+    At the anchors of the first blocks, rows within two thirds of APART go to a leader; of what leaders connect, every text is
+    held against TRIED of its group. Then all pairs at any anchor within APART that these links leave apart are verified: of those
+    between two components so far some at first, then more of those that are still apart, until none is left. So large groups
+    make few pairs, and no pair is left out.
     """
     columns = [f"fp{j}" for j in range(WIDTH)]
     rows = picked(docs).withColumn("node", F.xxhash64("text"))
@@ -393,17 +425,26 @@ def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         names = ["node", "fp0", "fp1", *more]
         return table.mapInArrow(trimmed(_near(blocks, names)), ", ".join(["anchor long", *(f"{n} long" for n in names)])).withColumn("home", F.lit(True)).select("anchor", "home", *names)
 
-    led = _salted(dealt(distinct, blocks[:FIRST], [])).mapInArrow(trimmed(_compare(0, _leaders(APART * 2 // 3))), "a long, b long")
-    close = components(led)
-    close = cut(distinct.join(close, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    first = _verified(close.filter("root != node").select(F.col("root").alias("a"), F.col("node").alias("b")), rows, words, least)
-    labelled = cut(distinct.join(first.select(F.col("b").alias("node"), "a"), "node", "left").select(*columns, "node", F.coalesce("a", "node").alias("label")))
-    met = _tiled(dealt(labelled, blocks, ["label"]), WIDE_TILE).mapInArrow(trimmed(_compare(APART, _across)), "a long, b long")
-    second = _verified(met.distinct(), rows, words, least)
-    found = components(first.union(second))
-    roots = found.join(distinct, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.join(roots, "root").select("node", "component_id")
-    return ids.select("doc_id", "node").join(distinct.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "node").select("doc_id", "component_id")
+    close = components(_salted(dealt(distinct, blocks[:FIRST], [])).mapInArrow(trimmed(_compare(0, _leaders(APART * 2 // 3))), "a long, b long"))
+    links = _led(close, rows, words, least)
+    found = components(links)
+    labelled = cut(distinct.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    left = cut(_tiled(dealt(labelled, blocks, ["label"]), WIDE_TILE).mapInArrow(trimmed(_compare(APART, _across)), "a long, b long, la long, lb long").distinct())
+    tries = TRIED
+    while not left.isEmpty():
+        between = Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.xxhash64("a", "b"), "a", "b")
+        some = cut(left.withColumn("rank", F.row_number().over(between)).filter(F.col("rank") <= tries).select("a", "b"))
+        left, new = left.join(some, ["a", "b"], "left_anti"), _pairs(some, rows, words, least)
+        if not new.isEmpty():
+            links = links.union(new)
+            found = components(links)
+            label = lambda key, name: found.select(F.col("node").alias(key), F.col("root").alias(name))  # noqa: B023, E731
+            left = left.select("a", "b").join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left")
+            left = left.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la != lb")
+        left, tries = cut(left), 8 * tries
+    roots = found.join(distinct.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    named_ids = found.join(roots, "root").select("node", "component_id")
+    return ids.select("doc_id", "node").join(distinct.select("node", "least").join(named_ids, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "node").select("doc_id", "component_id")
 
 
 def _stacked(fps: list[np.ndarray]) -> np.ndarray:
