@@ -22,12 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens as tok
-from weftline.llm.base import scratch
+from weftline.llm.base import scratch, trimmed
 
 HEAD = struct.Struct("<4sIQ32sQQ")
 MAGIC, TAIL, NO_ID = b"WFTK", "TKE\n", -(1 << 63)
-#: Ids of a file before the next one begins; documents and bytes that a dictionary is trained on.
-FILE_IDS, SAMPLE, DICTIONARY = 8_000_000, 512, 65_536
+#: Ids of a file before the next one begins; documents that a dictionary is trained on, and its bytes; bytes of text in a range of ids.
+FILE_IDS, SAMPLE, DICTIONARY, RANGE = 8_000_000, 512, 65_536, 16 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -109,9 +109,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
     def file(number: int, held: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([encode(sent.value, number, *held, narrow)], pa.binary())], names=["content"])
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # As many ranges as the texts' bytes ask for, so that none grows with the table.
+    ranges = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE + 1
+    ordered = docs.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     # A row is a file's bytes but for its last four, which are the text writer's line end.
-    ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", TAIL).text(f"{folder}/ids")
+    ordered.mapInArrow(trimmed(run), "content binary").select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", TAIL).text(f"{folder}/ids")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,10 +130,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 before = np.cumsum([0, *r.counts.tolist()])
                 yield pa.RecordBatch.from_arrays([pa.array([r.number] * len(r.doc_ids), pa.int64()), pa.array(r.doc_ids, pa.int64()), pa.array(before[:-1], pa.int64()), pa.array(r.counts.astype(np.int64)), pa.array([zlib.crc32(r.ids(k).tobytes()) for k in range(len(r.doc_ids))], pa.int64())], names=["file", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Reader(content.as_py(), sent.value) for content in batch.column(0) if content.as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array([r.number for r in found], pa.int64()), pa.array([int(r.counts.sum()) for r in found], pa.int64())], names=["file", "n"])
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/ids").select("content")
-    rows = files.mapInArrow(run, "file long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    # One row for each file: their running sum.
-    ends = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    rows = files.mapInArrow(trimmed(run), "file long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    # One row for each file, of its index alone: their running sum is one task's.
+    ends = files.mapInArrow(trimmed(total), "file long, n long")
     before = ends.select("file", (F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
