@@ -13,6 +13,7 @@ steps as it has marking tokens.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,10 @@ from weftline.llm.base import claim, raw, sliced, trimmed
 
 #: Labelled documents that a model is fitted on at most, those of the smallest hashes of their ids.
 SAMPLE = 3000
-#: Share of the toxic documents that hold a marking feature; how much more often its documents are toxic; chance features allowed.
-SUPPORT, LIFT, CHANCE = 0.04, 3.0, 0.01
+#: Toxic documents that hold a marking feature at least; how much more often its documents are toxic; chance features allowed.
+SUPPORT, LIFT, CHANCE = 3, 3.0, 0.01
+#: Segments with a marking token that the chain is trained on, those of the smallest hashes, and some of each feature beyond them.
+SEGMENTS, EACH = 8000, 5
 PREFIXES, SEGMENT = (4, 5, 6), 48
 _STRIP = b".,;:!?\"'()[]{}<>|/\\-_*#$%&+=~`"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -140,10 +143,10 @@ def aggregates(p: list[float], n: int) -> np.ndarray:
 
 def marking(texts: list[bytes], toxic: np.ndarray) -> set[str]:
     """Features that mark toxic tokens. Only features with support among the toxic documents are counted in the others."""
-    n, share = int(toxic.sum()), float(toxic.mean()) if len(toxic) else 0.0
+    share = float(toxic.mean()) if len(toxic) else 0.0
     held = lambda t: {f for w in set(t.split()) for f in features(w)}
     pos = Counter(f for t, y in zip(texts, toxic) if y for f in held(t))
-    pos = {f: k for f, k in pos.items() if k >= max(3, SUPPORT * n)}
+    pos = {f: k for f, k in pos.items() if k >= SUPPORT}
     neg = Counter(f for t, y in zip(texts, toxic) if not y for f in held(t) if f in pos)
     total = (1 + len(PREFIXES)) * len({w for t in texts for w in set(t.split())})  # features at most
 
@@ -162,10 +165,10 @@ def train(texts: list[bytes], toxic: list[int], rounds: int = 60) -> Model:
     names = sorted(marks)
     index = {f: k for k, f in enumerate(names)}
     # Segments with a marking token, and as many without; a token of a toxic document that has a mark is toxic.
-    found: list[tuple[list[list[int]], list[int]]] = []
-    spare = []
+    found: list[tuple[int, list[list[int]], list[int]]] = []
+    spare: list[tuple[int, list[list[int]], list[int]]] = []
     own: dict[bytes, list[int]] = {}
-    for text, t in zip(texts, y):
+    for d, (text, t) in enumerate(zip(texts, y)):
         ws = text.split()
         for w in set(ws):
             if w not in own:
@@ -173,11 +176,15 @@ def train(texts: list[bytes], toxic: list[int], rounds: int = 60) -> Model:
         own = {w: fs for w, fs in own.items() if fs} if len(own) > 100_000 else own
         for k in range(0, len(ws), SEGMENT):
             fs = [own.get(w, []) for w in ws[k : k + SEGMENT]]
-            if any(fs):
-                found.append((fs, [int(bool(x) and bool(t)) for x in fs]))
-            elif len(spare) < 4000:
-                spare.append((fs, [0] * len(fs)))
-    segments = found[:8000] + spare[: max(50, len(found[:8000]))]
+            (found if any(fs) else spare).append((zlib.crc32(f"{d} {k}".encode()), fs, [int(bool(x) and bool(t)) for x in fs]))
+    held: Counter[int] = Counter()
+    segments = []
+    for k, (_, fs, truth) in enumerate(sorted(found, key=lambda x: x[0])):
+        some = {f for x in fs for f in x}
+        if k < SEGMENTS or any(held[f] < EACH for f in some):
+            held.update(some)
+            segments.append((fs, truth))
+    segments += [(fs, truth) for _, fs, truth in sorted(spare, key=lambda x: x[0])[: max(50, len(segments))]]
     emit, other, trans = _fit(segments, len(names), rounds)
     model = Model(dict(zip(names, emit.tolist())), other, trans, np.zeros(4))
     scorer = model.prepare()
@@ -261,12 +268,13 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most `sample` labelled rows that are not held out. Rows without id or label are left out; of an id's labels the largest counts."""
+    """A model of at most `sample` labelled rows that are not held out. Rows without id or label are left out; of an id's labels the largest counts, of its texts that of the smallest hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out())
     some = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw(F.col("text")).alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()  # of `sample` ids
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.text)))
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"), F.max("toxic").alias("toxic"))
+    rows = one.select("doc_id", "one.text", "toxic").collect()  # at most `sample`
+    rows.sort(key=lambda r: r.doc_id)
     return train([bytes(r.text) for r in rows], [r.toxic for r in rows])
 
 
