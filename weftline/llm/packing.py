@@ -4,6 +4,9 @@ A sequence holds at most `tokens` tokens, `segments` pieces and `loss` loss-bear
 it takes of the three, as shares of the limits; it goes to the open sequence whose remaining room has the largest dot
 product with it, among those where it fits. Where none has room and `open` sequences are, the piece is cut so that the
 fullest one closes without padding. Each task packs its own rows, in order, and holds only the open sequences: nothing moves.
+
+Of a document, all tokens bear loss but the first, which nothing in it precedes. With a limit of one less than the tokens, a
+full sequence has room for a document's beginning, and the three limits weigh against each other.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from weftline.llm.base import arrow_types, to_batch, trimmed
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 1024
-    segments: int = 256
-    loss: int = 1024
+    segments: int = 64
+    loss: int = 1023
     open: int = 32
 
 
@@ -38,6 +41,7 @@ class Piece:
     length: int
     bears: int
     offset: int = 0
+    before: np.ndarray | None = field(default=None, repr=False, compare=False)
 
 
 @dataclass
@@ -85,16 +89,16 @@ class Packer:
             fits = (room >= need).all(1)
             if fits.any():
                 scale = np.array([limits.tokens, limits.segments, limits.loss], np.float64)
-                return n, b, self._put(int(np.argmax(np.where(fits, (room / scale) @ (need / scale), -1))), Piece(key, at, n, b))
+                return n, b, self._put(int(np.argmax(np.where(fits, (room / scale) @ (need / scale), -1))), Piece(key, at, n, b, before=before))
         if k < limits.open:
             self.open.append(Sequence())
             self.room[k] = limits.tokens, limits.segments, limits.loss
-            return n, b, self._put(k, Piece(key, at, n, b))
+            return n, b, self._put(k, Piece(key, at, n, b, before=before))
         # All are open and none has room: fill the fullest one to the end.
         full = int(np.argmin(self.room[:, 0]))
         n, b = self._cut(before, at, n, int(self.room[full, 0]), int(self.room[full, 2]))
         if n:
-            return n, b, self._put(full, Piece(key, at, n, b)) or (self._take(full) if self.room[full].min() <= 0 else None)
+            return n, b, self._put(full, Piece(key, at, n, b, before=before)) or (self._take(full) if self.room[full].min() <= 0 else None)
         return 0, 0, self._take(full)
 
     def _put(self, k: int, piece: Piece) -> Sequence | None:
@@ -112,45 +116,31 @@ class Packer:
         self.open.pop()
         return out
 
-    def close(self, masks: dict | None = None) -> Iterator[Sequence]:
+    def close(self) -> Iterator[Sequence]:
         """What is open, packed anew: full sequences, then ones whose lengths are powers of two, which take no padding."""
+        limits = self.limits
         rest = sorted((p for s in self.open for p in s.pieces), key=lambda p: -p.length)
         self.open = []
-        if masks is not None or self.limits.loss < self.limits.tokens:
-            yield from self._as_they_are(rest)
-            return
         left = sum(p.length for p in rest)
         now, aim = Sequence(), 0
         for p in rest:
             at = 0
             while at < p.length:
                 if not now.pieces:
-                    aim = min(self.limits.tokens, 1 << (left.bit_length() - 1))
-                n = min(p.length - at, aim - now.used)
-                now.pieces.append(Piece(p.key, p.start + at, n, n, now.used))
-                now.used += n
-                now.bears += n
-                at += n
-                left -= n
-                if now.used == aim or len(now.pieces) == self.limits.segments:
+                    aim = min(limits.tokens, 1 << (left.bit_length() - 1))
+                n, b = self._cut(p.before, p.start + at, p.length - at, aim - now.used, limits.loss - now.bears)
+                if n:
+                    now.pieces.append(Piece(p.key, p.start + at, n, b, now.used))
+                    now.used += n
+                    now.bears += b
+                    at += n
+                    left -= n
+                if not n or now.used == aim or len(now.pieces) == limits.segments:
                     yield now
                     now = Sequence()
         if now.pieces:
             yield now
 
-    def _as_they_are(self, rest: list[Piece]) -> Iterator[Sequence]:
-        now = Sequence()
-        for p in rest:
-            if now.pieces and (now.used + p.length > self.limits.tokens or now.bears + p.bears > self.limits.loss or len(now.pieces) == self.limits.segments):
-                yield now
-                now = Sequence()
-            p.offset = now.used
-            now.pieces.append(p)
-            now.used += p.length
-            now.bears += p.bears
-        if now.pieces:
-            yield now
-
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -174,8 +164,8 @@ class _Rows:
             alive = {p.key for x in self.packer.open for p in x.pieces}
             self.ids = {k: v for k, v in self.ids.items() if k in alive}
 
-    def close(self, out: dict, masked: bool) -> None:
-        for s in self.packer.close({} if masked else None):
+    def close(self, out: dict) -> None:
+        for s in self.packer.close():
             self._emit(out, s)
 
     def _emit(self, out: dict, s: Sequence) -> None:
@@ -194,7 +184,7 @@ def _new() -> dict[str, list]:
 def pack(docs: DataFrame, path: str | None = None, end: int = 0, limits: Limits = Limits()) -> DataFrame:
     """All documents as pieces of sequences, one row a piece.
 
-    A document is its ids by the tokenizer and the id `end`; every token bears loss. start: its ids before the piece; ids_crc32:
+    A document is its ids by the tokenizer and the id `end`; all but the first bear loss. start: its ids before the piece; ids_crc32:
     of the piece's ids as little-endian 32-bit integers; doc_tokens: its ids in all; sequence_id and offset: where the piece
     stands. A null text is an empty one, which is its end alone. Rows that repeat a doc_id, or have none, are each packed; an
     empty table gives no pieces; other columns are ignored.
@@ -208,10 +198,10 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 0, limits: Limits
                 out = _new()
                 some = batch.slice(k, 500)
                 for doc_id, ids in zip(some.column(0).to_pylist(), tok.encoder(path).ids(some.column(1).to_pylist())):
-                    rows.add(out, doc_id, np.concatenate([ids, last]))
+                    rows.add(out, doc_id, np.concatenate([ids, last]), np.arange(len(ids) + 1) > 0)
                 yield to_batch(out, NAMES, types)
         out = _new()
-        rows.close(out, False)
+        rows.close(out)
         yield to_batch(out, NAMES, types)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(trimmed(run), SCHEMA)
@@ -221,7 +211,8 @@ def pack_conversations(turns: DataFrame, path: str | None = None, end: int = 0,
     """Conversations (conv_id, turn, role, text) as examples whose loss-bearing tokens are those of role assistant.
 
     Columns as pack(), doc_id being the conv_id. A turn's end bears loss as its text does. Null roles bear none, null texts are
-    empty, turns with equal or null numbers stand in the order of role and text.
+    empty, turns with equal or null numbers stand in the order of role and text; those of a null conv_id are one conversation. A
+    conversation is one row in one task. An empty table gives no pieces; other columns are ignored.
     """
     path = path or tok.default_path()
     told = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x")))), lambda x: F.array(x["r"], x["x"])))
@@ -237,7 +228,7 @@ def pack_conversations(turns: DataFrame, path: str | None = None, end: int = 0,
                 rows.add(out, conv_id, np.concatenate(parts), mask)
             yield to_batch(out, NAMES, types)
         out = _new()
-        rows.close(out, True)
+        rows.close(out)
         yield to_batch(out, NAMES, types)
 
     return turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(told.alias("said")).mapInArrow(run, SCHEMA)
