@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, exact, packing, simhash, toxicity
-from weftline.llm.base import cut
+from weftline.llm.base import cut, drop, written
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again for the next."""
+    """All stages over documents, each written as Parquet to the shared folder and read again for the next. What a stage wrote on its way goes when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
+        before = written()
         docs = cut(stage(spark, docs, sf_dir))
+        drop(spark, before, keep=1)
     return docs
