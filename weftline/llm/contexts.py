@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from weftline.llm.base import cut, joined, trimmed
 
 #: Classes of one anchor from which it is halved; bytes of classes held before they are sent, and of contexts looked at together.
-LIMIT, HELD, SORTED = 20_000, 6_000_000, 8_000_000
+LIMIT, HELD, SORTED = 2_000, 6_000_000, 8_000_000
 #: A member has cls, id, th and at; a class the others, id to most of its members' ids, n of them; low and high: its offsets, half-open.
 _CLASS = [("ah", pa.int64()), ("cls", pa.binary()), ("before", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("least", pa.int64()), ("most", pa.int64()), ("n", pa.int64()), ("content", pa.binary())]
 _MEMBER = [("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32())]
