@@ -59,6 +59,9 @@ def test_words_are_those_of_split(monkeypatch, at_once):
         told, h = text.split(), words.hashed(text).tolist()
         assert len(told) == len(h) and all(known.setdefault(w, x) == x for w, x in zip(told, h))
     assert len(set(known.values())) == len(known)
+    texts = [" ".join(rng.choices(["a", "bb", "a word that is long".replace(" ", "-"), "\n"], k=rng.randint(0, 9))).encode() for _ in range(40)]
+    h, counts = words.together(texts)
+    assert h.tolist() == [x for t in texts for x in words.hashed(t).tolist()] and counts.tolist() == [len(t.split()) for t in texts]
 
 
 def thue_morse(n, a="a", b="b"):

@@ -23,47 +23,75 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bloom, contexts, copies
 from weftline.llm.base import cut, trimmed
-from weftline.llm.words import hashed, lowest, mixed, runs, stretches, sums
+from weftline.llm.words import lowest, mixed, runs, stretches, sums, together
 
 
 def _long(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-class _Text:
-    """A text that has a window: h, the hashes of its runs of a block's length."""
+#: Bytes of texts that are looked at together.
+AT_ONCE = 1 << 20
 
-    def __init__(self, row: tuple, prefix: np.ndarray, window: int) -> None:
-        self.id, self.th, self.n, self.text = row
-        self.window, self.block = window, (window + 1) // 2
-        self.h = runs(prefix, self.block)
+
+class _Texts:
+    """Some texts, their words one after another; h: hashes of all runs of a block's length, of which those across two texts count for nothing."""
+
+    def __init__(self, rows: list[tuple], window: int) -> None:
+        self.rows, self.window, self.block = rows, window, (window + 1) // 2
+        words, self.counts = together([r[3] for r in rows])
+        self.begins = np.cumsum(self.counts) - self.counts
+        self.h = runs(sums(words), self.block)
+        n = max(0, len(words) - window + 1)
+        self.of = np.repeat(np.arange(len(rows)), self.counts)
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        #: Windows that lie in one text.
+        self.whole = np.arange(n) + window <= (self.begins + self.counts)[self.of[:n]]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each window's smallest run, and that run's hash, mixed anew as small ones are alike."""
-        at = lowest(self.h, self.window - self.block + 1)
-        return at, mixed(self.h[at])
+        """Of the windows in one text: the windows, and the hash of each one's smallest run, mixed anew as small ones are alike."""
+        at = lowest(self.h, self.window - self.block + 1)[self.whole]
+        return np.flatnonzero(self.whole), mixed(self.h[at])
 
     def shared(self, near: bloom.Filter) -> tuple[np.ndarray, np.ndarray]:
         """Whether each window may be in another text, and whether each run lies in such a window."""
-        told = near.test(self.anchors()[1])
+        told = np.zeros(len(self.whole), bool)
+        windows, chosen = self.anchors()
+        told[windows] = near.test(chosen)
         before = np.append(0, np.cumsum(told))
         p = np.arange(len(self.h))
-        return told, before[np.minimum(p + 1, len(told))] > before[np.maximum(p - (self.window - self.block), 0)]
+        return told, before[np.minimum(p + 1, len(told))] > before[np.clip(p - (self.window - self.block), 0, len(told))]
 
+    def own(self) -> np.ndarray:
+        """Whether each run is one of its text's blocks."""
+        return (np.arange(len(self.h)) - self.begins[self.of[: len(self.h)]]) % self.block == 0
 
-def _each(batches: Iterator[pa.RecordBatch], window: int, suspects) -> Iterator[_Text]:
-    """Each different text that has a window."""
+
+def _each(batches: Iterator[pa.RecordBatch], window: int, suspects) -> Iterator[_Texts]:
+    """The different texts, some at a time."""
+    held, size = [], 0
     for batch in copies.distinct(batches, suspects):
         for row in zip(*(batch.column(k).to_pylist() for k in ("id", "th", "n", "text"))):
-            words = hashed(row[3])
-            if len(words) >= window:
-                yield _Text(row, sums(words), window)
+            if len(row[3]) < 2 * window - 1:
+                continue
+            held.append(row)
+            size += len(row[3])
+            if size >= AT_ONCE:
+                yield _Texts(held, window)
+                held, size = [], 0
+    if held:
+        yield _Texts(held, window)
 
 
 def _chosen(window: int, suspects):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _each(batches, window, suspects):
-            yield pa.RecordBatch.from_arrays([_long(np.unique(t.anchors()[1]))], names=["h"])
+            windows, h = t.anchors()
+            of = t.of[windows]
+            by = np.lexsort((h, of))
+            h, of = h[by], of[by]
+            # Once for each text that has it.
+            yield pa.RecordBatch.from_arrays([_long(h[np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]])], names=["h"])
 
     return run
 
@@ -72,10 +100,8 @@ def _index(window: int, suspects, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = bloom.Filter(sent.value)
         for t in _each(batches, window, suspects):
-            _, live = t.shared(near)
-            h = t.h[:: t.block][live[:: t.block]]
-            if len(h):
-                yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), t.id))], names=["h", "id"])
+            some = np.flatnonzero(t.shared(near)[1] & t.own())
+            yield pa.RecordBatch.from_arrays([_long(t.h[some]), pa.array(t.ids[t.of[some]])], names=["h", "id"])
 
     return run
 
@@ -84,13 +110,19 @@ def _probe(window: int, suspects, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, once, again = (bloom.Filter(x) for x in sent.value)
         for t in _each(batches, window, suspects):
-            _, hit = t.shared(near)
-            hit[hit] = once.test(t.h[hit])
+            some = np.flatnonzero(t.shared(near)[1])
+            some = some[once.test(t.h[some])]
             # A text's own blocks are all there: they count where another block is the same.
-            hit[:: t.block] &= again.test(t.h[:: t.block])
-            if hit.any():
-                h = np.unique(t.h[hit])
-                yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(len(h), t.id))], names=["h", "id"])
+            own = t.own()[some]
+            keep = ~own
+            keep[own] = again.test(t.h[some[own]])
+            some = some[keep]
+            # Of each run the largest document.
+            h, ids = t.h[some], t.ids[t.of[some]]
+            by = np.lexsort((ids, h))
+            h, ids = h[by], ids[by]
+            last = np.append(h[1:] != h[:-1], True)[: len(h)]
+            yield pa.RecordBatch.from_arrays([_long(h[last]), pa.array(ids[last])], names=["h", "id"])
 
     return run
 
@@ -103,11 +135,16 @@ def _occurrences(window: int, suspects, sent):
             hit[hit] = shared.test(t.h[hit])
             if not hit.any():
                 continue
+            # Windows across two texts are none's, so a stretch stays within one.
             at = np.where(told, lowest(t.h, window - t.block + 1, hit), -1)
-            words = t.text.split()
+            last, words = -1, []
             for a, b in zip(*(x.tolist() for x in stretches(at))):
-                p = int(at[a])
-                yield int(t.h[p].view(np.int64)), p - a, b" ".join(words[a : b + window]), t.id, t.th, p, max(1, t.n)
+                k, p = int(t.of[a]), int(at[a])
+                i, th, n, text = t.rows[k]
+                if k != last:
+                    last, words = k, text.split()
+                first = int(t.begins[k])
+                yield int(t.h[p].view(np.int64)), p - a, b" ".join(words[a - first : b - first + window]), i, th, p - first, max(1, n)
 
     return run
 

@@ -29,18 +29,42 @@ def hashed(text: bytes) -> np.ndarray:
         if end - at > AT_ONCE:
             near = [x for x in (text.find(c, at + AT_ONCE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0]
             end = min(near, default=end)
-        part = text[at:end] + PAD
-        data = np.frombuffer(part, np.uint8)
-        edges = np.flatnonzero(np.diff(_SPACE[data[: -len(PAD)]], prepend=np.int8(1), append=np.int8(1)))
-        starts, ends = edges[::2], edges[1::2]
-        h = spread(*short(data, starts, ends - starts))
-        for k in np.flatnonzero(ends - starts > SHORT).tolist():
-            h[k] = xxhash.xxh3_64_intdigest(part[starts[k] : ends[k]])
-        out.append(h)
+        out.append(_hashed(text[at:end])[0])
         at = end
     return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])
 
 
+def together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after another, and how many words each has: one pass for many short texts."""
+    out, counts, k = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while k < len(texts):
+        some, size = k, 0
+        while k < len(texts) and (k == some or size + len(texts[k]) <= AT_ONCE):
+            size += len(texts[k])
+            k += 1
+        if size > AT_ONCE:
+            out.append(hashed(texts[some]))
+            counts.append(np.array([len(out[-1])]))
+        else:
+            h, starts = _hashed(b" ".join(texts[some:k]))
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts[some:k])])
+            out.append(h)
+            counts.append(np.diff(np.searchsorted(starts, begins)))
+    return np.concatenate(out), np.concatenate(counts)
+
+
+def _hashed(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a part's words, and where they start."""
+    part += PAD
+    data = np.frombuffer(part, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[data[: -len(PAD)]], prepend=np.int8(1), append=np.int8(1)))
+    starts, ends = edges[::2], edges[1::2]
+    h = spread(*short(data, starts, ends - starts))
+    for k in np.flatnonzero(ends - starts > SHORT).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(part[starts[k] : ends[k]])
+    return h, starts
+
+
 def short(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers for each word, different for different words of at most SHORT bytes: the first eight bytes, and the others and the length. PAD ends the data."""
     eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
