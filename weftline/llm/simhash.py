@@ -235,11 +235,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-#: Words of a wide fingerprint; how likely two texts meet whose similarity is just enough; how many of 128 bits they may differ in.
-WIDTH, MEET, APART = 8, 0.96, 30
+#: Words of a wide fingerprint; how likely two texts meet whose similarity is just enough; how many of its 512 bits candidates differ in at most, 78 being the mean at a similarity of 0.8; how many of 128 bits a row and its leader do.
+WIDTH, MEET, APART, CLOSE = 8, 0.96, 93, 20
 #: Rows at one anchor from which it is dealt out as tiles, and up to which its rows are all compared at once; blocks that leaders are sought at.
 WIDE_TILE, FEW, FIRST = 16_384, 64, 10
-#: Texts of a group that all others of it are held against; texts that are held against one in a task, about.
+#: Pairs between two components that are tried first; texts that are held against one in a task, about.
 TRIED, SPREAD = 8, 2000
 
 
@@ -315,8 +315,8 @@ def _leaders(apart: int):
 
 
 def _across(rows: list[np.ndarray], starts: np.ndarray, apart: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, tile, home, node, fp0, fp1, label): all pairs of nodes with different labels within `apart`, and their labels."""
-    home, node, fps, label = rows[2].astype(bool), rows[3], _matrix(rows[4:6]), rows[6]
+    """Rows (anchor, tile, home, node, label, fp0, ...): all pairs of nodes with different labels within `apart`, and their labels."""
+    home, node, label, fps = rows[2].astype(bool), rows[3], rows[4], _matrix(rows[5:])
 
     def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
         near = (label[i] != label[j]) & (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= apart)
@@ -389,26 +389,12 @@ def _pairs(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataF
     return cut(both.mapInArrow(trimmed(_alike(words, least)), "a long, b long"))
 
 
-def _led(close: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """close: node and root. Of the pairs of a group's nodes and TRIED of them, those whose texts reach the similarity."""
-    sizes = cut(close.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    sized = joined(close, sizes.withColumn("side", F.floor(F.col("n") / SPREAD).cast("int") + 1), "root")
-    sized = cut(sized.select("node", "root", "side", F.pmod(F.xxhash64("node"), F.col("side")).cast("int").alias("salt")))
-    told = cut(_texts(sized.select("node"), rows).join(sized, "node"))
-    tried = told.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1)), "node"))).filter(F.col("rank") <= TRIED)
-    tried = tried.groupBy("root", "side").agg(F.collect_list(F.struct("node", "text")).alias("others"))
-    tried = tried.select("root", "others", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("salt"))
-    both = told.join(tried, ["root", "salt"]).select("node", "text", "others")
-    return cut(both.mapInArrow(trimmed(_alike(words, least)), "a long, b long"))
-
-
 def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id, of links between texts whose sets of runs of words have a Jaccard similarity of `least`.
 
-    At the anchors of the first blocks, rows within two thirds of APART go to a leader; of what leaders connect, every text is
-    held against TRIED of its group. Then all pairs at any anchor within APART that these links leave apart are verified: of those
-    between two components so far some at first, then more of those that are still apart, until none is left. So large groups
-    make few pairs, and no pair is left out.
+    At the anchors of the first blocks, a row within CLOSE goes to one leader, with which it is verified. Then all pairs at any
+    anchor within APART that these links leave apart are verified: of those between two components so far some at first, then
+    more of those that are still apart, until none is left.
     """
     columns = [f"fp{j}" for j in range(WIDTH)]
     rows = picked(docs).withColumn("node", F.xxhash64("text"))
@@ -421,15 +407,14 @@ def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     distinct = cut(ids.groupBy("node", *columns).agg(F.min("doc_id").alias("least")))
     blocks = drawn(distinct.count(), least)
 
-    def dealt(table: DataFrame, blocks: list[np.ndarray], more: list[str]) -> DataFrame:
-        names = ["node", "fp0", "fp1", *more]
+    def dealt(table: DataFrame, blocks: list[np.ndarray], names: list[str]) -> DataFrame:
         return table.mapInArrow(trimmed(_near(blocks, names)), ", ".join(["anchor long", *(f"{n} long" for n in names)])).withColumn("home", F.lit(True)).select("anchor", "home", *names)
 
-    close = components(_salted(dealt(distinct, blocks[:FIRST], [])).mapInArrow(trimmed(_compare(0, _leaders(APART * 2 // 3))), "a long, b long"))
-    links = _led(close, rows, words, least)
+    led = _salted(dealt(distinct, blocks[:FIRST], ["node", "fp0", "fp1"])).mapInArrow(trimmed(_compare(0, _leaders(CLOSE))), "a long, b long")
+    links = _pairs(led.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), rows, words, least)
     found = components(links)
     labelled = cut(distinct.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    left = cut(_tiled(dealt(labelled, blocks, ["label"]), WIDE_TILE).mapInArrow(trimmed(_compare(APART, _across)), "a long, b long, la long, lb long").distinct())
+    left = cut(_tiled(dealt(labelled, blocks, ["node", "label", *columns]), WIDE_TILE).mapInArrow(trimmed(_compare(APART, _across)), "a long, b long, la long, lb long").distinct())
     tries = TRIED
     while not left.isEmpty():
         between = Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.xxhash64("a", "b"), "a", "b")
