@@ -272,6 +272,22 @@ def test_a_line_in_hundreds_of_contexts(table, monkeypatch):
     assert all(found[k] == 0 for k in range(600)) and all(found[10_000 + k] == 80 for k in range(3)) and found[20_000] == 0
 
 
+def test_a_round_of_halving_reads_the_last_one_only(table, monkeypatch):
+    """Classes that are not halved pass one join, however many rounds follow: rows don't double with each."""
+    monkeypatch.setattr(contexts, "LIMIT", 2)
+    plans, cut = [], contexts.cut
+    monkeypatch.setattr(contexts, "cut", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or cut(df))
+    rng = random.Random(31)
+    line = "".join(rng.choices("abcdefghij", k=230))
+    rows = [(k, "".join(rng.choices("abcdefghij", k=150)) + line + "".join(rng.choices("abcdefghij", k=150))) for k in range(40)]
+    seen = Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    for r in suffixes.repeats(table(rows)).collect():
+        at = [k for k in range(len(rows[0][1]) - 199) if seen[rows[r.doc_id][1][k : k + 200]] > 1]
+        assert list(r.spans) == [at[0], at[-1] + 200]
+    rounds = sum(" of#" in p and "LeftSemi" in p for p in plans)
+    assert rounds >= 5 and max(p.count("LeftAnti") for p in plans) <= rounds
+
+
 def local(a, b):
     """The best local alignment: two for a match, one off for another word or a gap."""
     best, above = 0, [0] * (len(b) + 1)

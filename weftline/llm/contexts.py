@@ -13,6 +13,7 @@ that, one offset, a key is a whole window. So no task ever holds more than LIMIT
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,20 +168,24 @@ def settled(members: DataFrame, classes: DataFrame, judge: Callable[[list[list]]
     judge(rows of CLASS, whole anchors) gives for each row and offset whether it tells, never where the class has no window, and
     what, if it tells more than that. split(content) and join(units) tell the units of a context.
     """
-    links = None
+    names = [n for n, _ in _CLASS]
+    ready, links = [], []
     while True:
         wide = classes.filter("high - low > 1")
         hot = cut(wide.groupBy("ah").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > LIMIT).select("ah"))
         if hot.isEmpty():
             break
+        # A round reads what the last one wrote, and only that: what is not halved goes to the judges as it is.
+        ready += [classes.filter("high - low <= 1").select(*names), wide.join(hot, "ah", "left_anti").select(*names)]
         # Adaptive execution sends the list to all if it is small, and else splits what is skewed.
-        halves = cut(wide.join(hot, "ah", "left_semi").select(*[n for n, _ in _CLASS]).mapInArrow(trimmed(_halves(length, split, join)), CLASS + ", of binary"))
+        halves = cut(wide.join(hot, "ah", "left_semi").select(*names).mapInArrow(trimmed(_halves(length, split, join)), CLASS + ", of binary"))
         new = halves.filter("of is not null").select("cls", "of")
-        if links is not None:
-            new = new.unionByName(new.withColumnRenamed("of", "mid").join(links.select(F.col("cls").alias("mid"), "of"), "mid").select("cls", "of"))
-        links = cut((new if links is None else links.unionByName(new)).distinct())
-        classes = classes.join(hot, "ah", "left_anti").select(*[n for n, _ in _CLASS]).unionByName(classes.filter("high - low <= 1").join(hot, "ah", "left_semi").select(*[n for n, _ in _CLASS])).unionByName(halves.filter("of is null").drop("of"))
+        if links:
+            new = new.withColumnRenamed("of", "mid").join(links[-1].withColumnRenamed("cls", "mid"), "mid").select("cls", "of")
+        links.append(cut(new.distinct()))
+        classes = halves.filter("of is null").select(*names)
+    classes = reduce(DataFrame.unionByName, [*ready, classes])
     found = cut(classes.repartition("ah").sortWithinPartitions("ah").mapInArrow(trimmed(_judged(judge, places)), RESULT))
-    if links is not None:
-        found = cut(found.unionByName(found.join(links, "cls").drop("cls").withColumnRenamed("of", "cls").select(*found.columns)))
+    if links:
+        found = cut(found.unionByName(found.join(reduce(DataFrame.unionByName, links), "cls").drop("cls").withColumnRenamed("of", "cls").select(*found.columns)))
     return joined(members, found, "cls").select("id", "th", "at", "low", "high", "least")
