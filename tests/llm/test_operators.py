@@ -216,6 +216,38 @@ def test_only_similar_texts_go(table):
     assert sorted(r.doc_id for r in simhash.one_of_each(table(rows)).collect()) == [*range(6), 20]
 
 
+def test_a_family_near_the_similarity_makes_no_row_for_each_pair(spark, monkeypatch):
+    """Candidates come as nodes, not as pairs, and every link among them is found, in one part or in many."""
+    n = 300
+    rows = [np.full(n, 7), np.zeros(n, np.int64), np.ones(n, bool), np.arange(n), np.arange(n), *np.zeros((simhash.WIDTH, n), np.int64)]
+    out = list(simhash._across(rows, np.array([0]), simhash.APART))
+    assert sum(x.num_rows for x in out) == n and {x for b in out for x in b.column(2).to_pylist()} == {0}
+    rng = random.Random(37)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        ws = list(base)
+        for k in rng.sample(range(200), rng.randint(1, 4)):
+            ws[k] = f"x{rng.randint(0, 10**9)}"
+        texts.append(" ".join(ws))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
+    monkeypatch.setattr(simhash, "TRIED", 2)
+    fps = np.array([simhash.wide(t.encode()) for t in texts])
+    label = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.APART:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    met = spark.createDataFrame([(k, k, 0) for k in range(60)], "node long, label long, met long")
+    nodes = spark.createDataFrame([(k, *map(int, fps[k].view(np.int64))) for k in range(60)], ", ".join(["node long", *(f"fp{j} long" for j in range(simhash.WIDTH))]))
+    texts_of = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "node long, text binary")
+    dealt = simhash._families(met, nodes, texts_of)
+    assert dealt.select("tile").distinct().count() == 10
+    links = dealt.mapInArrow(simhash._kin(5, 0.8, simhash.APART), "a long, b long")
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert [got.get(k, k) for k in range(60)] == label and 1 < len(set(label)) < 60
+
+
 @pytest.mark.parametrize("limit", [20_000, 2])
 def test_blocks(table, corpus, limit, monkeypatch):
     monkeypatch.setattr(contexts, "SORTED", 3000)

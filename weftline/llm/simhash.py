@@ -20,12 +20,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom, copies
 from weftline.llm.base import OWN, cut, joined, mapped, picked, sliced, trimmed
-from weftline.llm.components import components, labels
+from weftline.llm.components import components, forest, labels
 from weftline.llm.words import hashed, mixed, runs, sums
 
 RADIUS, CODE = 1, 15
@@ -239,8 +239,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> float:
 WIDTH, MEET, APART, CLOSE = 8, 0.96, 93, 20
 #: Rows at one anchor from which it is dealt out as tiles, and up to which its rows are all compared at once; blocks that leaders are sought at.
 WIDE_TILE, FEW, FIRST = 16_384, 64, 10
-#: Pairs between two components that are tried first; texts that are held against one in a task, about.
-TRIED, SPREAD = 8, 2000
+#: Texts that are held against one in a task, about; a family has the root of its rows over TRIED as parts, or of its bytes over PART_BYTES if that is more.
+SPREAD, TRIED, PART_BYTES = 2000, 8, 1 << 20
 
 
 def wide(text: bytes, words: int = 5) -> np.ndarray:
@@ -315,16 +315,16 @@ def _leaders(apart: int):
 
 
 def _across(rows: list[np.ndarray], starts: np.ndarray, apart: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, tile, home, node, label, fp0, ...): all pairs of nodes with different labels within `apart`, and their labels."""
+    """Rows (anchor, tile, home, node, label, fp0, ...): each node within `apart` of one with another label, with its own label and one label for all that chains of such pairs connect here."""
     home, node, label, fps = rows[2].astype(bool), rows[3], rows[4], _matrix(rows[5:])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(i: np.ndarray, j: np.ndarray) -> None:
         near = (label[i] != label[j]) & (np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int16) <= apart)
         if near.any():
-            i, j = i[near], j[near]
-            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-            once = np.unique(np.stack([node[i], node[j]], 1), axis=0, return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i[once]], node[j[once]], label[i[once]], label[j[once]])], names=["a", "b", "la", "lb"])
+            held.append((i[near], j[near]))
+            if sum(len(x) for x, _ in held) > AT_ONCE:
+                held[:] = [forest(*map(np.concatenate, zip(*held)))]
 
     ends = np.append(starts[1:], len(node))
     size = ends - starts
@@ -333,7 +333,7 @@ def _across(rows: list[np.ndarray], starts: np.ndarray, apart: int) -> Iterator[
         at = np.flatnonzero(few)
         new = np.append(True, (rows[0][at][1:] != rows[0][at][:-1]) | (rows[1][at][1:] != rows[1][at][:-1]))
         for i, j in _meetings(home[at], np.flatnonzero(new)):
-            yield from pairs(at[i], at[j])
+            pairs(at[i], at[j])
     for s, e in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
         # By label: rows of one are compared with those of the others only.
         by = s + np.argsort(label[s:e], kind="stable")
@@ -343,7 +343,84 @@ def _across(rows: list[np.ndarray], starts: np.ndarray, apart: int) -> Iterator[
             step = max(1, AT_ONCE // max(1, len(others)))
             for k in range(0, len(own) if len(others) else 0, step):
                 some = own[k : k + step]
-                yield from pairs(np.repeat(some, len(others)), np.tile(others, len(some)))
+                pairs(np.repeat(some, len(others)), np.tile(others, len(some)))
+    if held:
+        some, root = forest(*map(np.concatenate, zip(*held)))
+        some, root = np.concatenate([some, np.unique(root)]), np.concatenate([root, np.unique(root)])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[some], label[some], label[root])], names=["node", "label", "met"])
+
+
+def _kin(words: int, least: float, apart: int):
+    """Rows (family, tile, first, second, node, label, text, fp0, ...) sorted by family and tile: of the pairs of one of the first with one of the second that have different labels and lie within `apart`, those whose sets reach the similarity, as links; what these connect is not compared any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                if row[:2] != last:
+                    out += linked(held)
+                    last, held = row[:2], []
+                held.append(row[2:])
+            yield made(out)
+        yield made(linked(held))
+
+    def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    def linked(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        first, second = (np.flatnonzero([r[k] for r in rows]) for k in (0, 1))
+        node = [r[2] for r in rows]
+        label = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)[1]
+        fps = np.array([r[5:] for r in rows], np.int64).view(np.uint64)
+        sets = [shingles(r[4], words) for r in rows]
+        size = np.array([len(x) for x in sets], np.int64)
+        end = np.cumsum(size)
+        known, run = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(known), bool)
+        out = []
+        for i in first.tolist():
+            j = second[label[second] != label[i]]
+            j = j[np.bitwise_count(fps[j] ^ fps[i]).sum(1, dtype=np.int16) <= apart]
+            own = run[end[i] - size[i] : end[i]]
+            mine[own] = True
+            # So many at once that their runs of words are a bounded number.
+            for part in np.split(j, np.flatnonzero(np.diff(np.cumsum(size[j]) // AT_ONCE)) + 1):
+                n = size[part]
+                upto = np.append(0, np.cumsum(n))
+                at = np.arange(upto[-1]) + np.repeat(end[part] - n - upto[:-1], n)
+                both = np.diff(np.append(0, np.cumsum(mine[run[at]]))[upto])
+                every = n + size[i] - both
+                for k in part[both / np.maximum(every, 1) >= np.where(every == 0, 0, least)].tolist():
+                    if label[k] != label[i]:
+                        out.append((node[i], node[k]))
+                        label[label == label[k]] = label[i]
+            mine[own] = False
+        return out
+
+    return run
+
+
+def _families(met: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Nodes as _across() gives them, with nodes (node, fp0, ...) and texts: (family, tile, first, second, node, label, text, fp0, ...), where all that meet are one family.
+
+    Large families, in rows or bytes, are dealt out by node: a tile takes two of its parts, or one twice, so a part goes to as many tiles as there are parts, of which there are about the square root of the rows.
+    """
+    columns = [f"fp{j}" for j in range(WIDTH)]
+    met = cut(met.distinct())
+    found = components(met.select(F.col("label").alias("a"), F.col("met").alias("b"))).select(F.col("node").alias("label"), F.col("root").alias("family"))
+    asked = cut(met.select("node", "label").distinct())
+    of = cut(asked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(found, "label"))
+    kin = joined(asked, of, "label").join(_texts(asked.select("node"), rows), "node").join(nodes.select("node", *columns), "node")
+    kin = cut(kin.select("family", "node", "label", "text", *columns))
+    sides = kin.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sides = cut(sides.select("family", "n", F.ceil(F.greatest(F.sqrt("n") / TRIED, F.sqrt(F.col("bytes") / PART_BYTES))).cast("int").alias("side")))
+    dealt = joined(kin, sides, "family").withColumn("part", F.pmod(F.xxhash64("node"), "side").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    one, other = F.greatest("part", "k"), F.least("part", "k")
+    dealt = dealt.select("family", (one * 100_000 + other).alias("tile"), (F.col("part") == one).alias("first"), (F.col("part") == other).alias("second"), "node", "label", "text", *columns)
+    return dealt.repartition("family", "tile").sortWithinPartitions("family", "tile", "node")
 
 
 def _alike(words: int, least: float):
@@ -392,9 +469,9 @@ def _pairs(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataF
 def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id, of links between texts whose sets of runs of words have a Jaccard similarity of `least`.
 
-    At the anchors of the first blocks, a row within CLOSE goes to one leader, with which it is verified. Then all pairs at any
-    anchor within APART that these links leave apart are verified: of those between two components so far some at first, then
-    more of those that are still apart, until none is left.
+    At the anchors of the first blocks, a row within CLOSE goes to one leader, with which it is verified. What meets within APART
+    at any anchor, and is still apart, makes families. A family's texts come together, and its pairs within APART are verified
+    where they are, but for those that verified links connect: no pair is a row.
     """
     columns = [f"fp{j}" for j in range(WIDTH)]
     rows = picked(docs).withColumn("node", F.xxhash64("text"))
@@ -414,19 +491,10 @@ def alike(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     links = _pairs(led.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), rows, words, least)
     found = components(links)
     labelled = cut(distinct.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    left = cut(_tiled(dealt(labelled, blocks, ["node", "label", *columns]), WIDE_TILE).mapInArrow(trimmed(_compare(APART, _across)), "a long, b long, la long, lb long").distinct())
-    tries = TRIED
-    while not left.isEmpty():
-        between = Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.xxhash64("a", "b"), "a", "b")
-        some = cut(left.withColumn("rank", F.row_number().over(between)).filter(F.col("rank") <= tries).select("a", "b"))
-        left, new = left.join(some, ["a", "b"], "left_anti"), _pairs(some, rows, words, least)
-        if not new.isEmpty():
-            links = links.union(new)
-            found = components(links)
-            label = lambda key, name: found.select(F.col("node").alias(key), F.col("root").alias(name))  # noqa: B023, E731
-            left = left.select("a", "b").join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left")
-            left = left.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la != lb")
-        left, tries = cut(left), 8 * tries
+    met = cut(_tiled(dealt(labelled, blocks, ["node", "label", *columns]), WIDE_TILE).mapInArrow(trimmed(_compare(APART, _across)), "node long, label long, met long"))
+    if not met.isEmpty():
+        links = links.union(cut(_families(met, distinct, rows).mapInArrow(trimmed(_kin(words, least, APART)), "a long, b long")))
+        found = components(links)
     roots = found.join(distinct.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     named_ids = found.join(roots, "root").select("node", "component_id")
     return ids.select("doc_id", "node").join(distinct.select("node", "least").join(named_ids, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "node").select("doc_id", "component_id")
