@@ -359,6 +359,15 @@ def test_leaks_are_those_of_all_alignments(spark, table, monkeypatch, sent):
     assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 20
 
 
+def test_documents_are_searched_in_one_pass(table, spark):
+    """With few items no text moves, and its words are hashed once: seeds, passages and alignments are one step."""
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "red green blue"), (3, "a b")], "item_id long, text string")
+    rows = [(1, "x one two three four five six y"), (2, "one two three x five six. red Green, blue"), (3, "one two x three four y five six"), (4, None), (None, "red green blue"), (4, "red green blue " * 3), (5, "a b")]
+    found = decontaminate.leaks(table(rows), items)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in found.collect()} == {(1, 1, 1.0, 1, 7), (2, 1, 0.75, 0, 6), (2, 2, 1.0, 6, 9), (None, 2, 1.0, 0, 3), (4, 2, 1.0, 0, 3)}
+
+
 def test_a_long_item_takes_memory_as_its_words(spark, table):
     rng = random.Random(31)
     item = [f"w{rng.randint(0, 5000)}" for _ in range(20_000)]

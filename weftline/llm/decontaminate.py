@@ -132,41 +132,85 @@ def _found(n: int, sent):
     return run
 
 
-def _verify(threshold: float, pad: int, sent=None):
-    """Rows (id, text, passages of (item, key, low, high), words of the only one if none are sent): those whose best passage of an item reaches the threshold."""
+class _Best:
+    """Passages to align, so many at a time, and the best one of each document and item that reaches the threshold."""
+
+    def __init__(self, threshold: float, pad: int) -> None:
+        self.threshold, self.pad = threshold, pad
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys: list[tuple] = []
+        self.rows: dict[tuple, tuple] = {}
+        self.held = 0
+
+    def add(self, doc: int, h: np.ndarray, at: np.ndarray, passages: Iterator[tuple]) -> None:
+        """A document's words and their numbers, and its passages (item, the item's words, low, high)."""
+        for item, words, low, high in passages:
+            first = max(0, low - self.pad - len(words) // 2)
+            passage = h[first : high + len(words) + self.pad + len(words) // 2]
+            # No alignment matches more words than occur.
+            if np.isin(words, passage).mean() >= self.threshold:
+                self.keys.append((doc, item, first, at))
+                self.pairs.append((words, passage))
+                self.held += len(passage) + len(at)
+        if self.held > CELLS:
+            self.done()
+
+    def done(self) -> None:
+        for (doc, item, first, at), (score, a, b) in zip(self.keys, scored(self.pairs)):
+            if score >= self.threshold and score > self.rows.get((doc, item), (0,))[0]:
+                self.rows[doc, item] = score, int(at[first + a]), int(at[first + b - 1]) + 1
+        self.keys, self.pairs, self.held = [], [], 0
+
+    def batch(self) -> pa.RecordBatch:
+        self.done()
+        rows, self.rows = self.rows, {}
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())] + [pa.array([r[j] for r in rows.values()], t) for j, t in enumerate((pa.float64(), pa.int32(), pa.int32()))], names=["id", "item", "score", "first_word", "last_word"])
+
+
+def _verify(threshold: float, pad: int):
+    """Rows (id, text, passages of (item, key, low, high), words of the only one): those whose best passage of an item reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(threshold, pad)
         for batch in sliced(batches, 200):
-            pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            keys: list[tuple] = []
-            rows: dict[tuple, tuple] = {}
-
-            def done() -> None:
-                for (i, item, first, at), (score, a, b) in zip(keys, scored(pairs)):
-                    if score >= threshold and score > rows.get((i, item), (0,))[0]:
-                        rows[i, item] = score, int(at[first + a]), int(at[first + b - 1]) + 1
-                keys.clear()
-                pairs.clear()
-
-            held = 0
-            words = batch.column(3) if sent is None else None
-            for k, (i, text, passages) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:3]))):
+            for i, text, passages, words in zip(*(x.to_pylist() for x in batch.columns[:3]), batch.column(3)):
+                item = words.values.to_numpy().view(np.uint64)
+                best.add(i, *plain(text), ((p["item"], item, p["low"], p["high"]) for p in passages))
+            yield best.batch()
+
+    return run
+
+
+def _sought(n: int, threshold: float, pad: int, seeds, sent):
+    """Rows (id, th, text) against the items sent, (item, words) each: seeds, passages and alignments in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, told, best = bloom.Filter(seeds.value), sent.value, _Best(threshold, pad)
+        g = [runs(sums(words), n) for _, words in told]
+        of, own, g = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) for x in g]), np.concatenate([np.zeros(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in g)]), np.concatenate([np.zeros(0, np.uint64), *g])
+        by = np.argsort(g, kind="stable")
+        g, of, own = g[by], of[by], own[by]
+        for batch in sliced(batches, 200):
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 h, at = plain(text)
-                for p in passages:
-                    item = sent.value[p["item"], p["key"]] if words is None else words[k].values.to_numpy()
-                    item = item.view(np.uint64)
-                    first = max(0, p["low"] - pad - len(item) // 2)
-                    passage = h[first : p["high"] + len(item) + pad + len(item) // 2]
-                    # No alignment matches more words than occur.
-                    if np.isin(item, passage).mean() >= threshold:
-                        keys.append((i, p["item"], first, at))
-                        pairs.append((item, passage))
-                        held += len(passage) + len(at)
-                if held > CELLS:
-                    done()
-                    held = 0
-            done()
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())] + [pa.array([r[j] for r in rows.values()], t) for j, t in enumerate((pa.float64(), pa.int32(), pa.int32()))], names=["id", "item", "score", "first_word", "last_word"])
+                probes = runs(sums(h), n)
+                pos = np.flatnonzero(known.test(probes))
+                if len(pos):
+                    begin = np.searchsorted(g, probes[pos], "left")
+                    count = np.searchsorted(g, probes[pos], "right") - begin
+                    hit = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    if len(hit):
+                        best.add(i, h, at, passages(told, of[hit], np.repeat(pos, count) - own[hit]))
+            yield best.batch()
+
+    def passages(told: list, of: np.ndarray, low: np.ndarray) -> Iterator[tuple]:
+        """Close diagonals of an item, by bands, from the lowest to the highest."""
+        band = np.floor_divide(low, BAND)
+        by = np.lexsort((low, band, of))
+        of, low, band = of[by], low[by], band[by]
+        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (band[1:] != band[:-1])))
+        for a, b in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(of) - 1]):
+            yield *told[of[a]], int(low[a]), int(low[b])
 
     return run
 
@@ -177,7 +221,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
     An item of fewer words than a seed has none and is never found; in scripts without spaces a whole sentence is one word. Null
     texts are empty; a null item_id or doc_id is kept as it is; rows that share an id with different texts are searched apart,
     and equal rows give one row. With an empty table of either kind there are no rows; other columns are ignored. Memory grows
-    with the largest text and item: all items' words are sent if they are at most SENT, else they join the passages.
+    with the largest text and item: all items' words are sent if they are at most SENT, and documents are searched in one pass;
+    else seeds and words are joined.
     """
     spark = docs.sparkSession
     rows = copies.keyed(docs)
@@ -187,23 +232,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
     grams = cut(told.mapInArrow(trimmed(_grams(seed)), "g long, item long, key long, pos int"))
     # Four times the room of other filters: few words that are no seeds get through.
     sent = spark.sparkContext.broadcast(bloom.build(grams.select("g"), 4 * grams.count()).bits)
-    found = cut(rows.mapInArrow(trimmed(_found(seed, sent)), "g long, id long, th long, pos int"))
-    hits = found.join(grams.withColumnRenamed("pos", "own"), "g").withColumn("low", F.col("pos") - F.col("own"))
-    # Passages of neighbouring bands overlap by what each is widened.
-    passages = hits.groupBy("id", "th", "item", "key", F.floor(F.col("low") / BAND).alias("band")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
-    each = F.struct("item", "key", "low", "high")
-    small = (told.agg(F.sum(F.size("words"))).first()[0] or 0) <= SENT
-    if small:
-        known = spark.sparkContext.broadcast({(r.item, r.key): np.array(r.words, np.int64) for r in told.collect()})
-        asked = cut(passages.groupBy("id", "th").agg(F.collect_list(each).alias("passages")))
+    schema = "id long, item long, score double, first_word int, last_word int"
+    if (told.agg(F.sum(F.size("words"))).first()[0] or 0) <= SENT:
+        known = spark.sparkContext.broadcast([(r.item, np.array(r.words, np.int64).view(np.uint64)) for r in told.collect()])
+        out = rows.mapInArrow(trimmed(_sought(seed, threshold, BAND // 2, sent, known)), schema)
     else:
-        known, asked = None, cut(passages.select("id", "th", F.array(each).alias("passages"), "item", "key"))
-    # Only documents with passages move.
-    flagged = copies.member(spark, bloom.build(asked.select("th"), asked.count()))
-    texts = rows.filter(flagged("th")).dropDuplicates(["id", "th"])
-    both = texts.join(asked, ["id", "th"])
-    both = both.select("id", "text", "passages") if small else both.join(told, ["item", "key"]).select("id", "text", "passages", "words")
-    out = both.mapInArrow(trimmed(_verify(threshold, BAND // 2, known)), "id long, item long, score double, first_word int, last_word int")
+        found = cut(rows.mapInArrow(trimmed(_found(seed, sent)), "g long, id long, th long, pos int"))
+        hits = found.join(grams.withColumnRenamed("pos", "own"), "g").withColumn("low", F.col("pos") - F.col("own"))
+        # Passages of neighbouring bands overlap by what each is widened.
+        passages = hits.groupBy("id", "th", "item", "key", F.floor(F.col("low") / BAND).alias("band")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
+        asked = cut(passages.select("id", "th", F.array(F.struct("item", "key", "low", "high")).alias("passages"), "item", "key"))
+        # Only documents with passages move.
+        flagged = copies.member(spark, bloom.build(asked.select("th"), asked.count()))
+        texts = rows.filter(flagged("th")).dropDuplicates(["id", "th"])
+        both = texts.join(asked, ["id", "th"]).join(told, ["item", "key"]).select("id", "text", "passages", "words")
+        out = both.mapInArrow(trimmed(_verify(threshold, BAND // 2)), schema)
     best = out.groupBy("id", "item").agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("best"))
     return best.select(F.nullif("id", F.lit(copies.NO_ID)).alias("doc_id"), F.nullif("item", F.lit(copies.NO_ID)).alias("item_id"), "best.score", (-F.col("best.col2")).alias("first_word"), "best.last_word")
 
